@@ -116,6 +116,11 @@ def finite(df: DataFrame, name: str) -> Column:
     return value
 
 
+def finite_frame(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns c0, c1, ... as finite doubles, projected once so that many aggregates share them."""
+    return df.select(*[finite(df, n).alias(f"c{i}") for i, n in enumerate(names)])
+
+
 def finite_sql(df: DataFrame, name: str) -> str:
     c = f"CAST({quote(name)} AS DOUBLE)"
     if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)):

@@ -24,7 +24,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], direc
     """Linearly interpolated quantiles per column, NULL and NaN ignored."""
     limit = DIRECT_ROWS if direct_rows is None else direct_rows
     values = df.select(*[finite(df, c).alias(c) for c in columns])
-    if values.count() <= limit:
+    if df.count() <= limit:
         row = values.agg(*[F.expr(f"percentile({quote(c)}, array({', '.join(map(str, probs))}))").alias(c) for c in columns]).head()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     items = F.array(*[F.struct(F.lit(i).alias("g"), col(c).alias("v")) for i, c in enumerate(columns)])

@@ -126,9 +126,9 @@ def frequency_encode(df, columns):
 
 
 def hash_encode(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """Bucket number of the 64-bit hash of the value; stateless, NULL stays NULL."""
+    """Bucket number from the first 32 bits of the md5 of the value, stable across engines; NULL stays NULL."""
     need_columns(df, columns)
-    return df.withColumns({c: F.when(col(c).isNotNull(), F.expr(f"pmod(xxhash64({quote(c)}), {buckets})")) for c in columns})
+    return df.withColumns({c: F.expr(f"CAST(conv(substring(md5(CAST({quote(c)} AS STRING)), 1, 8), 16, 10) AS BIGINT) % {buckets}") for c in columns})
 
 
 def fit_group_rare(df: DataFrame, columns: list[str], min_share: float = 0.01, other: str = "Other") -> Dictionary:

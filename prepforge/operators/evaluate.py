@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import block_join, distances, matrix
-from ..functions.frame import col, cumulative, finite, lookup
+from ..functions.frame import col, cumulative, finite, is_numeric, lookup, quote
 from .charts import histogram, keyed_sample
 from .neighbors import vectors
 
@@ -80,7 +80,8 @@ def classification_scores(df: DataFrame, label: str, prediction: str, positive=1
     keys = list(by or [])
     scores = class_scores(pair_counts(df, label, prediction, by), by)
     mean = {n: F.sum(F.col(n) * F.col("support")) / F.sum("support") for n in ("precision", "recall", "f1")}
-    one = {n: F.coalesce(F.max(F.when(F.col("class") == F.lit(positive), F.col(n))), F.lit(0.0)) for n in mean}
+    hit = F.col("class") == F.lit(positive) if is_numeric(scores.schema["class"].dataType) else F.col("class") == F.lit(str(positive))
+    one = {n: F.coalesce(F.max(F.when(hit, F.col(n))), F.lit(0.0)) for n in mean}
     binary = {"auto": F.count(F.lit(1)) <= 2, "binary": F.lit(True), "weighted": F.lit(False)}[average]
     picked = [F.when(binary, one[n]).otherwise(mean[n]).alias(n) for n in mean]
     out = scores.groupBy(*[col(k) for k in keys]).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), *picked, F.sum("support").alias("rows"))
@@ -214,24 +215,40 @@ def silhouette(df: DataFrame, key: str, columns: list[str] | str, cluster: str,
     return rows.agg(F.avg("silhouette").alias("silhouette"), F.count(F.lit(1)).alias("rows")).withColumn("silhouette_band", band(F.col("silhouette"), SILHOUETTE_BANDS, "none"))
 
 
-def silhouette_sq(df: DataFrame, columns: list[str] | str, cluster: str) -> DataFrame:
+def silhouette_sq(df: DataFrame, columns: list[str] | str, cluster: str, max_clusters: int = 10_000) -> DataFrame:
     """Mean silhouette with squared distances: linear in the rows through cluster sums.
 
-    The mean squared distance of x to a cluster is |x|² - 2 x·mean + mean|y|².
+    The mean squared distance of x to a cluster is |x|² - 2 x·mean + mean|y|², so tasks need only the
+    cluster means; each partition returns one sum.
     """
     flat, xs = spread_columns(df, columns, [cluster])
-    stats = flat.groupBy(col(cluster)).agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
-                                           F.avg(sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))).alias("q")).collect()
-    own = col(cluster)
-    norm = sum((F.col(x) * F.col(x) for x in xs), F.lit(0.0))
-    per = {r[cluster]: norm - 2 * sum((F.col(x) * F.lit(r[f"m{i}"]) for i, x in enumerate(xs)), F.lit(0.0)) + F.lit(r["q"]) for r in stats}
-    n = {r[cluster]: r["n"] for r in stats}
-    a = F.coalesce(*[F.when(own == F.lit(k), d * F.lit(n[k] / (n[k] - 1)) if n[k] > 1 else F.lit(None)) for k, d in per.items()])
-    others = [F.when(own != F.lit(k), d) for k, d in per.items()]
-    b = F.least(*others) if len(others) > 1 else F.lit(None).cast("double")
-    rows = flat.select(a.alias("a"), b.alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return rows.agg(F.avg(s).alias("silhouette_sq"), F.count(F.lit(1)).alias("rows"))
+    v = F.array(*[F.col(x) for x in xs])
+    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    stats = flat.groupBy(col(cluster)).agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), *[F.avg(x).alias(x) for x in xs]).limit(max_clusters + 1).collect()
+    if len(stats) > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters")
+    slot = df.sparkSession.createDataFrame([(r[cluster], i) for i, r in enumerate(stats)], f"{quote(cluster)} {flat.schema[cluster].dataType.simpleString()}, slot int")
+    means = np.array([[r[x] for x in xs] for r in stats])
+    q, n = np.array([r["q"] for r in stats]), np.array([r["n"] for r in stats], dtype="float64")
+
+    def scores(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, own = matrix(pdf["v"]), pdf["slot"].to_numpy()
+            d = (x * x).sum(1)[:, None] - 2 * x @ means.T + q
+            at = np.arange(len(x))
+            size = n[own]
+            a = d[at, own] * size / np.maximum(size - 1, 1)
+            d[at, own] = np.inf
+            b = d.min(1)
+            top = np.maximum(a, b)
+            s = np.where((size > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+            yield pd.DataFrame({"s": [float(s.sum())], "n": [len(x)]})
+
+    rows = flat.select(col(cluster), v.alias("v")).join(F.broadcast(slot), cluster).select("v", "slot")
+    parts = rows.mapInPandas(scores, "s double, n bigint")
+    return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette_sq"), F.sum("n").alias("rows"))
 
 
 def centroid_table(flat: DataFrame, xs: list[str], cluster: str) -> DataFrame:

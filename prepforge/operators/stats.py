@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_quantile, t_two_sided
-from ..functions.frame import col, facts_frame, finite, need_columns, need_numeric, numeric_columns
+from ..functions.frame import col, facts_frame, finite, finite_frame, need_columns, need_numeric, numeric_columns
 from ..functions.quantiles import exact_quantiles
 from .clean import value_modes
 
-PAIRS_PER_JOB = 400
+PAIRS_PER_JOB = 100
+WIDE_COLUMNS = 12
 
 
 def sample_skew(g1, n):
@@ -28,12 +31,12 @@ def sample_kurt(g2, n):
 def moment_table(df: DataFrame, columns: list[str]) -> list[dict]:
     """Count, mean, deviation, variance, sample skewness and kurtosis per column, in one job."""
     parts = []
-    for i, c in enumerate(columns):
-        x = finite(df, c)
+    for i in range(len(columns)):
+        x = F.col(f"c{i}")
         n = F.count(x).cast("double")
         parts += [F.count(x).alias(f"{i}_n"), F.avg(x).alias(f"{i}_mean"), F.stddev_samp(x).alias(f"{i}_std"), F.var_samp(x).alias(f"{i}_var"),
                   sample_skew(F.skewness(x), n).alias(f"{i}_skew"), sample_kurt(F.kurtosis(x), n).alias(f"{i}_kurt")]
-    row = df.agg(*parts).head()
+    row = finite_frame(df, columns).agg(*parts).head()
     return [{k: row[f"{i}_{k}"] for k in ("n", "mean", "std", "var", "skew", "kurt")} for i in range(len(columns))]
 
 
@@ -51,16 +54,27 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson r of every column pair on the rows complete for that pair; all pairs in one aggregate."""
+    """Pearson r of every column pair on the rows complete for that pair.
+
+    Few columns: all pairs in one aggregate.  Many columns without gaps: one Gram pass over vectors,
+    which needs no aggregate function per pair.
+    """
     need_numeric(df, columns)
-    pairs = list(combinations(columns, 2))
+    pairs = list(combinations(range(len(columns)), 2))
+    data = finite_frame(df, columns)
     out = {}
+    if len(columns) > WIDE_COLUMNS:
+        gaps = data.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in data.columns], *[F.var_samp(c).alias(f"v{c}") for c in data.columns]).head()
+        if gaps["n"] > 1 and all(gaps[c] == gaps["n"] and gaps[f"v{c}"] for c in data.columns):
+            vectors = VectorAssembler(inputCols=data.columns, outputCol="v").transform(data).select("v")
+            m = Correlation.corr(vectors, "v").head()[0].toArray()
+            return {(columns[i], columns[j]): float(m[i, j]) for i, j in pairs}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]
-        row = df.agg(*[F.corr(finite(df, a), finite(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(part)]).head()
-        for i, p in enumerate(part):
-            r = row[f"p{i}"]
-            out[p] = None if r is None or r != r else r
+        row = data.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"p{n}") for n, (i, j) in enumerate(part)]).head()
+        for n, (i, j) in enumerate(part):
+            r = row[f"p{n}"]
+            out[columns[i], columns[j]] = None if r is None or r != r else r
     return out
 
 

@@ -345,7 +345,7 @@ def _(t):
     return rounded(encode.frequency_encode(t("events").select("event_id", "event_type"), ["event_type"]))
 
 
-@query("en_hash_encode")
+@query("en_hash_encode", "SELECT p_partkey, CAST('0x' || substr(md5(p_name), 1, 8) AS BIGINT) % 64 AS p_name FROM part")
 def _(t):
     return encode.hash_encode(t("part").select("p_partkey", "p_name"), ["p_name"], 64)
 
