@@ -47,7 +47,7 @@ def _(t):
     return pr.degenerate_columns(TableProfile(t("constant_and_empty")))
 
 
-@query("pr_dataset_scale", "SELECT CAST(count(*) AS BIGINT) AS \"rows\", CASE WHEN count(*) < 1000 THEN 'small' WHEN count(*) < 10000 THEN 'medium' ELSE 'large' END AS scale, 4 AS features, 'low' AS dimensionality FROM part")
+@query("pr_dataset_scale", "SELECT CAST(count(*) AS BIGINT) AS \"rows\", CASE WHEN count(*) < 1000 THEN 'small' WHEN count(*) < 10000 THEN 'medium' ELSE 'large' END AS scale, 5 AS features, 'low' AS dimensionality FROM part")
 def _(t):
     return pr.dataset_scale(TableProfile(t("part"), order_by=["p_partkey"]))
 
