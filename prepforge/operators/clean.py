@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.frame import (
     col, columns_by_kind, dtype_of, facts_frame, finite, finite_sql, literal_sql,
-    need_columns, need_numeric, number_sql, numeric_columns, quote, string_sql, union_all,
+    need_columns, need_numeric, number_sql, numeric_columns, quote, settle, string_sql, union_all,
 )
 from ..functions.projection import Projection
 from ..functions.quantiles import exact_quantiles
@@ -146,7 +146,7 @@ def impute_knn(df: DataFrame, key: str, columns: list[str] | None = None, k: int
     work = df.select(col(key).alias("id"), *[finite(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     d = len(columns)
     pattern = F.concat(*[F.when(F.col(f"v{i}").isNull(), "0").otherwise("1") for i in range(d)])
-    work = work.withColumn("pattern", pattern)
+    work = settle(work.withColumn("pattern", pattern))  # scanned once per pattern pair
     patterns = [r[0] for r in work.select("pattern").distinct().collect()]  # at most 2^d short texts
     means = work.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(d)]).head()
     found = []

@@ -82,7 +82,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5,
     key, and a border point joins the smallest of its clusters, as a scan in key order does.
     """
     need_columns(df, [key])
-    rows = df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v")).where("NOT exists(v, x -> x IS NULL)")
+    rows = settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v"))).where("NOT exists(v, x -> x IS NULL)")
     reach = math.sqrt(2 * eps) if metric == "cosine" else eps
     limit = eps * (1 + 1e-12)
     points = rows.groupBy("v").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("weight"))

@@ -57,9 +57,11 @@ def nearest_neighbors(query: DataFrame, base: DataFrame, k: int, key: str, colum
     depth = k if include_self else k + 1
 
     def prepared(df):
-        return df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v")).where("NOT exists(v, x -> x IS NULL)")
+        # written once: the vectors are grouped, joined back and compared several times below
+        return settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v"))).where("NOT exists(v, x -> x IS NULL)")
 
-    q, b = prepared(query), prepared(base)
+    b = prepared(base)
+    q = b if query is base else prepared(query)
     queries = q.groupBy("v").agg(F.min("row_id").alias("id"))
     points = b.groupBy("v").agg(F.min("row_id").alias("id"))
     members = (b.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("row_id")))

@@ -456,10 +456,8 @@ def knn_predict(train_rows: DataFrame, query: DataFrame, key: str, features: lis
     """(query_id, prediction) by vote (ties to the smaller class) or (weighted) mean of the k nearest rows."""
     train_rows = train_rows.where(col(target).isNotNull())
     inputs = fit_model_inputs(train_rows, features, scaling)
-    names = list(inputs.add)
-    base = inputs.transform(train_rows.select(*dict.fromkeys([key, *features])))
-    asked = inputs.transform(query.select(*dict.fromkeys([key, *features])))
-    near = nearest_neighbors(asked, base, k, key, names, metric)
+    vector = F.array(*[F.expr(e) for e in inputs.add.values()]).alias("x")
+    near = nearest_neighbors(query.select(col(key), vector), train_rows.select(col(key), vector), k, key, "x", metric)
     values = train_rows.select(col(key).alias("neighbor_id"), col(target).alias("value"))
     return vote(near.join(values, "neighbor_id"), weights, task)
 

@@ -52,14 +52,18 @@ def _near(metric: str, k: int, where: str) -> str:
             f"top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= {k})")
 
 
+def _self_neighbors(df, metric, **options):
+    return neighbors.nearest_neighbors(df, df, 5, "vec_id", "embedding", metric, include_self=False, **options)
+
+
 for _metric in ("euclidean", "manhattan", "cosine"):
     query(f"knn_{_metric}", f"WITH {_near(_metric, 5, 'a.vec_id <> b.vec_id')} SELECT query_id, neighbor_id, {r('distance')} AS distance, rank FROM top")(
-        lambda t, m=_metric: rounded(neighbors.nearest_neighbors(t("embeddings"), t("embeddings"), 5, "vec_id", "embedding", m, include_self=False)))
+        lambda t, m=_metric: rounded(_self_neighbors(t("embeddings"), m)))
 
 
 @query("knn_probe_cells")
 def _(t):
-    return neighbors.nearest_neighbors(t("embeddings"), t("embeddings"), 5, "vec_id", "embedding", probe_cells=3)
+    return _self_neighbors(t("embeddings"), "euclidean", probe_cells=3)
 
 
 @query("dr_knn_graph", f"WITH {_near('euclidean', 15, 'a.vec_id <> b.vec_id')} SELECT query_id AS src, neighbor_id AS dst, {r('distance')} AS distance, rank FROM top")
