@@ -158,6 +158,12 @@ def residual_histogram(df: DataFrame, label: str, prediction: str, bins: int = 2
     return histogram(residuals(df, label, prediction), "residual", bins)
 
 
+def actual_predicted_histogram(df: DataFrame, label: str, prediction: str, bins: int = 20) -> DataFrame:
+    """(series, bin, lower, upper, count) of both columns on shared edges."""
+    pair = F.array(F.struct(F.lit("actual").alias("series"), finite(df, label).alias("value")), F.struct(F.lit("predicted").alias("series"), finite(df, prediction).alias("value")))
+    return histogram(df.select(F.inline(pair)), "value", bins, "series")
+
+
 def subgroup_metrics(df: DataFrame, by: str, label: str, prediction: str, task: str = "classification") -> DataFrame:
     if task == "classification":
         return classification_scores(df, label, prediction, by=[by])

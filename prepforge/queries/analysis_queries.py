@@ -427,6 +427,14 @@ def _(t):
     return rounded(evaluate.residual_histogram(t("value_predictions"), "actual", "predicted"))
 
 
+_BOTH = f"(SELECT 'actual' AS series, actual AS value FROM {fx('value_predictions')} UNION ALL SELECT 'predicted', predicted FROM {fx('value_predictions')})"
+
+
+@query("ev_actual_predicted_histogram", _histogram(_BOTH, "value", 20, "series"))
+def _(t):
+    return rounded(evaluate.actual_predicted_histogram(t("value_predictions"), "actual", "predicted"))
+
+
 _PAIRWISE = ("e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS t, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3), "
              "s AS (SELECT vec_id, own, max(CASE WHEN own = other THEN n END) AS size, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM d GROUP BY 1, 2), "
              "z AS (SELECT vec_id, own, CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM s)")

@@ -198,6 +198,12 @@ def _(t):
     return pr.date_diffs(both, "o_orderdate", "l_shipdate").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "o_orderdate_to_l_shipdate_days AS days")
 
 
+@query("pr_tfidf_terms", "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+')) AS term FROM documents), tf AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM w GROUP BY 1, 2), "
+       f"d AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0e0) / (count(*) + 1)) AS idf FROM tf GROUP BY 1) SELECT doc_id, term, tf, {r('tf * idf', 5)} AS weight FROM tf JOIN d USING (term)")
+def _(t):
+    return rounded(pr.tfidf_terms(t("documents"), "doc_id", "text"), 5)
+
+
 @query("pr_text_tfidf")
 def _(t):
     weights = pr.text_tfidf(t("documents").select("doc_id", "text"), "text", 1 << 14)
