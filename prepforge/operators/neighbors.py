@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.blocks import block_join, distances, matrix
+from ..functions.blocks import BLOCK_ROWS, block_join, distances, matrix
 from ..functions.frame import col, need_columns, settle
 
 METRICS = ("euclidean", "manhattan", "cosine")
 MAX_PIVOTS = 1024
+# A base of at most this many distinct vectors is one cell: pruning would cost more than it saves.
+ONE_CELL_ROWS = 8192
 
 
 def vectors(df: DataFrame, columns: list[str] | str, metric: str = "euclidean"):
@@ -79,16 +81,58 @@ def nearest_neighbors(query: DataFrame, base: DataFrame, k: int, key: str, colum
     return merge_top(out, k).select(F.col("id").alias("query_id"), F.col("nid").alias("neighbor_id"), "distance", F.col("rank").cast("int").alias("rank"))
 
 
+def top_of_block(k: int, metric: str):
+    """Kernel with the k best rows per query of one block pair.
+
+    Euclidean: a matrix product gives distances up to rounding; every pair that could belong to the
+    best k within that rounding is then measured exactly.
+    """
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "nid": [], "distance": []})
+        b = b.sort_values("id", kind="stable")
+        ids, nids = a["id"].to_numpy(), b["id"].to_numpy()
+        x, y = matrix(a["v"]), matrix(b["v"])
+        if metric == "euclidean" and len(b) > k:
+            nx, ny = (x * x).sum(1), (y * y).sum(1)
+            g = nx[:, None] + ny[None, :] - 2 * x @ y.T
+            kth = np.partition(g, k - 1, axis=1)[:, k - 1]
+            row, at = np.nonzero(g <= (kth + 1e-11 * (nx + ny.max()))[:, None])
+            d = np.empty(len(row))
+            for s in range(0, len(row), 100_000):
+                diff = x[row[s:s + 100_000]] - y[at[s:s + 100_000]]
+                d[s:s + 100_000] = np.sqrt((diff * diff).sum(1))
+        else:
+            full = distances(x, y, metric)
+            row, at = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+            d = full.ravel()
+            if len(y) > k:
+                best = np.argsort(full, axis=1, kind="stable")[:, :k]
+                row, at, d = np.repeat(np.arange(len(x)), k), best.ravel(), np.take_along_axis(full, best, 1).ravel()
+        order = np.lexsort((at, d, row))
+        row, at, d = row[order], at[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        return pd.DataFrame({"id": ids[row[keep]], "nid": nids[at[keep]], "distance": d[keep]})
+    return search
+
+
 def distinct_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: str, probe_cells: int | None = None) -> DataFrame:
     """(id, nid, distance) with the k nearest distinct vectors; see the module text."""
     points = settle(points)
     n = points.count()
     if n == 0:
         return queries.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("distance")).limit(0)
-    m = int(min(MAX_PIVOTS, max(1, math.isqrt(n) // 2)))
+    m = 1 if n <= ONE_CELL_ROWS else min(MAX_PIVOTS, math.isqrt(n) // 2)
+    rows = min(BLOCK_ROWS, max(256, n // 4))
+    search = top_of_block(k, metric)
+    id_type, q_type = points.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    out_shape = f"id {q_type}, nid {id_type}, distance double"
+    if m == 1:
+        cell = F.lit(0).alias("cell")
+        return merge_top(block_join(queries.select("id", "v", cell), points.select("id", "v", cell), "cell", search, out_shape, rows), k).drop("rank")
     pivots = np.array([r["v"] for r in points.orderBy(F.md5(col("id").cast("string"))).limit(m).select("v").collect()], dtype="float64")
     space = "manhattan" if metric == "manhattan" else "euclidean"  # unit vectors for cosine
-    id_type = points.schema["id"].dataType.simpleString()
     shape = f"id {id_type}, v array<double>, cell int, reach double"
 
     def assign(batches):
@@ -129,28 +173,17 @@ def distinct_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: st
                 yield pd.DataFrame({"id": picked["id"].to_numpy(), "v": picked["v"].to_numpy(), "cell": cell.astype("int32")})
         return open_cells
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "nid": [], "distance": []})
-        b = b.sort_values("id", kind="stable")
-        ids, nids = a["id"].to_numpy(), b["id"].to_numpy()
-        d = distances(matrix(a["v"]), matrix(b["v"]), metric)
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "nid": nids[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
-
-    q_type = queries.schema["id"].dataType.simpleString()
-    out_shape = f"id {q_type}, nid {id_type}, distance double"
     open_shape = f"id {q_type}, v array<double>, cell int"
     base = celled.select("id", "v", "cell")
     first = queries.select("id", "v").mapInPandas(plan(True), open_shape)
-    near = settle(merge_top(block_join(first, base, "cell", search, out_shape), k).drop("rank"))
-    if probe_cells or m == 1:
+    near = settle(merge_top(block_join(first, base, "cell", search, out_shape, rows), k).drop("rank"))
+    if probe_cells:
         return near
     kth = near.groupBy("id").agg(F.max("distance").alias("bound"))
     if metric == "cosine":
         kth = kth.withColumn("bound", F.sqrt(2 * F.col("bound")))
     rest = queries.join(kth, "id").select("id", "v", "bound").mapInPandas(plan(False), open_shape)
-    more = block_join(rest, base, "cell", search, out_shape)
+    more = block_join(rest, base, "cell", search, out_shape, rows)
     return merge_top(near.unionByName(more), k).drop("rank")
 
 

@@ -27,12 +27,13 @@ def brute_neighbors(x, k, skip_self):
     return order, np.take_along_axis(d, order, 1)
 
 
-@pytest.mark.parametrize("skip_self", [True, False])
-def test_neighbors_with_a_third_of_copies_and_tiny_blocks(spark, monkeypatch, skip_self):
+@pytest.mark.parametrize("skip_self,one_cell", [(True, 0), (False, 10**6)])
+def test_neighbors_with_a_third_of_copies_and_tiny_blocks(spark, monkeypatch, skip_self, one_cell):
     rng = np.random.default_rng(3)
     x = np.concatenate([np.zeros((60, 2)), rng.normal(0, 1, (120, 2))])
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
-    monkeypatch.setattr(blocks.block_join, "__defaults__", (16,))
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "ONE_CELL_ROWS", one_cell)
     got = neighbors.nearest_neighbors(df, df, 4, "id", ["a", "b"], include_self=not skip_self).toPandas().sort_values(["query_id", "rank"])
     ids, dist = brute_neighbors(x, 4, skip_self)
     assert (got.neighbor_id.to_numpy().reshape(-1, 4) == ids).all()
@@ -96,6 +97,16 @@ def test_silhouette_blocks_equal_numpy(spark, monkeypatch):
     assert evaluate.silhouette(df, "id", ["a", "b", "c"], "k").head()["silhouette"] == pytest.approx(np.mean(s))
 
 
+def test_neighbors_on_a_lattice_break_ties_by_key(spark, monkeypatch):
+    x = np.array([[i % 6, i // 6] for i in range(36)], dtype=float)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(36), "a": x[:, 0], "b": x[:, 1]}))
+    monkeypatch.setattr(neighbors, "ONE_CELL_ROWS", 0)
+    got = neighbors.nearest_neighbors(df, df, 3, "id", ["a", "b"], "manhattan", include_self=False).toPandas().sort_values(["query_id", "rank"])
+    d = np.abs(x[:, None] - x[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert (got.neighbor_id.to_numpy().reshape(-1, 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
 def test_elbow():
     assert cluster.elbow([(2, 100.0), (3, 20.0), (4, 15.0), (5, 12.0), (6, 10.0)]) == 3
 
@@ -127,7 +138,8 @@ def test_discriminant_separates_classes_and_pca_matches_numpy(spark):
 def test_impute_knn_two_gaps_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (40, 3))
-    x[rng.random((40, 3)) < 0.2] = np.nan
+    x[::5, 0] = np.nan
+    x[::7, 1] = np.nan
     got = clean.impute_knn(spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "id bigint, a double, b double, c double"), "id", k=3)
     got = got.toPandas().sort_values("id")[["a", "b", "c"]].to_numpy()
     want = x.copy()
@@ -138,7 +150,7 @@ def test_impute_knn_two_gaps_against_brute_force(spark):
             if not np.isnan(x[o, j]) and shared.any():
                 options.append((np.sqrt(3 / shared.sum() * ((x[i] - x[o])[shared] ** 2).sum()), o))
         want[i, j] = np.mean([x[o, j] for _, o in sorted(options)[:3]]) if options else np.nanmean(x[:, j])
-    assert np.allclose(got, want)
+    assert np.allclose(got.astype(float), want)
 
 
 def test_inverse_scaling_and_degenerate_columns(spark):
