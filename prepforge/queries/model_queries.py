@@ -1,5 +1,8 @@
 """Splits, neighbours, models, clustering."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..fixtures import FIXTURES
@@ -215,14 +218,13 @@ def _(t):
     return train.train_selected(["linear", "ridge", "random_forest_regressor"], t("part"), ["p_size", "p_partkey", "p_type"], "p_retailprice", "p_partkey", {"random_forest_regressor": {"n_estimators": 5, "max_depth": 4}})
 
 
-@query("ml_save_and_load")
+@query("ml_save_and_load", f"WITH s AS {_PART}, m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM s WHERE NOT is_test) SELECT p_partkey, {r('a + b * p_size', 4)} AS prediction FROM part, m")
 def _(t):
-    import tempfile
     df = t("part")
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prepforge-model-")
-    path = f"{folder}/model-{tempfile.gettempprefix()}{id(df)}"
+    path = f"{folder}/model-{uuid.uuid4().hex}"
     train.train("linear", df, ["p_size"], "p_retailprice", "p_partkey").save(path)
-    return train.load_model(path).transform(df).select("p_partkey", "prediction")
+    return rounded(train.load_model(path).transform(df).select("p_partkey", "prediction"), 4)
 
 
 # -- clustering --------------------------------------------------------------------------------
@@ -241,12 +243,18 @@ def _(t):
     return cluster.kmeans_auto(t("customer_points"), "c_custkey", ["x", "y"], max_k=5, restarts=1)[1]
 
 
-_DB = (f"WITH RECURSIVE p AS ({_XY}), d AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.9e0), "
-       "core AS (SELECT a FROM d GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT d.a, d.b FROM d JOIN core c1 ON d.a = c1.a JOIN core c2 ON d.b = c2.a), "
-       "reach AS (SELECT a, a AS r FROM core UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.a), root AS (SELECT a, min(r) AS root FROM reach GROUP BY 1), "
-       "num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS k FROM (SELECT DISTINCT root FROM root)), "
-       "lab AS (SELECT d.a, min(root.root) AS root FROM d JOIN root ON d.b = root.a GROUP BY 1) "
-       "SELECT p.c_custkey, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM p LEFT JOIN root ON p.c_custkey = root.a LEFT JOIN lab ON p.c_custkey = lab.a LEFT JOIN num ON num.root = coalesce(root.root, lab.root)")
+def _dbscan(eps: str, least: int, extra: str = "") -> str:
+    return (f"WITH RECURSIVE p AS ({_XY}), {extra}d AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {eps}), "
+            f"core AS (SELECT a FROM d GROUP BY 1 HAVING count(*) >= {least}), e AS (SELECT d.a, d.b FROM d JOIN core c1 ON d.a = c1.a JOIN core c2 ON d.b = c2.a), "
+            "reach AS (SELECT a, a AS r FROM core UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.a), root AS (SELECT a, min(r) AS root FROM reach GROUP BY 1), "
+            "num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS k FROM (SELECT DISTINCT root FROM root)), "
+            "lab AS (SELECT d.a, min(root.root) AS root FROM d JOIN root ON d.b = root.a GROUP BY 1) "
+            "SELECT p.c_custkey, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM p LEFT JOIN root ON p.c_custkey = root.a LEFT JOIN lab ON p.c_custkey = lab.a LEFT JOIN num ON num.root = coalesce(root.root, lab.root)")
+
+
+_DB = _dbscan("0.9e0", 3)
+_EPS = ("q AS (SELECT a.c_custkey AS k, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a, p b), "
+        "w AS (SELECT k, avg(d) AS m FROM (SELECT k, d FROM q QUALIFY row_number() OVER (PARTITION BY k ORDER BY d) <= 4) GROUP BY 1), eps AS (SELECT median(m) AS v FROM w), ")
 
 
 @query("cu_dbscan", _DB)
@@ -287,7 +295,7 @@ def _(t):
     return rounded(df.sparkSession.createDataFrame([(exact_quantiles(means, ["d"], [0.5])["d"][0],)], "eps double"))
 
 
-@query("cu_knn_density_clusters")
+@query("cu_knn_density_clusters", _dbscan("(SELECT v FROM eps)", 4, _EPS))
 def _(t):
     return cluster.knn_density_clusters(t("customer_points"), "c_custkey", ["x", "y"], 4)
 

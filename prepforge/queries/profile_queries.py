@@ -165,11 +165,32 @@ def _(t):
     return rounded(pr.dataset_overview(TableProfile(_docs(t))), 1)
 
 
-@query("pr_prep_decisions")
+def _transform(c: str, table: str) -> str:
+    """The scaling rule of one numeric column: skewness and the share outside the fences."""
+    return (f"SELECT '{c}' AS \"column\", 'transform' AS stage, CASE WHEN s AND o THEN 'log + robust' WHEN s THEN 'log' WHEN o THEN 'robust' ELSE 'z-score' END AS action FROM "
+            f"(SELECT abs(skewness({c})) > 1 AS s, avg(CASE WHEN {c} < any_a - 1.5e0 * (any_c - any_a) OR {c} > any_c + 1.5e0 * (any_c - any_a) THEN 1.0e0 ELSE 0.0e0 END) > 0.05 AS o "
+            f"FROM {table}, (SELECT quantile_cont({c}, 0.25) AS any_a, quantile_cont({c}, 0.75) AS any_c FROM {table}))")
+
+
+def _encode(c: str, table: str) -> str:
+    return f"SELECT '{c}' AS \"column\", 'encode' AS stage, CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' WHEN count(DISTINCT {c}) <= 10 THEN 'one-hot' WHEN count(DISTINCT {c}) <= 50 THEN 'target' ELSE 'hash' END AS action FROM {table}"
+
+
+def _counter(c: str, table: str) -> str:
+    return f"SELECT '{c}' AS \"column\", 'drop' AS stage, 'identifier' AS action FROM {table} HAVING count(DISTINCT {c}) = count(*) AND max({c}) - min({c}) = count(*) - 1"
+
+
+@query("pr_prep_decisions", " UNION ALL ".join([_counter("o_orderkey", "orders"), _transform("o_custkey", "orders"), _transform("o_totalprice", "orders"), _encode("o_orderpriority", "orders"),
+       "SELECT 'o_orderdate', 'parse', CASE WHEN max(hour(o_orderdate) * 60 + minute(o_orderdate)) > 0 THEN 'date parts with hour' ELSE 'date parts with tenure' END FROM (SELECT o_orderdate FROM orders ORDER BY o_orderkey LIMIT 50)"]))
 def _(t):
     return prepare.prep_decisions(TableProfile(t("orders"), "o_orderstatus", ["o_orderkey"]))
 
 
+@query("pr_prep_decisions_part", " UNION ALL ".join([_counter("p_partkey", "part"), _encode("p_name", "part"), _encode("p_brand", "part"), _encode("p_type", "part"), _transform("p_size", "part"), _transform("p_retailprice", "part")]))
+def _(t):
+    return prepare.prep_decisions(TableProfile(t("part"), order_by=["p_partkey"]))
+
+
 @query("pr_prep_decisions_events")
 def _(t):
     return prepare.prep_decisions(TableProfile(t("events"), order_by=["event_id"]))
