@@ -173,7 +173,8 @@ def _transform(c: str, table: str) -> str:
 
 
 def _encode(c: str, table: str) -> str:
-    return f"SELECT '{c}' AS \"column\", 'encode' AS stage, CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' WHEN count(DISTINCT {c}) <= 10 THEN 'one-hot' WHEN count(DISTINCT {c}) <= 50 THEN 'target' ELSE 'hash' END AS action FROM {table}"
+    return (f"SELECT '{c}' AS \"column\", 'encode' AS stage, CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' WHEN count(DISTINCT {c}) <= 10 THEN 'one-hot' WHEN count(DISTINCT {c}) <= 50 THEN 'target' ELSE 'hash' END "
+            f"|| CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM {table} GROUP BY {c})) < 0.01e0 * count(*) THEN ' after grouping rare' ELSE '' END AS action FROM {table}")
 
 
 def _counter(c: str, table: str) -> str:
