@@ -269,16 +269,16 @@ def validate_dates(df: DataFrame, columns: list[str], action: str = "validate")
 
 
 def first_values(df: DataFrame, columns: list[str], n: int, order_by: list[str]) -> DataFrame:
-    """(column, value): the first n non-null values of each column as text.
+    """(column, value, rank): the first n non-null values of each column as text.
 
-    Ten rows are taken where a column has no NULLs; the general form keeps the n smallest keys per
-    column with partial group limits before the shuffle.
+    The rank filter becomes a partial group limit before the shuffle, so a column sends at most n
+    rows per partition.
     """
     order = F.struct(*[col(c) for c in order_by])
     items = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
     rows = df.select(order.alias("__o"), F.inline(items)).where("value IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("column").orderBy("__o"))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= n).select("column", "value")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("column", "value", "rank")
 
 
 def date_like_columns(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
