@@ -188,8 +188,9 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
                 out += [(n, None, int(t), int(d)) for n, t, d in zip(nodes[x].tolist(), texts, docs) if t]
             left, right = np.nonzero(link)
             out += [(int(nodes[y]), int(nodes[x]), 0, 0) for x, y in forest(len(nodes), a[left], b[right])]
-        frame = pd.DataFrame(out, columns=["node", "other", "texts", "documents"])
-        return frame.astype({"other": "Int64"})
+        columns = list(zip(*out)) or [[]] * 4
+        # 64-bit numbers beside nulls must not become doubles
+        return pd.DataFrame({name: pd.array(list(c), dtype="Int64") for name, c in zip(("node", "other", "texts", "documents"), columns)})
 
     return rows.groupBy("task", "i", "j").applyInPandas(run, "node bigint, other bigint, texts bigint, documents bigint")
 
