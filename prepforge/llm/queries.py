@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_duplicates, packing, quality, secrets, token_files, toxicity
+from . import bpe, language_model, near_duplicates, packing, quality, secrets, token_files, toxicity
 from .storage import scratch_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir))
     return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
@@ -54,5 +58,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op5_line_quality, op6_packing, op7_token_files, op9_secrets, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op5_line_quality, op6_packing, op7_token_files, op8_language_model, op9_secrets, op10_toxicity)}
 ORACLES: dict[str, str] = {"op5_line_quality": quality.oracle()}
