@@ -211,7 +211,7 @@ def classes(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     texts = stored(by_set.select("fp", F.col("node").alias("least"), "copies", "bands", F.xxhash64("fp").alias("node")), "texts")
     groups = connected_components(candidate_edges(texts))
     members = stored(texts.join(groups.withColumnsRenamed({"id": "node", "root": "grp"}), "node").select("fp", "node", "least", "copies", "grp"), "members")
-    found = stored(verified(gram_sets(documents, signed, members, n, text), threshold), "links")
+    found = stored(verified(stored(gram_sets(documents, members, n, text), "sets"), threshold), "links")
     joined = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     known = members.select("node", "fp", "least").join(joined.withColumnsRenamed({"id": "node"}), "node").join(counts, "node")
@@ -224,7 +224,7 @@ def classes(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
                       F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
 
 
-def gram_sets(documents: DataFrame, signed: DataFrame, members: DataFrame, n: int, text: str = "text") -> DataFrame:
+def gram_sets(documents: DataFrame, members: DataFrame, n: int, text: str = "text") -> DataFrame:
     """``members`` with their n-gram sets, made anew from one document of each."""
     wanted = members.select(F.col("least").alias("w_doc"), F.col("fp").alias("w_fp"), "node", "copies", "grp")
     small = fits(wanted, 200_000)
