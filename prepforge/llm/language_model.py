@@ -63,6 +63,11 @@ def chunks(documents: DataFrame, folds: int = 10, endings: int = ENDINGS, text:
             if b"" in words:  # what a split leaves before leading or after trailing white space is no word
                 real = where != words.index(b"")
                 where, doc = where[real], doc[real]
+            # frequent words get small codes, which leaves the upper bytes of most codes empty
+            place = np.argsort(-np.bincount(where, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), dtype="int64")
+            rank[place] = np.arange(len(words))
+            where, words = rank[where] if len(words) else where, [words[i] for i in place.tolist()]
             sizes = np.bincount(doc, minlength=len(texts)) + 1
             ends = np.cumsum(sizes)
             codes = np.full(int(ends[-1]), len(words), dtype="int64")
@@ -72,7 +77,7 @@ def chunks(documents: DataFrame, folds: int = 10, endings: int = ENDINGS, text:
             doc_ids = part.column(0).to_pylist()
             held = np.array([is_held_out(d, folds) for d in doc_ids])
             counts = np.bincount(codes[~np.repeat(held, sizes)], minlength=len(words) + 1)
-            row = {"chunk": number, "doc_ids": doc_ids, "held": held.tolist(), "sizes": sizes.astype("int32"), "codes": codes.astype("<u4").tobytes(),
+            row = {"chunk": number, "doc_ids": doc_ids, "held": held.tolist(), "sizes": sizes.astype("int32"), "codes": to_planes(codes),
                    "words": [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words] + [END], "endings": [ending_class(w, endings) for w in words] + [0], "counts": counts}
             number += 1
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
@@ -81,6 +86,15 @@ def chunks(documents: DataFrame, folds: int = 10, endings: int = ENDINGS, text:
     return documents.select("doc_id", F.col(text).alias("text")).mapInArrow(run, CHUNKS)
 
 
+def to_planes(codes: np.ndarray) -> bytes:
+    """All lowest bytes first, then the next: empty upper bytes compress to nothing."""
+    return np.ascontiguousarray(codes.astype("<u4").view("uint8").reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype="uint8").reshape(4, -1).T).view("<u4").ravel()
+
+
 class Classes:
     """Words as classes: 0 .. top - 1 the frequent words by hash, then endings, last the start of a text."""
 
@@ -121,7 +135,7 @@ def pair_counts(table: DataFrame, classes: Classes) -> np.ndarray:
                 held, sizes, codes, words, endings = (batch.column(k)[i] for k in range(5))
                 sizes = sizes.values.to_numpy(zero_copy_only=False).astype("int64")
                 of = classes.of(words.values.to_numpy(zero_copy_only=False), endings.values.to_numpy(zero_copy_only=False).astype("int64"))
-                seq = of[np.frombuffer(codes.as_buffer(), dtype="<u4")]
+                seq = of[from_planes(codes.as_buffer())]
                 train = ~np.repeat(held.values.to_numpy(zero_copy_only=False), sizes)
                 for d in range(DISTANCES):
                     cells = contexts(seq, sizes, classes.start, d + 1) * size + seq
@@ -233,7 +247,7 @@ def score(documents: DataFrame, folds: int = 10, top_words: int = TOP_WORDS, end
     texts are their end token; a null doc_id is a training document; repeated rows are scored and counted
     each.  Without training documents all classes are alike.  Other columns are not read.
     """
-    table = stored(chunks(documents, folds, endings, text), "chunks")
+    table = stored(chunks(documents, folds, endings, text), "chunks", "zstd")
     pairs = table.select("chunk", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("code", "w")).select("chunk", "code", F.col("w.words").alias("word"), F.col("w.endings").alias("ending"), F.col("w.counts").alias("n"))
     counts = stored(pairs.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")), "counts")
     model = fit(table, counts, top_words, endings)
@@ -248,7 +262,7 @@ def score(documents: DataFrame, folds: int = 10, top_words: int = TOP_WORDS, end
         for i in range(left.num_rows):
             get = lambda k: left.column(k).combine_chunks()[i]
             sizes = get("sizes").values.to_numpy(zero_copy_only=False).astype("int64")
-            codes = np.frombuffer(get("codes").as_buffer(), dtype="<u4")
+            codes = from_planes(get("codes").as_buffer())
             ends = get("endings").values.to_numpy(zero_copy_only=False).astype("int64")
             of = lm.classes.of(get("words").values.to_numpy(zero_copy_only=False), ends)
             base = np.log10((c + PRIOR) / (lm.tokens + PRIOR * (lm.words + 1)))
