@@ -38,6 +38,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 STRETCH, SQUASH = _tables()
+UP = np.array([1, 2, 3, 4, 5, 6, 7, 7], dtype="int64")
 
 
 class Model:
@@ -49,8 +50,8 @@ class Model:
 
     def __init__(self, alphabet: int):
         self.n = alphabet
-        self.id1, self.sure1 = np.zeros(alphabet, dtype="int64"), np.zeros(alphabet, dtype="int64")
-        self.id2, self.sure2 = np.zeros(1 << self.CONTEXTS, dtype="int64"), np.zeros(1 << self.CONTEXTS, dtype="int64")
+        # a remembered id and its confidence (0 to 7) in one number
+        self.order1, self.order2 = np.zeros(alphabet, dtype="int64"), np.zeros(1 << self.CONTEXTS, dtype="int64")
         self.counts = np.ones(alphabet, dtype="int64")
         self.pending: list[np.ndarray] = []
         self.steps = 0
@@ -59,8 +60,14 @@ class Model:
         self.right = np.full((2, 8), 4, dtype="int64")
         # mixing weights in 1/65536 for each order and confidence: own success, the other order, order 0
         self.weights = np.tile(np.array([_ONE, _ONE // 4, _ONE // 4], dtype="int64"), (2, 8, 1))
+        self._settle()
         self._refresh()
 
+    def _settle(self):
+        """What the predictions of the next steps read."""
+        self.own = STRETCH[(self.right << 12) // (self.tries + 1)]
+        self.columns = np.ascontiguousarray(self.weights.transpose(0, 2, 1))
+
     def _refresh(self):
         if self.pending:
             self.counts += self.STEP * np.bincount(np.concatenate(self.pending), minlength=self.n)
@@ -75,11 +82,10 @@ class Model:
         """Remembered ids and the frequencies (of 65536) of "order 2 right" and "order 1 right"."""
         self.slot = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - self.CONTEXTS)
         self.p1 = p1
-        self.c2, self.c1 = self.id2[self.slot], self.id1[p1]
-        self.k2, self.k1 = self.sure2[self.slot], self.sure1[p1]
+        e2, e1 = self.order2[self.slot], self.order1[p1]
+        self.c2, self.c1, self.k2, self.k1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
         self.same = self.c1 == self.c2
-        share = STRETCH[(self.right << 12) // (self.tries + 1)]
-        own2, own1 = share[0][self.k2], share[1][self.k1]
+        own2, own1 = self.own[0][self.k2], self.own[1][self.k1]
         rare = self.shares
         self.in2 = (own2, np.where(self.same, own1, -own1), rare[self.c2])
         self.in1 = (own1, -own2, rare[self.c1])
@@ -96,19 +102,20 @@ class Model:
         return np.searchsorted(self.ends, v, "right")
 
     def _mix(self, order: int, k: np.ndarray, inputs) -> np.ndarray:
-        w = self.weights[order]
-        s = sum(w[:, j][k] * x for j, x in enumerate(inputs)) >> 16
-        return SQUASH[np.clip(s + 2048, 0, 4095)]
+        w = self.columns[order]
+        s = (w[0][k] * inputs[0] + w[1][k] * inputs[1] + w[2][k] * inputs[2]) >> 16
+        return SQUASH[np.minimum(np.maximum(s + 2048, 0), 4095)]
 
     def update(self, ids: np.ndarray):
         hit2, hit1 = ids == self.c2, ids == self.c1
-        self._learn(0, self.k2, hit2, self.q2, self.in2)
-        other = ~hit2 & ~self.same
-        self._learn(1, self.k1[other], hit1[other], self.q1[other], [x[other] for x in self.in1])
-        self.id2[self.slot] = np.where(hit2 | (self.k2 > 1), self.c2, ids)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.k2 + 1, 7), np.where(self.k2 > 1, self.k2 >> 1, 1))
-        self.id1[self.p1] = np.where(hit1 | (self.k1 > 1), self.c1, ids)
-        self.sure1[self.p1] = np.where(hit1, np.minimum(self.k1 + 1, 7), np.where(self.k1 > 1, self.k1 >> 1, 1))
+        if self.steps < 16 or self.steps % 4 == 0:
+            self._learn(0, self.k2, hit2, self.q2, self.in2)
+            other = np.flatnonzero(~(hit2 | self.same))
+            self._learn(1, self.k1[other], hit1[other], self.q1[other], [x[other] for x in self.in1])
+            self._settle()
+        new = ids << 3 | 1
+        self.order2[self.slot] = np.where(hit2, (self.c2 << 3) + UP[self.k2], np.where(self.k2 > 1, (self.c2 << 3) + (self.k2 >> 1), new))
+        self.order1[self.p1] = np.where(hit1, (self.c1 << 3) + UP[self.k1], np.where(self.k1 > 1, (self.c1 << 3) + (self.k1 >> 1), new))
         self.pending.append(ids)
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 8 == 0:
