@@ -188,7 +188,7 @@ KINDS = {
     "date": (r"(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d\-/]|\.\d)", date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", ssn),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", ip),
-    "card": (r"(?<![\dA-Za-z.])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z])", card),
+    "card": (r"(?<![\dA-Za-z.])(?:\d{13,19}|\d{4}(?P<cut>[ \-])\d{4}(?P=cut)\d{4}(?P=cut)\d{4}|\d{4}(?P<part>[ \-])\d{6}(?P=part)\d{5})(?![\dA-Za-z])", card),
     "phone": (r"(?<![\dA-Za-z.])(?:\+\d{1,3}[ .\-]?)?\(\d{1,4}\)[ .\-]?\d{2,4}(?P<gap>[ .\-]?)\d{2,4}(?:(?P=gap)\d{2,4}){0,2}(?![\dA-Za-z])"
               r"|(?<![\dA-Za-z.])\+\d{1,3}(?P<space>[ .\-])\d{2,4}(?:(?P=space)\d{2,4}){1,4}(?![\dA-Za-z])|(?<![\dA-Za-z.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\dA-Za-z\-])", phone),
 }

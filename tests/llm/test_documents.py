@@ -1,0 +1,217 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from oracle import compare, connection
+from prepforge.llm import language_model, near_duplicates, pii, quality, queries, secrets, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    assert compare(spark, connection(SF), SF, name, queries.QUERIES[name], queries.ORACLES[name]) is None
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(n))
+
+
+# -- quality -------------------------------------------------------------------------------------------
+def test_quality_removes_shared_lines_but_not_copies(docs):
+    rnd = random.Random(1)
+    boiler = prose(rnd, 90)
+    texts = [prose(rnd, 60) + "\n" + boiler for _ in range(20)] + [prose(rnd, 60) + "\n" + prose(rnd, 60) for _ in range(20)]
+    copied = "\n".join(prose(rnd, 30) for _ in range(4))
+    rows = {r.doc_id: r for r in quality.judge(docs(texts + [copied] * 20)).collect()}
+    assert not any(rows[i].kept for i in range(20)) and all(rows[i].removed_words == 90 for i in range(20))
+    assert all(rows[i].kept for i in range(20, 60))
+
+
+def test_quality_of_odd_rows(odd):
+    rows = quality.judge(odd).collect()
+    assert len(rows) == 9
+    by = {r.doc_id: r for r in rows}
+    assert by[0].n_words == 0 and by[0].base_failed and not by[1].kept
+    assert by[4].n_repeat_words == by[4].n_words == 40_000 and by[4].base_failed
+    assert quality.keep_good(odd).count() == 0 and quality.keep_good(odd.limit(0)).count() == 0
+    assert quality.text_stats("a b c a b c\n\n#x\n#x")[2:] == (2, 1, 6)
+
+
+# -- near duplicates -------------------------------------------------------------------------------------
+def test_near_duplicates_against_brute_force(docs, monkeypatch):
+    rnd = random.Random(2)
+    texts = [prose(rnd, 80) for _ in range(30)] + ["short text", "Short  TEXT", "", "", None]
+    base = prose(rnd, 120).split()
+    for _ in range(40):  # one large group of different near copies, in several blocks
+        words = list(base)
+        words[rnd.randrange(len(words))] = "zz" + str(rnd.random())
+        texts.append(" ".join(words))
+    texts += texts[:5] + [texts[0]] * 3
+    monkeypatch.setattr(near_duplicates, "BLOCK_TEXTS", 8)
+    rows = {r.doc_id: r for r in near_duplicates.classes(docs(texts)).collect()}
+    sets = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    link = defaultdict(set)
+    for i in sets:
+        for j in sets:
+            if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                link[i].add(j)
+    assert {i: rows[i].links for i in sets} == {i: len(link[i]) for i in sets}
+    todo, root = dict(link), {}
+    for i in sorted(sets):
+        stack = [i]
+        while stack:
+            k = stack.pop()
+            if k not in root:
+                root[k] = i
+                stack += todo.get(k, ())
+    assert {i: rows[i].class_id for i in sets} == root
+    kept = sorted(r.doc_id for r in near_duplicates.keep_one(docs(texts)).collect())
+    assert kept == sorted(set(root.values()))
+
+
+def test_near_duplicates_of_odd_rows(odd):
+    rows = near_duplicates.classes(odd).collect()
+    assert len(rows) == 9
+    assert sorted(r.links for r in rows if r.doc_id in (5, 6)) == [2, 2, 2] and {r.class_id for r in rows if r.doc_id in (5, 6)} == {5}
+    assert sorted(r.doc_id or -1 for r in near_duplicates.keep_one(odd).collect() if r.text) == [-1, 2, 3, 4, 5]
+    assert near_duplicates.classes(odd.limit(0)).count() == 0
+    assert 1 - (1 - 0.8 ** 5) ** near_duplicates.band_count(0.8, 0.9999, 5) >= 0.9999
+
+
+# -- toxicity ---------------------------------------------------------------------------------------------
+def test_levenshtein_automaton_over_the_trie():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd, terms = random.Random(3), ["idiot", "stupid", "clown", "loser", "trash"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 2.0), {"abcd": 3.0}, set(terms))
+    words = set(terms) | {"abcde", "abcd", "abc"}
+    for t in terms:
+        for _ in range(300):
+            w = list(t)
+            for _ in range(rnd.randint(0, 3)):
+                k = rnd.randrange(len(w) + 1)
+                w[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "t", "x"])
+            words.add("".join(w))
+    for w in words:
+        near = min(distance(w, t) for t in terms)
+        assert lexicon.match(w) == (2.0 * (near == 0), 2.0 * (near == 1), 3.0 * w.startswith("abcd")), w
+
+
+def test_quotation_weighs_less_than_abuse():
+    lexicon = toxicity.Lexicon({"idiot": 4.0}, {}, {"idiot"})
+    top = lambda t: toxicity.features(t, lexicon)[0]
+    assert top("you are an idiot") > top('the word "idiot" is old') and top("an id1ot here") > 0 and top("") == 0
+
+
+def test_toxicity_learns_from_training_rows_only(spark, docs, odd):
+    rnd = random.Random(5)
+    toxic = [i % 4 == 0 for i in range(400)]
+    texts = [prose(rnd, 40) + (" grumblefex" if t else "") + " " + prose(rnd, 20) for t in toxic]
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.ToxicityModel.fit(docs(texts), labels)
+    rows = {r.doc_id: r.score for r in model.score(docs(texts)).collect()}
+    held = [i for i in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(rows[i] >= 0.5) == toxic[i] for i in held]) > 0.97
+    assert toxicity.keep_civil(docs(texts), model).count() == sum(s < 0.5 for s in rows.values())
+    scored = model.score(odd).collect()
+    assert len(scored) == 9 and all(0 <= r.score <= 1 for r in scored)
+    empty = toxicity.ToxicityModel.fit(odd.limit(0), labels.limit(0))
+    assert empty.score(docs(["you idiot, you moron", "fine"])).where("score >= 0.5").count() == 1
+
+
+# -- secrets -----------------------------------------------------------------------------------------------
+def test_secrets(docs, odd):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'é the token = "{key}" and', "number 4111111111111111 here", f"commit {key} of the file", "plain words only", f'TOKEN = "{key.upper()}"!!']
+    table = docs(texts)
+    rows = secrets.scan(table).collect()
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.value for r in rows) and len(rows) == 4
+    assert {r.doc_id for r in rows if r.is_secret} == {0, 4}
+    clean = {r.doc_id: r for r in secrets.redact(table).collect()}
+    assert clean[0].text == 'é the token = "[SECRET]" and' and clean[0].n_chars == len(clean[0].text) and clean[2].text == texts[2]
+    assert secrets.scan(odd).count() == 0 and secrets.redact(odd).count() == 9 and secrets.redact(odd).columns == odd.columns
+
+
+def test_secret_scan_is_native(docs):
+    plan = secrets.scan(docs(["x"]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# -- pii ---------------------------------------------------------------------------------------------------
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 10, 97, 1000):
+        assert sorted(pii.permute(i, n, b"k", b"t") for i in range(n)) == list(range(n))
+
+
+@pytest.mark.parametrize("kind,value,valid", [
+    ("card", "4111 1111 1111 1111", pii.luhn_valid), ("ip", "10.0.0.1", lambda v: all(0 <= int(p) < 256 for p in v.split("."))),
+    ("iban", "DE89 3704 0044 0532 0130 00", pii.iban_valid), ("date", "31.12.1999", lambda v: re.fullmatch(r"\d\d\.\d\d\.\d{4}", v)),
+    ("date", "3/7/2001", lambda v: re.fullmatch(r"\d/\d/\d{4}", v)), ("ssn", "078-05-1120", lambda v: v[:3] != "000"),
+    ("phone", "+1 (017) 555-7713", lambda v: v.startswith("+1 (")), ("email", "a.b-c3@x.example.com", lambda v: v.endswith("@x.example.com"))])
+def test_pseudonyms_keep_their_format(kind, value, valid):
+    text, found = pii.Pseudonymizer(b"key")(f"so {value}, and {value} 5")
+    assert [f[0] for f in found] == [kind, kind] and found[0][2] == found[1][2] != value
+    new = found[0][2]
+    plain = new if kind != "card" else new.replace(" ", "")
+    assert valid(plain) and re.sub(r"\d+", "9", re.sub("[a-z]+", "a", new)) == re.sub(r"\d+", "9", re.sub("[a-z]+", "a", value))
+    assert all(text[s:s + len(v)] == v for _, s, v in found)
+    assert pii.Pseudonymizer(b"other")(value)[0] != new
+
+
+def test_invalid_values_and_odd_rows_stay(odd):
+    for text in ("4111111111111112", "999.1.1.1", "version 1.2.3.4.5", "2023-02-30", "000-12-1234"):
+        assert pii.Pseudonymizer()(text) == (text, [])
+    rows = pii.pseudonymize(odd).collect()
+    assert sorted(map(str, (r.text for r in rows))) == sorted(map(str, (r.text for r in odd.collect()))) and all(r.pii == [] for r in rows)
+
+
+# -- language model ------------------------------------------------------------------------------------------
+def test_language_model(docs, odd):
+    rnd = random.Random(6)
+    tongue = {c: ["".join(rnd.choice(c) for _ in range(rnd.randint(2, 4))) for _ in range(300)] for c in ("abcde", "vwxyz")}
+    texts = [" ".join(rnd.choice(tongue[c]) for _ in range(80)) for c in tongue for _ in range(150)] + [None, "  LEAD ing "]
+    rows = {r.doc_id: r for r in language_model.score(docs(texts)).collect()}
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").lower().split(), 0])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        words = [*(t or "").lower().split(), 0]
+        base = sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+        assert abs(rows[i].base_score - base) < 1e-6 and rows[i].n_tokens == len(words) and rows[i].n_known == sum(counts[w] > 0 for w in words) and rows[i].train_tokens == n
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert language_model.score(odd).count() == 9 and language_model.score(odd.limit(0)).count() == 0
+
+
+def test_class_probabilities_sum_to_one():
+    pairs = np.random.default_rng(1).poisson(3.0, (30, 30)).astype(float)
+    p = np.exp(language_model.train_log_bilinear(pairs, rounds=60))
+    assert np.allclose(p.sum(axis=1), 1) and p[:, -1].max() == 0
+    share = pairs / pairs.sum(axis=1, keepdims=True)
+    assert np.corrcoef(np.log(p[:-1, :-1]).ravel(), np.log(share[:-1, :-1] + 0.02).ravel())[0, 1] > 0.5
+
+
+# -- pipeline ------------------------------------------------------------------------------------------------
+def test_pipeline_against_its_stages(spark):
+    import corpus_pipeline as pipeline
+    names = [n for n, _ in pipeline.STAGES]
+    assert names == ["quality", "toxicity", "near_duplicates", "secrets", "packing"]
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    good = {r.doc_id for r in quality.judge(documents).where("kept").collect()}
+    first = pipeline.quality_rules(spark, documents, SF)
+    assert {r.doc_id for r in first.collect()} == good and first.columns == documents.columns
+    pieces = pipeline.run(spark, SF).collect()
+    assert pieces and {r.doc_id for r in pieces} <= good
