@@ -30,6 +30,7 @@ from .tokens import slices
 
 TOP_WORDS, ENDINGS, WIDTH, NOISE, ROUNDS = 512, 160, 24, 8, 160
 DISTANCES = 2
+RIDGE = 10.0
 CHUNK_BYTES = 8_000_000
 PRIOR = 0.1
 END = xxhash.xxh3_64_intdigest(b" end") - (1 << 63)  # no word holds a space
@@ -177,13 +178,15 @@ def train_log_bilinear(pairs: np.ndarray, width: int = WIDTH, noise: int = NOISE
     params = [rng.normal(0, 0.1, (size, width)), np.eye(width), rng.normal(0, 0.1, (size, width)), np.log(share)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     shift = np.log(noise * share)
+    fade = RIDGE / max(total, 1.0)
     for t in range(1, rounds + 1):
         r, c, q, b = params
         h = r @ c
         told = 1 / (1 + np.exp(-np.clip(h @ q.T + b - shift, -30, 30)))
         g = drawn * told - seen * (1 - told)
         dh = g @ q
-        grads = [dh @ c.T, r.T @ dh, g.T @ h, g.sum(axis=0)]
+        # a penalty that fades with the corpus keeps few counts from being learned by heart
+        grads = [dh @ c.T + fade * r, r.T @ dh, g.T @ h + fade * q, g.sum(axis=0)]
         step = rate * min(1.0, 2.0 * (1 - t / (rounds + 1)))
         for p, m, v, d in zip(params, first, second, grads):
             m += 0.1 * (d - m)
