@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from functools import reduce
@@ -84,16 +83,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return columns_by_kind(df)["numeric"]
 
 
-def unique_column_names(names: list[str]) -> list[str]:
-    """Repeated names get the suffixes ``__v2``, ``__v3`` and so on."""
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}__v{seen[name]}")
-    return out
-
-
 def need_columns(df: DataFrame, names) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -141,17 +130,21 @@ def settle(df: DataFrame) -> DataFrame:
     planner its size.  The folder is the one the session names in ``spark.checkpoint.dir``; only a
     local session without that setting gets a folder of its own.
     """
+    path = settled_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
     global _local_folder
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         _local_folder = _local_folder or tempfile.mkdtemp(prefix="prepforge-checkpoint-")
         folder = _local_folder
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
 
 
 _local_folder: str | None = None
@@ -194,7 +187,7 @@ def numbered(df: DataFrame, order: list[str], name: str, single_task_rows: int =
     """
     keys = [col(o) for o in order]
     if small_or_none(df, single_task_rows):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("bigint"))
     ranged = settle(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").count()
     before = sizes.select("__range", (F.sum("count").over(Window.orderBy("__range")) - F.col("count")).alias("__before"))
@@ -240,7 +233,3 @@ def long_rows(df: DataFrame, pairs: list[tuple[str, Column]], key: str = "column
 def facts_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A result table from fitted scalars (one row per column or class, never per data row)."""
     return spark.createDataFrame(rows, schema)
-
-
-def safe_name(value) -> str:
-    return re.sub(r"\s+", " ", str(value))

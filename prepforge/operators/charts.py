@@ -84,11 +84,11 @@ def box_data(df: DataFrame, column: str, by: str) -> DataFrame:
 
 
 def pie_data(df: DataFrame, names: str, values: str | None = None) -> DataFrame:
-    """(names, value, share): row count, or the sum of ``values``."""
+    """(names, value, share): row count, or the sum of ``values``; shares of a zero total are NULL."""
     value = F.count(F.lit(1)).cast("double") if values is None else F.sum(finite(df, values))
     parts = df.groupBy(col(names)).agg(value.alias("value"))
     total = parts.agg(F.sum("value").alias("__total"))
-    return parts.crossJoin(F.broadcast(total)).select(col(names), "value", (F.col("value") / F.col("__total")).alias("share"))
+    return parts.crossJoin(F.broadcast(total)).select(col(names), "value", F.try_divide("value", "__total").alias("share"))
 
 
 def heatmap_pivot(df: DataFrame, x: str, y: str, z: str, wide: bool = False, max_columns: int = 1000) -> DataFrame:

@@ -105,19 +105,19 @@ def roc_points(df: DataFrame, label: str, score: str, positive=1, thresholds: in
 
 
 def roc_curve(df: DataFrame, label: str, score: str, positive=1, thresholds: int | None = None) -> DataFrame:
-    """(threshold, fpr, tpr); the starting point (0, 0) has no threshold."""
+    """(threshold, fpr, tpr); the starting point (0, 0) has no threshold.  A rate over no rows is NULL."""
     p = roc_points(df, label, score, positive, thresholds)
-    rates = p.select("threshold", (F.col("fp") / F.col("negatives")).alias("fpr"), (F.col("tp") / F.col("positives")).alias("tpr"))
+    rates = p.select("threshold", F.try_divide("fp", "negatives").alias("fpr"), F.try_divide("tp", "positives").alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return rates.unionByName(start)
 
 
 def auc(df: DataFrame, label: str, score: str, positive=1, thresholds: int | None = None) -> DataFrame:
-    """(auc, positives, negatives, performance_band) by the trapezoid rule, exact for tied scores."""
+    """(auc, positives, negatives, performance_band) by the trapezoid rule, exact for tied scores; NULL with one class only."""
     p = roc_points(df, label, score, positive, thresholds)
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))) / 2.0
     out = p.agg(area.alias("a"), F.max("positives").alias("positives"), F.max("negatives").alias("negatives"))
-    value = (F.col("a") / (F.col("positives") * F.col("negatives"))).alias("auc")
+    value = F.try_divide(F.col("a"), F.col("positives") * F.col("negatives")).alias("auc")
     return out.select(value, "positives", "negatives").withColumn("performance_band", band(F.col("auc"), SCORE_BANDS, "poor"))
 
 
@@ -173,9 +173,12 @@ def subgroup_metrics(df: DataFrame, by: str, label: str, prediction: str, task:
 # -- clusters ----------------------------------------------------------------------------------
 
 def spread_columns(df: DataFrame, columns: list[str] | str, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """Plain double columns x0.. from numeric columns or one array column (its length is read from one row)."""
+    """Plain double columns x0.. from numeric columns or one array column whose vectors must have one length."""
     if isinstance(columns, str):
-        width = df.select(F.size(col(columns))).head()[0]
+        sizes = df.where(col(columns).isNotNull()).agg(F.min(F.size(col(columns))), F.max(F.size(col(columns)))).head()
+        if sizes[0] != sizes[1]:
+            raise ValueError(f"vectors of {columns} have {sizes[0]} to {sizes[1]} components")
+        width = sizes[0] or 0
         xs = [F.get(col(columns), F.lit(i)).cast("double") for i in range(width)]
     else:
         xs = [col(c).cast("double") for c in columns]

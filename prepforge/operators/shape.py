@@ -7,8 +7,9 @@ import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.frame import col, dtype_of, is_integral, is_numeric, need_columns, quote
+from ..functions.frame import col, dtype_of, finite, is_integral, is_numeric, need_columns, quote
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
 
@@ -49,7 +50,10 @@ def group_aggregate(df: DataFrame, group_col: str, target_col: str, agg: str) ->
     need_columns(df, [group_col, target_col])
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}; use one of {sorted(AGGREGATES)}")
-    value = AGGREGATES[agg](col(target_col))
+    kind = df.schema[target_col].dataType
+    # NaN and infinities count as missing
+    source = finite(df, target_col).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else col(target_col)
+    value = AGGREGATES[agg](source)
     if agg == "sum":
         value = F.coalesce(value, F.lit(0))
     return df.where(col(group_col).isNotNull()).groupBy(col(group_col)).agg(value.alias(f"{agg}_{target_col}"))

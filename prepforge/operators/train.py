@@ -172,7 +172,9 @@ def scalar_stage(name: str, text: str) -> SQLTransformer:
 
 
 def depth_of(value) -> int:
-    return MAX_TREE_DEPTH if value is None else min(int(value), MAX_TREE_DEPTH)
+    if value is not None and int(value) > MAX_TREE_DEPTH:
+        raise ValueError(f"trees have at most {MAX_TREE_DEPTH} levels, not {value}")
+    return MAX_TREE_DEPTH if value is None else int(value)
 
 
 def fourier_stage(inputs: list[str], gamma: float, width: int, seed: int = 42) -> tuple[SQLTransformer, list[str]]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..fixtures import FIXTURES
 from ..functions.frame import rounded
-from ..functions.quantiles import exact_quantiles
 from ..operators import cluster, evaluate, neighbors, train
 from .registry import fx, query, r
 
@@ -290,9 +289,7 @@ def _(t):
 @query("cu_knn_density_eps", f"WITH {_near('euclidean', 5, 'true')}, m AS (SELECT query_id, avg(distance) AS d FROM top GROUP BY 1) SELECT {r('median(d)')} AS eps FROM m")
 def _(t):
     df = t("embeddings")
-    near = neighbors.nearest_neighbors(df, df, 5, "vec_id", "embedding")
-    means = near.groupBy("query_id").agg(F.avg("distance").alias("d"))
-    return rounded(df.sparkSession.createDataFrame([(exact_quantiles(means, ["d"], [0.5])["d"][0],)], "eps double"))
+    return rounded(df.sparkSession.createDataFrame([(cluster.neighbor_eps(df, "vec_id", "embedding", 5),)], "eps double"))
 
 
 @query("cu_knn_density_clusters", _dbscan("(SELECT v FROM eps)", 4, _EPS))

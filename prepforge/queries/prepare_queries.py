@@ -3,7 +3,7 @@
 from ..functions.frame import rounded
 from ..operators import clean, encode, scale, shape
 from ..plans.steps import apply_steps
-from ..sources.tables import preview, read_table
+from ..sources.tables import preview, read_table, write_table
 from .registry import ORACLES, QUERIES, each, fx, q, query, r
 
 # -- sources -----------------------------------------------------------------------------------
@@ -13,8 +13,9 @@ ORACLES["io_read_table"] = "SELECT * FROM customer"
 
 
 def _written(spark, sf):
-    from ..functions.frame import settle
-    return settle(shape.compute(read_table(spark, f"{sf}/supplier.parquet"), "[s_acctbal] * 2", "doubled"))
+    from ..functions.frame import settled_path
+    doubled = shape.compute(read_table(spark, f"{sf}/supplier.parquet"), "[s_acctbal] * 2", "doubled")
+    return write_table(doubled, settled_path(spark))
 
 
 QUERIES["io_write_table"] = _written

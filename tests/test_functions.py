@@ -69,7 +69,6 @@ def test_components_on_a_long_chain(spark):
 
 
 def test_names_and_literals(spark):
-    assert frame.unique_column_names(["a", "b", "a", "a"]) == ["a", "b", "a__v2", "a__v3"]
     text = "it's \\ `odd`"
     df = spark.createDataFrame([(text, 1)], ["we`ird", "n"])
     out = Projection(add={"hit": f"{frame.quote('we`ird')} = {frame.literal_sql(text)}"}).transform(df)
