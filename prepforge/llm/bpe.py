@@ -175,7 +175,6 @@ class SpeculativeBpe(Merges):
         self.known = np.zeros(0, dtype="int64")
         self.known_good = np.zeros(0, dtype=bool)
         self.speculated = self.failed = 0
-        self.words: dict[str, bytes] = {}
         self.find = regex.compile(BYTE_LEVEL).findall
 
     # -- proposal ---------------------------------------------------------------------------------
@@ -303,13 +302,8 @@ class SpeculativeBpe(Merges):
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         split = [self._words(p) for p in pieces]
-        new = list({w for ws in split for w in ws if w not in self.words})
-        if len(self.words) > 400_000:
-            self.words.clear()
-            new = list({w for ws in split for w in ws})
-        if new:
-            self.words.update(zip(new, self.encode_words([w.encode() for w in new])))
-        get = self.words.__getitem__
+        words = list({w for ws in split for w in ws})
+        get = dict(zip(words, self.encode_words([w.encode() for w in words]))).__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def encode_whole(self, text: str) -> bytes:
@@ -327,7 +321,6 @@ class WordBpe(Merges):
         super().__init__(path)
         self.library = None
         self.path = path
-        self.words: dict[str, bytes] = {}
         self.find = regex.compile(WORD_SPLIT).findall
 
     def encode_whole(self, text: str) -> bytes:
@@ -346,12 +339,8 @@ class WordBpe(Merges):
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         split = [self._words(p) for p in pieces]
-        if len(self.words) > 400_000:
-            self.words.clear()
-        new = list({w for ws in split if ws for w in ws if w not in self.words})
-        if new:
-            self.words.update(zip(new, self.merge_words([w.encode() for w in new])))
-        get = self.words.__getitem__
+        words = list({w for ws in split if ws for w in ws})
+        get = dict(zip(words, self.merge_words([w.encode() for w in words]))).__getitem__
         return [self.encode_whole(p) if ws is None else b"".join(map(get, ws)) for p, ws in zip(pieces, split)]
 
 

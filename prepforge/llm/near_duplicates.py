@@ -50,7 +50,7 @@ class Grams:
         if len(words) < self.n:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], dtype="uint64")
         known = self.words
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words):
             if w not in known:
@@ -81,7 +81,7 @@ def signatures(documents: DataFrame, n: int, bands: int, rows: int, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, (factors, offsets) = Grams(n), hash_family(bands * rows)
         mix = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(rows)], dtype="uint64")
-        for part in slices(batches):
+        for part in slices(batches, release=[make.words.clear]):
             fps, sizes, hashes = [], [], []
             for t in part.column(1).to_pylist():
                 grams = make(t)
@@ -232,7 +232,7 @@ def gram_sets(documents: DataFrame, members: DataFrame, n: int, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Grams(n)
-        for part in slices(batches):
+        for part in slices(batches, release=[make.words.clear]):
             sets, keep = [], []
             for i, (t, fp) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 grams = make(t)

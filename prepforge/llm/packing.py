@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import piece_encoder
-from .tokens import slices
+from .tokens import give_back, slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-WINDOW_TOKENS = 1 << 22
+WINDOW_TOKENS = 1 << 20
 
 
 def capacities(total: int, size: int) -> list[int]:
@@ -69,6 +69,7 @@ def pack(documents: DataFrame, path: str, size: int = 4096, end_id: int = 2, win
         raise ValueError("the sequence length must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = piece_encoder(path)
         base, used = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         tail = np.uint32(end_id).astype("<u4").tobytes()
@@ -87,7 +88,7 @@ def pack(documents: DataFrame, path: str, size: int = 4096, end_id: int = 2, win
             doc_ids, ids, held = [], [], 0
             return out
 
-        for part in slices(batches):
+        for part in slices(batches, limit=4_000_000, release=[encoder.forget]):
             for i, x in zip(part.column(0).to_pylist(), encoder.encode_bytes(part.column(1))):
                 x += tail
                 if held and held + len(x) // 4 > window_tokens:

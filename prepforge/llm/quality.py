@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import fits, stored
+from .tokens import slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"  # fixed values of the rule
@@ -64,7 +65,7 @@ def with_stats(documents: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, five counts): one row for each document, null texts count as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
-        for batch in batches:
+        for batch in slices(batches, release=[codes.clear]):
             rows = []
             for t in batch.column(2).to_pylist():
                 if len(codes) > 300_000:

@@ -8,6 +8,8 @@ whole, so the ids are the library's in every case.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -16,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 400_000
-SLICE_BYTES = 12_000_000
+CACHE_PIECES = 200_000
+SLICE_BYTES = 6_000_000
 
 
 def little_endian(ids) -> bytes:
@@ -69,9 +71,9 @@ class PieceEncoder:
         self.tokenizer = None if encode_pieces and encode_whole else open_tokenizer(path)
         self.encode_pieces = encode_pieces or self._library
         self.encode_whole = encode_whole or (lambda text: self._library([text])[0])
-        self._forget()
+        self.forget()
 
-    def _forget(self):
+    def forget(self):
         self.code: dict[str, int] = {}
         self.store, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.start = np.zeros(0, dtype="int64")
@@ -92,7 +94,7 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Codes of distinct pieces; new ones are encoded and stored."""
         if len(self.code) > CACHE_PIECES:
-            self._forget()
+            self.forget()
         new = [p for p in pieces if p not in self.code]
         if new:
             strings = [p[1:] if p[:1] == "\x01" else p if p[:1] == "\n" else " " + p for p in new] if self.kind == "byte" else new
@@ -127,7 +129,9 @@ class PieceEncoder:
         sizes = self.length[codes][where]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.start[codes][where] - (ends - sizes), sizes) + np.arange(total)
+        small = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        take = np.repeat((self.start[codes][where] - (ends - sizes)).astype(small), sizes)
+        take += np.arange(total, dtype=small)
         ids = self.store[take]
         offsets = np.concatenate([[0], ends])[first]
         if whole.any():
@@ -144,8 +148,22 @@ class PieceEncoder:
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the texts of a slice have about ``limit`` bytes; a longer text is alone."""
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on between tasks, beside tasks of the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, release=()) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the texts of a slice have about ``limit`` bytes; a longer text is alone.
+
+    ``release`` are called behind the last slice, to empty caches before freed memory is given back.
+    """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -157,3 +175,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = max(start + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    for f in release:
+        f()
+    give_back()

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 
 SEED = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "bastard", "asshole", "bitch"]
 QUOTING = {"said", "says", "wrote", "quoted", "quote", "term", "word", "called", "phrase", "definition", "means"}
@@ -30,6 +32,7 @@ PREFIXES = range(4, 9)
 WINDOW = 4             # words on either side
 WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
 FEATURES = 7
+NO_MATCH = (0.0, 0.0, 0.0)
 
 
 class Lexicon:
@@ -115,8 +118,8 @@ class Lexicon:
             if self.best_begin[state] > begin:
                 begin = self.best_begin[state]
         exact, near = self.accept[state] if state >= 0 else (0.0, 0.0)
-        result = (exact, 0.0 if exact else near, begin)
-        if len(self.cache) > 400_000:
+        result = (exact, 0.0 if exact else near, begin) if exact or near or begin else NO_MATCH
+        if len(self.cache) > 200_000:
             self.cache.clear()
         self.cache[word] = result
         return result
@@ -127,7 +130,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     low = text.lower()
     words = WORD.findall(low)
     match = lexicon.match
-    at = [i for i, w in enumerate(words) if match(w) != (0.0, 0.0, 0.0)]
+    at = [i for i, w in enumerate(words) if any(match(w))]
     if not at:
         return [0.0] * FEATURES
     spans = list(WORD.finditer(low))
@@ -257,7 +260,7 @@ class ToxicityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lexicon, w = self.lexicon(), np.array(self.weights)
-            for batch in batches:
+            for batch in slices(batches, release=[lexicon.cache.clear]):
                 x = np.array([features(t or "", lexicon) for t in batch.column(2).to_pylist()], dtype=float).reshape(-1, FEATURES)
                 scores = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["doc_id", "text_key", "score"])
