@@ -10,22 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prepforge.llm import near_duplicates, packing, quality, secrets, toxicity
 from prepforge.llm.queries import WORD_BPE, tokenizer_path
-from prepforge.llm.storage import stored
+from prepforge.llm.storage import small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted by frequent lines go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labelled training rows among the documents that are left; those scoring 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_civil(docs, model)
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest doc_id stays."""
+    small_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
@@ -36,6 +39,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of even cost."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(WORD_BPE))
 
 

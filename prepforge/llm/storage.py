@@ -31,3 +31,14 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def fits(df: DataFrame, rows: int) -> bool:
     """True when the table has at most ``rows`` rows; reads no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in an Arrow batch from here on in this session; a lower setting stays.
+
+    The default of 10,000 whole texts fills tens of MB in the JVM and again in the Python worker of every
+    task.  Batch sizes change memory only, never results.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE_PIECES = 200_000
+LEARN_PIECES = 16_384  # pieces encoded at a time, which bounds the matrices of the merges
 SLICE_BYTES = 6_000_000
 
 
@@ -91,23 +92,26 @@ class PieceEncoder:
             found = pc.or_(found, pc.match_substring(texts, a))
         return found.to_numpy(zero_copy_only=False)
 
+    def _store(self, new: list[str]) -> None:
+        strings = [p[1:] if p[:1] == "\x01" else p if p[:1] == "\n" else " " + p for p in new] if self.kind == "byte" else new
+        ids = self.encode_pieces(strings)
+        sizes = np.array([len(i) for i in ids], dtype="int64") // 4
+        total = int(sizes.sum())
+        while self.used + total > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.used:self.used + total] = np.frombuffer(b"".join(ids), dtype="<u4")
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
+        self.length = np.concatenate([self.length, sizes])
+        self.used += total
+
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Codes of distinct pieces; new ones are encoded and stored."""
         if len(self.code) > CACHE_PIECES:
             self.forget()
         new = [p for p in pieces if p not in self.code]
-        if new:
-            strings = [p[1:] if p[:1] == "\x01" else p if p[:1] == "\n" else " " + p for p in new] if self.kind == "byte" else new
-            ids = self.encode_pieces(strings)
-            sizes = np.array([len(i) for i in ids], dtype="int64") // 4
-            total = int(sizes.sum())
-            while self.used + total > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-            self.store[self.used:self.used + total] = np.frombuffer(b"".join(ids), dtype="<u4")
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-            self.start = np.concatenate([self.start, self.used + np.cumsum(sizes) - sizes])
-            self.length = np.concatenate([self.length, sizes])
-            self.used += total
+        for at in range(0, len(new), LEARN_PIECES):
+            self._store(new[at:at + LEARN_PIECES])
         return np.fromiter(map(self.code.__getitem__, pieces), dtype="int64", count=len(pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
