@@ -149,8 +149,8 @@ def pair_plot_data(df: DataFrame, columns: list[str] | None = None, max_features
     return point_data(df.dropna(subset=best), best + list(key or []), key, points).select(*[col(c) for c in best])
 
 
-def categorical_frequencies(df: DataFrame, columns: list[str] | None = None, max_cols: int = 3, top: int = 15) -> DataFrame:
-    """(column, value, count): the ``top`` values of the first text columns with 2 to 30 distinct values."""
+def categorical_frequencies(df: DataFrame, columns: list[str] | None = None, max_cols: int | None = None, top: int | None = 15) -> DataFrame:
+    """(column, value, count): the ``top`` values of the text columns with 2 to 30 distinct values; ``max_cols`` and ``top`` are limits the caller sets (None: all)."""
     columns = columns or columns_by_kind(df)["text"]
     distinct = df.agg(*[F.count_distinct(col(c)).alias(c) for c in columns]).head()
     chosen = [c for c in columns if 2 <= distinct[c] <= 30][:max_cols]
@@ -159,7 +159,7 @@ def categorical_frequencies(df: DataFrame, columns: list[str] | None = None, max
     items = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in chosen])
     counts = df.select(F.inline(items)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("count").desc(), "value"))  # at most 30 rows each
-    return counts.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")
+    return counts if top is None else counts.withColumn("__r", rank).where(F.col("__r") <= top).drop("__r")
 
 
 def density_by_group(df: DataFrame, value: str, group: str | None = None, points: int = 200, fine_bins: int = 2000) -> DataFrame:

@@ -268,25 +268,13 @@ def validate_dates(df: DataFrame, columns: list[str], action: str = "validate")
     return dated
 
 
-def first_values(df: DataFrame, columns: list[str], n: int, order_by: list[str]) -> DataFrame:
-    """(column, value, rank): the first n non-null values of each column as text.
-
-    The rank filter becomes a partial group limit before the shuffle, so a column sends at most n
-    rows per partition.
-    """
-    order = F.struct(*[col(c) for c in order_by])
-    items = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
-    rows = df.select(order.alias("__o"), F.inline(items)).where("value IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("__o"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("column", "value", "rank")
-
-
-def date_like_columns(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
-    """Text columns with ``/`` or ``-`` in one of their first n values."""
+def date_like_columns(df: DataFrame) -> DataFrame:
+    """Text columns with ``/`` or ``-`` in any of their values; one aggregate over all columns."""
     texts = columns_by_kind(df)["text"]
     if not texts:
         return df.sparkSession.createDataFrame([], "column string")
-    return first_values(df, texts, n, order_by).groupBy("column").agg(F.max(F.col("value").rlike("[/-]")).alias("hit")).where("hit").select("column")
+    hits = df.agg(*[F.max(col(c).rlike("[/-]")).alias(f"c{i}") for i, c in enumerate(texts)])
+    return hits.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("hit")) for i, c in enumerate(texts)]))).where("hit").select("column")
 
 
 # -- binary or dummy columns ------------------------------------------------------------------

@@ -96,11 +96,6 @@ def ordinal(df, columns, mappings, handle_unknown="error", unknown_value=-1.0):
     return fit_ordinal(df, columns, mappings, handle_unknown, unknown_value).transform(df)
 
 
-def default_order(df: DataFrame, column: str, limit: int = 20) -> list:
-    """Sorted distinct values, the first ``limit`` of them: the proposal for an ordinal mapping."""
-    return [r[0] for r in df.select(col(column)).where(col(column).isNotNull()).distinct().orderBy(col(column)).limit(limit).collect()]
-
-
 def fit_target_encode(df: DataFrame, columns: list[str], target: str) -> Dictionary:
     """Category -> mean of a numeric target (partial aggregates); NULL stays NULL."""
     need_numeric(df, [target])

@@ -213,10 +213,10 @@ def _(t):
     return clean.validate_dates(t("dates_text"), ["day_text"], "impute")
 
 
-@query("cl_date_like_columns", "SELECT 'o_orderpriority' AS \"column\" FROM (SELECT o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 10) HAVING max(CASE WHEN regexp_matches(o_orderpriority, '[/-]') THEN 1 ELSE 0 END) = 1 "
-       "UNION ALL SELECT 'o_orderstatus' FROM (SELECT o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 10) HAVING max(CASE WHEN regexp_matches(o_orderstatus, '[/-]') THEN 1 ELSE 0 END) = 1")
+@query("cl_date_like_columns", "SELECT 'o_orderpriority' AS \"column\" FROM orders HAVING max(CASE WHEN regexp_matches(o_orderpriority, '[/-]') THEN 1 ELSE 0 END) = 1 "
+       "UNION ALL SELECT 'o_orderstatus' FROM orders HAVING max(CASE WHEN regexp_matches(o_orderstatus, '[/-]') THEN 1 ELSE 0 END) = 1")
 def _(t):
-    return clean.date_like_columns(t("orders"), ["o_orderkey"])
+    return clean.date_like_columns(t("orders"))
 
 
 @query("cl_binary_or_dummies", "WITH s AS (SELECT l_linestatus AS v, min(l_orderkey * 8 + l_linenumber) AS o FROM lineitem GROUP BY 1), c AS (SELECT v, row_number() OVER (ORDER BY o) - 1 AS code FROM s) "

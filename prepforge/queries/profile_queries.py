@@ -71,12 +71,12 @@ def _(t):
     return pr.special_columns(TableProfile(t("customer"), order_by=["c_custkey"])).where("fact = 'name'").drop("detail")
 
 
-@query("pr_date_like_columns", "SELECT 'o_orderdate' AS \"column\", CASE WHEN max(hour(o_orderdate) * 60 + minute(o_orderdate)) > 0 THEN 'timestamp' ELSE 'date-only' END AS detail FROM (SELECT o_orderdate FROM orders ORDER BY o_orderkey LIMIT 50)")
+@query("pr_date_like_columns", "SELECT 'o_orderdate' AS \"column\", CASE WHEN max(hour(o_orderdate) * 60 + minute(o_orderdate)) > 0 THEN 'timestamp' ELSE 'date-only' END AS detail FROM orders")
 def _(t):
     return pr.special_columns(TableProfile(t("orders"), order_by=["o_orderkey"])).where("fact = 'date'").drop("fact")
 
 
-@query("pr_text_like_columns", f"WITH s AS (SELECT text FROM {fx('docs_labels')} ORDER BY doc_id LIMIT 50), u AS (SELECT count(DISTINCT text) / CAST(count(*) AS DOUBLE) AS u FROM documents) SELECT 'text' AS \"column\" FROM s, u GROUP BY u HAVING (avg(length(text)) > 40 AND u > 0.8) OR avg(length(text)) > 100")
+@query("pr_text_like_columns", f"WITH s AS (SELECT text FROM {fx('docs_labels')}), u AS (SELECT count(DISTINCT text) / CAST(count(*) AS DOUBLE) AS u FROM documents) SELECT 'text' AS \"column\" FROM s, u GROUP BY u HAVING (avg(length(text)) > 40 AND u > 0.8) OR avg(length(text)) > 100")
 def _(t):
     return pr.special_columns(TableProfile(_docs(t), order_by=["doc_id"])).where("fact = 'text'").select("column")
 
@@ -182,7 +182,7 @@ def _counter(c: str, table: str) -> str:
 
 
 @query("pr_prep_decisions", " UNION ALL ".join([_counter("o_orderkey", "orders"), _transform("o_custkey", "orders"), _transform("o_totalprice", "orders"), _encode("o_orderpriority", "orders"),
-       "SELECT 'o_orderdate', 'parse', CASE WHEN max(hour(o_orderdate) * 60 + minute(o_orderdate)) > 0 THEN 'date parts with hour' ELSE 'date parts with tenure' END FROM (SELECT o_orderdate FROM orders ORDER BY o_orderkey LIMIT 50)"]))
+       "SELECT 'o_orderdate', 'parse', CASE WHEN max(hour(o_orderdate) * 60 + minute(o_orderdate)) > 0 THEN 'date parts with hour' ELSE 'date parts with tenure' END FROM orders"]))
 def _(t):
     return prepare.prep_decisions(TableProfile(t("orders"), "o_orderstatus", ["o_orderkey"]))
 

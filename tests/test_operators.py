@@ -275,3 +275,19 @@ def test_fitted_transform_runs_on_a_stream(spark, orders, tmp_path):
     assert q.awaitTermination(60)
     want = fitted.transform(orders.select("o_orderkey", "o_totalprice"))
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(want).count() == 0
+
+
+def test_column_roles_come_from_whole_columns(spark):
+    from prepforge.operators.clean import date_like_columns
+    from prepforge.operators.profile import TableProfile
+    rows = [(i, f"2024-01-{1 + i % 28:02d}" + (" 10:30:00" if i > 90 else ""), f"plain {i}" if i < 60 else f"{i:08x}-0000-4000-8000-000000000000",
+             "short" if i < 60 else f"{i} " + "words " * 80, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "n bigint, order_date string, code string, story string, nothing string")
+    profile = TableProfile(df, order_by=["n"])
+    assert profile.special["dates"] == [("order_date", "timestamp")]
+    assert "code" in profile.id_like
+    assert "story" in profile.special["texts"]
+    assert "nothing" not in profile.contents
+    assert {r[0] for r in date_like_columns(df).collect()} == {"order_date", "code"}
+    empty = TableProfile(df.limit(0), order_by=["n"])
+    assert empty.contents == {} and empty.special["dates"] == []
