@@ -146,10 +146,18 @@ def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5,
     return out.select(F.col("row_id").alias(key), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster"))
 
 
-def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[float], min_samples: list[int], metrics: tuple = ("euclidean",), sample: int | None = 5000) -> DataFrame:
+def grid_score(df: DataFrame, key: str, columns: list[str] | str, labels: DataFrame, sample: int | None, metric: str = "euclidean") -> float | None:
+    """Silhouette of the clustered rows, noise left out: over all of them by squared distances (linear), or over a ``sample`` that the caller asks for."""
+    rows = df.join(labels.where("cluster >= 0"), key)
+    if sample is None:
+        return evaluate.silhouette_sq(rows, columns, "cluster").head()["silhouette_sq"]
+    return evaluate.silhouette(rows, key, columns, "cluster", sample, metric).head()["silhouette"]
+
+
+def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[float], min_samples: list[int], metrics: tuple = ("euclidean",), sample: int | None = None) -> DataFrame:
     """(eps, min_samples, metric, clusters, silhouette, chosen); without two clusters anywhere 0.5 / 5 is chosen.
 
-    The silhouette of a combination uses the ``sample`` rows with the smallest key hashes.
+    Scores as in ``grid_score``.
     """
     rows = []
     for metric in metrics:
@@ -159,7 +167,7 @@ def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[flo
                 k = labels.where("cluster >= 0").select("cluster").distinct().count()
                 score = None
                 if k >= 2:
-                    score = evaluate.silhouette(df.join(labels, key), key, columns, "cluster", sample, metric).head()["silhouette"]
+                    score = grid_score(df, key, columns, labels, sample, metric)
                 rows.append((float(e), int(m), metric, k, score))
     known = [r for r in rows if r[4] is not None]
     best = max(known, key=lambda r: r[4])[:3] if known else (0.5, 5, "euclidean")
@@ -283,14 +291,14 @@ def knn_density_clusters(df: DataFrame, key: str, columns: list[str] | str, k: i
     return dbscan(df, key, columns, neighbor_eps(df, key, columns, k, metric), k, metric)
 
 
-def knn_cluster_grid(df: DataFrame, key: str, columns: list[str] | str, n_clusters: list[int], ks: list[int], sample: int | None = 5000) -> DataFrame:
+def knn_cluster_grid(df: DataFrame, key: str, columns: list[str] | str, n_clusters: list[int], ks: list[int], sample: int | None = None) -> DataFrame:
     """(method, n_clusters, k, clusters, silhouette, chosen) over both graph methods."""
     rows = []
     trials = [("graph", n, k) for n in n_clusters for k in ks] + [("density", None, k) for k in ks]
     for method, n, k in trials:
         labels = settle(knn_graph_clusters(df, key, columns, n, k) if method == "graph" else knn_density_clusters(df, key, columns, k))
         found = labels.where("cluster >= 0").select("cluster").distinct().count()
-        score = evaluate.silhouette(df.join(labels, key), key, columns, "cluster", sample).head()["silhouette"] if found >= 2 else None
+        score = grid_score(df, key, columns, labels, sample) if found >= 2 else None
         rows.append((method, n, k, found, score))
     best = max((r for r in rows if r[4] is not None), key=lambda r: r[4], default=None)
     return facts_frame(df.sparkSession, [(*r, r is best) for r in rows], "method string, n_clusters int, k int, clusters int, silhouette double, chosen boolean")

@@ -291,3 +291,14 @@ def test_column_roles_come_from_whole_columns(spark):
     assert {r[0] for r in date_like_columns(df).collect()} == {"order_date", "code"}
     empty = TableProfile(df.limit(0), order_by=["n"])
     assert empty.contents == {} and empty.special["dates"] == []
+
+
+def test_cluster_grids_score_all_rows(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 0.2, (40, 2)), rng.normal(6, 0.2, (40, 2)), [[30.0, 30.0]]])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(81), "x": x[:, 0], "y": x[:, 1]}))
+    rows = cluster.dbscan_grid(df, "id", ["x", "y"], [1.0, 20.0], [3]).collect()
+    assert [(r["eps"], r["clusters"], r["chosen"]) for r in rows] == [(1.0, 2, True), (20.0, 1, False)]
+    labels = cluster.dbscan(df, "id", ["x", "y"], 1.0, 3)
+    exact = evaluate.silhouette_sq(df.join(labels, "id").where("cluster >= 0"), ["x", "y"], "cluster").head()["silhouette_sq"]
+    assert rows[0]["silhouette"] == pytest.approx(exact) and exact > 0.9
