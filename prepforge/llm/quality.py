@@ -1,9 +1,9 @@
 """Quality rules: lines that many documents of a host share are removed, depleted documents rejected.
 
 Lines are normalised and hashed, and for each host and line the *distinct* documents are counted.
-Copies of one document count once: a document is told apart by the smallest hash among its other
-lines, which copies and near copies share and unrelated documents do not.  So boilerplate amid
-different texts is removed, and a text that was copied often is left to near-duplicate removal.
+Documents are told apart by the hash of their whole text, so only exact copies count once: a block of
+boilerplate amid different texts is removed however many lines it has, and a text that was copied
+often is left to near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -89,25 +89,21 @@ def normalised(line):
 
 
 def line_rows(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """(doc_id, text_key, host, line, words, other): lines with a word; ``other`` is the smallest other line's hash."""
+    """(doc_id, text_key, host, line, words): lines with a word."""
     lines = documents.select("doc_id", text_key(text).alias("text_key"), F.col(host).alias("host"), F.split(F.col(text), "\n").alias("lines"))
     number = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("bigint")  # noqa: E731  60 bits that other engines can repeat
     hashed = lines.withColumn("lines", F.filter(F.transform("lines", lambda x: normalised(x)), lambda x: x != ""))
-    hashed = hashed.withColumn("lines", F.transform("lines", lambda x: F.struct(number(x).alias("line"), F.size(F.split(x, " ")).alias("words"))))
-    least = F.array_min("lines.line")
-    hashed = hashed.withColumn("least", least).withColumn("second", F.array_min(F.filter("lines.line", lambda h: h != least)))
-    rows = hashed.select("doc_id", "text_key", "host", "least", "second", F.explode("lines").alias("l"))
-    return rows.select("doc_id", "text_key", "host", "l.line", "l.words",
-                       F.coalesce(F.when(F.col("l.line") == F.col("least"), F.col("second")).otherwise(F.col("least")), F.lit(-1)).alias("other"))
+    rows = hashed.select("doc_id", "text_key", "host", F.explode("lines").alias("l"))
+    return rows.select("doc_id", "text_key", "host", number(F.col("l")).alias("line"), F.size(F.split("l", " ")).alias("words"))
 
 
 def frequent_lines(lines: DataFrame, documents: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """(host, line) in more distinct documents of the host than both limits.
 
-    Distinct (host, line, other) rows come first, with map-side combine, so neither a hot line nor a hot
+    Distinct (host, line, text_key) rows come first, with map-side combine, so neither a hot line nor a hot
     host meets in one task.
     """
-    seen = lines.select("host", "line", "other").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_documents)
+    seen = lines.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_documents)
     hosts = documents.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("all"))
     return seen.join(hosts, seen.host.eqNullSafe(hosts.host)).where(F.col("docs") > share * F.col("all")).select(seen.host, "line")
 
@@ -124,8 +120,7 @@ def judge(documents: DataFrame, text: str = "text", host: str = "source", min_do
     """
     lines = line_rows(documents, text, host)
     frequent = frequent_lines(lines, documents, host, min_documents, share)
-    once = lines.select("doc_id", "text_key", "host", "line", "words")
-    hit = once.join(frequent.withColumnsRenamed({"host": "f_host", "line": "f_line"}), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
+    hit = lines.join(frequent.withColumnsRenamed({"host": "f_host", "line": "f_line"}), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
     # rows that repeat a document repeat its lines: divide by how often it occurs
     removed = hit.groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("words"))
     stats = with_stats(documents.withColumn("text", F.col(text)) if text != "text" else documents)

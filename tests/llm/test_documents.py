@@ -32,6 +32,15 @@ def test_quality_removes_shared_lines_but_not_copies(docs):
     assert all(rows[i].kept for i in range(20, 60))
 
 
+def test_quality_counts_documents_that_share_a_block_of_lines(docs):
+    rnd = random.Random(11)
+    block = "\n".join(prose(rnd, 6) for _ in range(20))
+    texts = [block + "\n" + prose(rnd, 40) for _ in range(20)] + [prose(rnd, 60) for _ in range(40)]
+    rows = {r.doc_id: r for r in quality.judge(docs(texts)).collect()}
+    assert {rows[i].removed_words for i in range(20)} == {120} and not any(rows[i].base_failed or rows[i].kept for i in range(20))
+    assert all(rows[i].removed_words == 0 and rows[i].kept for i in range(20, 60))
+
+
 def test_quality_of_odd_rows(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == 9
