@@ -22,8 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"  # fixed values of the rule
 _SPACE = " \t\n\x0b\x0c\r"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-MIN_DOCUMENTS = 3     # a line in fewer distinct documents of a host is never removed
-SHARE = 0.01          # of the host's documents
+MIN_DOCUMENTS = 3     # a line in so many distinct documents of a host is removed, however large the host
+SHARE = 0.01          # of the host's documents, for callers who ask for a share
 MAX_REMOVED = 0.5     # share of a document's words
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -97,18 +97,20 @@ def line_rows(documents: DataFrame, text: str = "text", host: str = "source") ->
     return rows.select("doc_id", "text_key", "host", number(F.col("l")).alias("line"), F.size(F.split("l", " ")).alias("words"))
 
 
-def frequent_lines(lines: DataFrame, documents: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """(host, line) in more distinct documents of the host than both limits.
+def frequent_lines(lines: DataFrame, documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float | None = None) -> DataFrame:
+    """(host, line) in at least ``min_documents`` distinct documents of the host, and in more than a ``share`` of them if asked for.
 
     Distinct (host, line, text_key) rows come first, with map-side combine, so neither a hot line nor a hot
     host meets in one task.
     """
     seen = lines.select("host", "line", "text_key").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_documents)
-    hosts = documents.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("all"))
+    if share is None:
+        return seen.select("host", "line")
+    hosts = documents.select(F.col(host).alias("host"), text_key(text).alias("text_key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     return seen.join(hosts, seen.host.eqNullSafe(hosts.host)).where(F.col("docs") > share * F.col("all")).select(seen.host, "line")
 
 
-def judge(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float = SHARE,
+def judge(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float | None = None,
           max_removed: float = MAX_REMOVED) -> DataFrame:
     """doc_id, text_key, the counts, removed_words, base_failed and kept for every row.
 
@@ -119,7 +121,7 @@ def judge(documents: DataFrame, text: str = "text", host: str = "source", min_do
     one.  Columns beyond the three named ones are not read.
     """
     lines = line_rows(documents, text, host)
-    frequent = frequent_lines(lines, documents, host, min_documents, share)
+    frequent = frequent_lines(lines, documents, text, host, min_documents, share)
     hit = lines.join(frequent.withColumnsRenamed({"host": "f_host", "line": "f_line"}), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
     # rows that repeat a document repeat its lines: divide by how often it occurs
     removed = hit.groupBy("doc_id", "text_key", "host").agg(F.sum("words").alias("words"))

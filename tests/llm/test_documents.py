@@ -41,6 +41,18 @@ def test_quality_counts_documents_that_share_a_block_of_lines(docs):
     assert all(rows[i].removed_words == 0 and rows[i].kept for i in range(20, 60))
 
 
+def test_quality_removes_boilerplate_from_a_hot_host(docs):
+    rnd = random.Random(12)
+    block = "\n".join(prose(rnd, 6) for _ in range(20))
+    copied = prose(rnd, 60)
+    texts = [block + "\n" + prose(rnd, 40) for _ in range(12)] + [prose(rnd, 60) for _ in range(400)] + [copied] * 1200
+    rows = {r.doc_id: r for r in quality.judge(docs(texts)).collect()}
+    assert {rows[i].removed_words for i in range(12)} == {120} and not any(rows[i].base_failed or rows[i].kept for i in range(12))
+    assert all(rows[i].removed_words == 0 and rows[i].kept for i in range(12, len(texts)))
+    asked = quality.judge(docs(texts), share=0.02).where("removed_words > 0")  # 12 of 413 distinct documents
+    assert {r.doc_id for r in asked.collect()} == set(range(12))
+
+
 def test_quality_of_odd_rows(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == 9
