@@ -24,6 +24,15 @@ from .tokens import slices
 ROUNDS = 10
 KEY = b"example key, to be set by the caller"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
+# The lengths of the IBAN registry, and month names (a name belongs to the first list that has it).
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+MONTHS = [x.split() for x in (
+    "january february march april may june july august september october november december", "jan feb mar apr may jun jul aug sep oct nov dec",
+    "januar februar märz april mai juni juli august september oktober november dezember", "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre")]
 
 
 def _mix(key: bytes, tweak: bytes, i: int, value: int, size: int) -> int:
@@ -115,10 +124,12 @@ def card(value: str, key: bytes) -> str | None:
 
 
 def phone(value: str, key: bytes) -> str | None:
-    """At least 9 digits; a country code after + stays."""
+    """At least 9 digits, 8 behind a +; a country code after + stays."""
     digits = _digits_of(value)
-    if not 9 <= len(digits) <= 15:
+    if not 9 - (value[0] == "+") <= len(digits) <= 15:
         return None
+    if " " in value and re.fullmatch(SPACED, value):
+        return _walk(value, lambda v: re.fullmatch(SPACED, v) is not None, key, b"phone")
     code = re.match(r"\+\d{1,3}(?=[ (.\-])", value)
     keep = len(code[0]) - 1 if code else 1 if value[0] == "+" else 0
     return _refill(value, digits[:keep] + permute_format(digits[keep:], key, b"phone"))
@@ -157,8 +168,44 @@ def iban(value: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(it) for c in value)
 
 
+def _month_list(name: str) -> int:
+    return next(i for i, names in enumerate(MONTHS) if name.lower() in names)
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def named_date(value: str, key: bytes) -> str | None:
+    """The same for a month in words; the language, the length of the name, its case and the form stay."""
+    parts = re.split(r"(\d+|[^\W\d_]+)", value)
+    at = next(i for i, p in enumerate(parts) if any(p.lower() in names for names in MONTHS))
+    day_at, year_at = [i for i, p in enumerate(parts) if p.isdigit()]
+    which, name = _month_list(parts[at]), parts[at]
+    case = str.upper if name.isupper() else str.lower if name.islower() else str.capitalize
+    suffix_at = next((i for i, p in enumerate(parts) if i > day_at and p.lower() in ("st", "nd", "rd", "th")), None)
+    try:
+        n = (datetime.date(int(parts[year_at]), MONTHS[which].index(name.lower()) + 1, int(parts[day_at])) - FIRST_DAY).days
+    except ValueError:
+        return None
+    if not 0 <= n < DAYS:
+        return None
+    while True:
+        n = permute(n, DAYS, key, b"date")
+        day = FIRST_DAY + datetime.timedelta(n)
+        new = MONTHS[which][day.month - 1]
+        if _month_list(new) == which and len(str(day.day).zfill(len(parts[day_at]))) == len(parts[day_at]):
+            out = list(parts)
+            out[at], out[day_at], out[year_at] = case(new), str(day.day).zfill(len(parts[day_at])), str(day.year)
+            if suffix_at is not None:
+                out[suffix_at] = _ordinal(day.day)
+            return "".join(out)
+
+
 def date(value: str, key: bytes) -> str | None:
     """A day from 1900 to 2099, year first or last; the day number is permuted and the form kept."""
+    if any(c.isalpha() for c in value):
+        return named_date(value, key)
     parts = re.split(r"([./\-])", value)
     a, b, c = parts[0], parts[2], parts[4]
     order = (0, 2, 4) if len(a) == 4 else (4, 2, 0)
@@ -182,16 +229,23 @@ def date(value: str, key: bytes) -> str | None:
             return "".join(out)
 
 
+SPACED = r"[2-9]\d\d[ .\-][2-9]\d\d[ .\-]\d{4}"
+_MONTH = "(?i:" + "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m))) + ")"
+_IBANS = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])" for n, c in IBAN_COUNTRIES.items())
 KINDS = {
     "email": (r"(?<![A-Za-z0-9._%+\-@])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9@])", email),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
-    "date": (r"(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d\-/]|\.\d)", date),
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d)(?:{_IBANS}|" r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))", iban),
+    "date": (r"(?<![\d.\-/])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d\-/]|\.\d)"
+             rf"|(?<![\w.\-/])\d{{1,2}}(?:st|nd|rd|th|\.)?[ \-](?:de |of )?{_MONTH}\.?,?[ \-](?:de )?\d{{4}}(?!\w)|(?<!\w){_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?!\w)", date),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", ssn),
     "ip": (r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)", ip),
-    "card": (r"(?<![\dA-Za-z.])(?:\d{13,19}|\d{4}(?P<cut>[ \-])\d{4}(?P=cut)\d{4}(?P=cut)\d{4}|\d{4}(?P<part>[ \-])\d{6}(?P=part)\d{5})(?![\dA-Za-z])", card),
+    "card": (r"(?<![\dA-Za-z.])(?:\d{13,19}|\d{4}(?P<cut>[ \-])\d{4}(?P=cut)\d{4}(?P=cut)\d{4}(?:(?P=cut)\d{3}(?![\dA-Za-z]))?|\d{4}(?P<part>[ \-])\d{6}(?P=part)\d{5}|\d{6}[ \-]\d{13})(?![\dA-Za-z])", card),
     "phone": (r"(?<![\dA-Za-z.])(?:\+\d{1,3}[ .\-]?)?\(\d{1,4}\)[ .\-]?\d{2,4}(?P<gap>[ .\-]?)\d{2,4}(?:(?P=gap)\d{2,4}){0,2}(?![\dA-Za-z])"
-              r"|(?<![\dA-Za-z.])\+\d{1,3}(?P<space>[ .\-])\d{2,4}(?:(?P=space)\d{2,4}){1,4}(?![\dA-Za-z])|(?<![\dA-Za-z.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\dA-Za-z\-])", phone),
+              r"|(?<![\dA-Za-z.])\+\d{1,3}[ .\-]?\(\d{1,4}\)(?:[ .\-]?\d){4,12}\d(?![\dA-Za-z])"
+              r"|(?<![\dA-Za-z.])\+(?:1[ .\-]?\d{3}[ .\-]?\d{3}[ .\-]?\d{4}|\d{8,15}|(?!\d{4}(?:[ \-]\d{4}){3})\d(?:[ .\-]?\d){6,13}\d)(?![\dA-Za-z])"
+              rf"|(?<![\dA-Za-z.\-])(?:\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}}|{SPACED})(?![\dA-Za-z\-])", phone),
 }
+CARD_AND_CODE = re.compile(r"(\d{4}([ \-])\d{4}\2\d{4}\2\d{4})\2\d{3}")  # 19 digits, or a card of 16 that a number follows
 PATTERN = "|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items())
 MAYBE = re.compile(r"[0-9@]")
 
@@ -217,7 +271,9 @@ class Pseudonymizer:
             return text, []
         out, found, at, length, start = [], [], 0, 0, 0
         while m := self.find.search(text, start):
-            new = self.replace(m.lastgroup, m[0])
+            new, end = self.replace(m.lastgroup, m[0]), m.end()
+            if new is None and m.lastgroup == "card" and (longer := CARD_AND_CODE.fullmatch(m[0])):
+                new, end = self.replace("card", longer[1]), m.start() + len(longer[1])
             if new is None:  # not valid as this kind: look again behind its first run of digits or letters
                 start = m.start() + len(re.match(r"\w+|\W", m[0])[0])
                 continue
@@ -226,7 +282,7 @@ class Pseudonymizer:
             found.append((m.lastgroup, length, new))
             out += [before, new]
             length += len(new)
-            at = start = m.end()
+            at = start = end
         return ("".join([*out, text[at:]]), found) if found else (text, [])
 
 

@@ -193,6 +193,30 @@ def test_pseudonyms_keep_their_format(kind, value, valid):
     assert pii.Pseudonymizer(b"other")(value)[0] != new
 
 
+@pytest.mark.parametrize("kind,value", [
+    ("phone", "+14155552671"), ("phone", "415 555 2671"), ("phone", "+49 30 1234567"), ("phone", "+49 151 12345678"), ("phone", "+33 1 23 45 67 89"), ("phone", "+49 30 123 4567890"),
+    ("phone", "+49 (0) 151 12345678"), ("iban", "ES91 2100 0418 4502 0005 1332"), ("iban", "ES9121000418450200051332"), ("iban", "NO93 8601 1117 947"),
+    ("card", "6304 0000 0000 0000 000"), ("card", "4111 1111 1111 1111"), ("date", "31 December 1999"), ("date", "December 31, 1999"), ("date", "5 Oct 2001"), ("date", "March 3rd, 2010"),
+    ("date", "31. Dezember 1999"), ("date", "14 juillet 1989"), ("date", "5 de mayo de 2001")])
+def test_valid_values_do_not_stay(kind, value):
+    for after in ("", ", then", " AND more", " BIC", " 555", " 5."):
+        if kind in ("phone", "date", "iban") and after == " 555":
+            continue  # digits that could belong to the number
+        text, found = pii.Pseudonymizer(b"key")(f"so {value}{after}")
+        assert [f[0] for f in found] == [kind], (value, after, found)
+        new = found[0][2]
+        assert text == f"so {new}{after}" and new != value and [c.isdigit() for c in new if not c.isalpha()] == [c.isdigit() for c in value if not c.isalpha()]
+        assert kind != "iban" or pii.iban_valid(new)
+        assert kind != "card" or pii.luhn_valid(pii._digits_of(new))
+        assert pii.Pseudonymizer(b"key")(new)[1]  # still a value of its kind
+
+
+def test_named_dates_stay_one_to_one():
+    days = [f"{d} {m} 2001" for names in pii.MONTHS[:3] for m in names for d in (3, 7)]
+    values = list(dict.fromkeys(days))
+    assert len({pii.date(v, b"key") for v in values}) == len(values) and pii.date("31 June 2001", b"key") is None
+
+
 def test_invalid_values_and_odd_rows_stay(odd):
     for text in ("4111111111111112", "999.1.1.1", "version 1.2.3.4.5", "2023-02-30", "000-12-1234"):
         assert pii.Pseudonymizer()(text) == (text, [])
