@@ -139,7 +139,8 @@ def impute_knn(df: DataFrame, key: str, columns: list[str] | None = None, k: int
     The squared distance over the shared columns is scaled by all/shared columns.  Rows fall into
     null patterns; for each pair of patterns the distance is an ordinary Euclidean one on the shared
     columns, so the exact neighbour join serves every pair.  Donors are ranked per missing cell over
-    all pairs.  A cell without donors gets the column mean.
+    all pairs.  A cell without donors gets the column mean.  The key must name each row: a NULL or
+    repeated one is an error.
     """
     columns = columns or [c for c in numeric_columns(df) if c != key]
     need_numeric(df, columns)
@@ -147,6 +148,8 @@ def impute_knn(df: DataFrame, key: str, columns: list[str] | None = None, k: int
     d = len(columns)
     pattern = F.concat(*[F.when(F.col(f"v{i}").isNull(), "0").otherwise("1") for i in range(d)])
     work = settle(work.withColumn("pattern", pattern))  # scanned once per pattern pair
+    if wrong := work.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1").head(1):
+        raise ValueError(f"impute_knn needs a key for each row; {key} has {wrong[0]['id']!r} in {wrong[0]['n']} rows")
     patterns = [r[0] for r in work.select("pattern").distinct().collect()]  # at most 2^d short texts
     means = work.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(d)]).head()
     found = []
@@ -173,7 +176,7 @@ def impute_knn(df: DataFrame, key: str, columns: list[str] | None = None, k: int
         filled = filled.withColumns({f"f{i}": F.lit(None).cast("double") for i in range(d)})
     final = {f"v{i}": F.coalesce(F.col(f"v{i}"), F.col(f"f{i}"), F.lit(means[f"v{i}"])) for i in range(d)}
     filled = filled.select(F.col("id").alias("__id"), *[e.alias(n) for n, e in final.items()])
-    out = df.join(filled, col(key) == F.col("__id"))
+    out = df.join(filled, col(key).eqNullSafe(F.col("__id")), "left")
     swap = {c: f"v{i}" for i, c in enumerate(columns)}
     return out.select(*[F.col(swap[c]).alias(c) if c in swap else col(c) for c in df.columns])
 

@@ -72,7 +72,7 @@ def _extend(prefixes, steps, coordinate):
 
 
 def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
-    """(key, cluster), -1 is noise.  ``min_samples`` counts the point itself.
+    """(key, cluster) of every row, -1 is noise.  ``min_samples`` counts the point itself; a row with a NULL coordinate is noise.
 
     Copies of a point are merged first and carry their weight.  Points are put on a grid of at most
     three coordinates with side eps; a projection never increases a distance, so all neighbours lie
@@ -82,11 +82,13 @@ def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5,
     key, and a border point joins the smallest of its clusters, as a scan in key order does.
     """
     need_columns(df, [key])
-    rows = settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v"))).where("NOT exists(v, x -> x IS NULL)")
+    rows = settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v")))
     reach = math.sqrt(2 * eps) if metric == "cosine" else eps
     limit = eps * (1 + 1e-12)
-    points = rows.groupBy("v").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    points = rows.where("NOT exists(v, x -> x IS NULL)").groupBy("v").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("weight"))
     flat, xs = evaluate.spread_columns(points, "v", ["id"])
+    if not xs:  # no row has all its coordinates
+        return rows.select(F.col("row_id").alias(key), F.lit(-1).alias("cluster"))
     ranges = flat.agg(*[(F.max(x) - F.min(x)).alias(x) for x in xs]).head()
     dims = sorted(sorted(range(len(xs)), key=lambda i: -(ranges[f"x{i}"] or 0.0))[:3])
     side = [F.floor(F.get("v", F.lit(i)) / F.lit(reach * (1 + 1e-9))) for i in dims]
@@ -142,7 +144,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5,
     members = rooted.select("id", "root").unionByName(joined)
     names = numbered(rooted.select("root").distinct(), ["root"], "cluster")
     labelled = points.select("id", "v").join(lookup(members, names, "root").select("id", "cluster"), "id", "left")
-    out = rows.join(labelled.select("v", "cluster"), "v")
+    out = rows.join(labelled.select("v", "cluster"), "v", "left")
     return out.select(F.col("row_id").alias(key), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster"))
 
 

@@ -73,6 +73,23 @@ def test_dbscan_all_noise(spark):
     assert {r["cluster"] for r in cluster.dbscan(df, "id", ["x"], 1.0, 2).collect()} == {-1}
 
 
+def test_dbscan_keeps_rows_with_missing_coordinates(spark):
+    points = [(i, float(i % 6), 0.0) for i in range(12)] + [(12, None, 0.0), (13, 1.0, None)]
+    df = spark.createDataFrame(points, "id bigint, x double, y double")
+    rows = {r["id"]: r["cluster"] for r in cluster.dbscan(df, "id", ["x", "y"], 1.0, 3).collect()}
+    assert rows == {**dict.fromkeys(range(12), 0), 12: -1, 13: -1}
+    arrays = df.where("id >= 10").select("id", F.when(F.col("id") < 13, F.array("x", "y")).alias("v"))
+    assert {r["id"]: r["cluster"] for r in cluster.dbscan(arrays, "id", "v", 1.0, 1).collect()} == {10: 0, 11: 0, 12: -1, 13: -1}
+    assert {r["cluster"] for r in cluster.dbscan(df.where("id >= 12"), "id", ["x", "y"], 1.0, 1).collect()} == {-1}
+
+
+@pytest.mark.parametrize("keys", [[0, 1, None], [0, 1, 1]])
+def test_impute_knn_wants_a_key_for_each_row(spark, keys):
+    df = spark.createDataFrame([(k, v, 1.0) for k, v in zip(keys, [1.0, None, 3.0])], "id bigint, a double, b double")
+    with pytest.raises(ValueError, match="key"):
+        clean.impute_knn(df, "id", ["a", "b"])
+
+
 def test_hierarchical_small_tables_are_exact(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 10.0), (3, 11.5), (4, 30.0)], "id bigint, x double")
     for linkage, top in (("single", 18.5), ("complete", 30.0), ("average", np.mean([30, 29, 20, 18.5]))):
