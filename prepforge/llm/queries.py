@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, near_duplicates, packing, pii, quality, secrets, token_files, top_k, toxicity
+from . import bpe, decontaminate, fill_middle, language_model, near_duplicates, packing, pii, quality, secrets, token_files, top_k, toxicity, variants
 from .storage import scratch_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -74,5 +74,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_pii, op3_near_duplicates, op4_top_k, op5_line_quality, op6_packing, op7_token_files, op8_language_model, op9_secrets, op10_toxicity)}
-ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op5_line_quality": quality.oracle()}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(documents(spark, sf_dir), typo_every=31)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.transform(documents(spark, sf_dir)))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_pii, op3_near_duplicates, op4_top_k, op5_line_quality, op6_packing, op7_token_files, op8_language_model, op9_secrets, op10_toxicity,
+                                    op11_spelling_variants, op12_fill_middle, op13_decontamination)}
+ORACLES: dict[str, str] = {"op4_top_k": OP4_SQL, "op5_line_quality": quality.oracle(), "op12_fill_middle": fill_middle.oracle(), "op13_decontamination": decontaminate.oracle()}

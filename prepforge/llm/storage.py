@@ -33,6 +33,17 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of the table has it (case ignored)."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most ``rows`` rows in an Arrow batch from here on in this session; a lower setting stays.
 
