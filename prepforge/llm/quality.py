@@ -166,10 +166,8 @@ l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
 n AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{space}+', ' ', 'g')) AS norm FROM l),
 h AS (SELECT doc_id, host, line, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS h, len(string_split(norm, ' ')) AS words FROM n WHERE norm <> ''),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM h GROUP BY 1),
-m AS (SELECT doc_id, list_sort(list(DISTINCT h)) AS hs FROM h GROUP BY 1),
-q AS (SELECT DISTINCT host, h, coalesce(CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END, -1) AS other FROM h JOIN m USING (doc_id)),
-a AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
-k AS (SELECT q.host, h FROM q JOIN a ON q.host IS NOT DISTINCT FROM a.host GROUP BY q.host, h, a.docs HAVING count(*) >= {MIN_DOCUMENTS} AND count(*) > {SHARE} * a.docs),
+q AS (SELECT DISTINCT h.host, h, md5(text) AS t FROM h JOIN d USING (doc_id)),
+k AS (SELECT host, h FROM q GROUP BY host, h HAVING count(*) >= {MIN_DOCUMENTS}),
 g AS (SELECT doc_id, sum(words) AS removed_words FROM h JOIN k ON h.h = k.h AND h.host IS NOT DISTINCT FROM k.host GROUP BY 1),
 b AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
