@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frame import settle
+from .frame import lookup, settle
 
 BLOCK_ROWS = 4096
 
@@ -22,10 +22,23 @@ def matrix(series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype("float64") if len(series) else np.zeros((0, 0))
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str, slab: int = 2_000_000) -> np.ndarray:
-    """All distances between two bounded blocks, from direct differences (no cancellation)."""
+def distances(a: np.ndarray, b: np.ndarray, metric: str, slab: int = 2_000_000, product: bool = False) -> np.ndarray:
+    """All distances between two bounded blocks, from direct differences (no cancellation).
+
+    ``product`` takes Euclidean distances from a matrix product, and direct differences only where the
+    product cancels more than four digits.
+    """
     if metric == "cosine":
         return np.clip(1.0 - a @ b.T, 0.0, None)
+    if metric == "euclidean" and product:
+        na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+        out = na + nb - 2 * a @ b.T
+        i, j = np.nonzero(out <= 1e-4 * (na + nb))
+        step = max(1, slab // max(1, a.shape[1]))
+        for s in range(0, len(i), step):
+            diff = a[i[s:s + step]] - b[j[s:s + step]]
+            out[i[s:s + step], j[s:s + step]] = (diff * diff).sum(1)
+        return np.sqrt(out)
     out = np.empty((len(a), len(b)))
     step = max(1, slab // max(1, b.size))
     for i in range(0, len(a), step):
@@ -55,7 +68,7 @@ def block_join(left: DataFrame, right: DataFrame, key: str, kernel, schema: str,
                          F.when(single, F.expr(f"pmod(xxhash64({key}), {packs})")).otherwise(F.xxhash64(key)).alias("__g"))
 
     def cut(df, mine, theirs, own, other):
-        out = (df.join(sizes, key)
+        out = (lookup(df, sizes, key).where("__nl IS NOT NULL")  # a hot key is split while its rows learn their blocks
                .withColumn(own, F.expr(f"CAST(pmod(xxhash64(id), {mine}) AS INT)"))
                .withColumn(other, F.explode(F.expr(f"sequence(0, {theirs} - 1)"))).drop("__nl", "__nr"))
         # fresh column ids: both sides often come from one table

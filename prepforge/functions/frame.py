@@ -156,27 +156,28 @@ def small_or_none(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, key: str, heavy_share: float = 0.01) -> DataFrame:
-    """Left join ``df`` with a dictionary that has one row per value of ``key``.
+    """Left join ``df`` with a dictionary that has one row per value of ``key``, which may be of any type.
 
-    A dictionary proved small is broadcast.  A larger one is shuffled; values that hold more
+    A dictionary proved small is broadcast.  A larger one is shuffled; values whose hash holds more
     than ``heavy_share`` of the rows (at most ``1 / heavy_share`` of them) go through a small
     broadcast instead, so that no task receives a hot value.
     """
     if small_or_none(dictionary):
         return df.join(F.broadcast(dictionary), key, "left")
-    heavy = heavy_values(df, key, heavy_share)
-    is_heavy = F.coalesce(col(key).isin(heavy), F.lit(True)) if heavy else col(key).isNull()
-    hot, rest = df.where(is_heavy), df.where(~is_heavy)
-    hot_words = dictionary.where(col(key).isin(heavy)) if heavy else dictionary.limit(0)
-    joined = hot.join(F.broadcast(hot_words), key, "left")
-    return rest.join(dictionary, key, "left").unionByName(joined)
-
-
-def heavy_values(df: DataFrame, key: str, share: float = 0.01) -> list:
-    """Values that hold more than ``share`` of the rows; at most ``1/share`` of them exist."""
-    total = df.count()
-    counts = df.where(col(key).isNotNull()).groupBy(key).count().where(F.col("count") > share * total)
-    return [r[0] for r in counts.select(key).collect()]
+    heavy = heavy_hashes(df, key, heavy_share)
+    hashed = F.xxhash64(col(key))
+    is_heavy = hashed.isin(heavy) if heavy else F.lit(False)
+    loose = is_heavy | col(key).isNull()  # a missing key finds nothing and may be as frequent as any
+    hot_words = dictionary.where(is_heavy)
+    joined = df.where(loose).join(F.broadcast(hot_words), key, "left")
+    return df.where(~loose).join(dictionary, key, "left").unionByName(joined)
+
+
+def heavy_hashes(df: DataFrame, key: str, share: float = 0.01) -> list[int]:
+    """Hashes of the values that hold more than ``share`` of the rows; at most ``1/share`` of them exist."""
+    counts = df.where(col(key).isNotNull()).groupBy(F.xxhash64(col(key)).alias("h")).count()
+    total = counts.agg(F.sum("count")).head()[0] or 0
+    return [r[0] for r in counts.where(F.col("count") > max(1.0, share * total)).select("h").collect()]
 
 
 def numbered(df: DataFrame, order: list[str], name: str, single_task_rows: int = 1_000_000) -> DataFrame:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frame import settle
+from .frame import lookup, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.union(edges.select("dst", "src")).toDF("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+    return lookup(both.where("v > u"), least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+    tied = lookup(down, least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
     return tied.union(least.select("u", "m")).where("src <> dst").distinct()
 
 
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root) for every node of (src, dst); root is the smallest id of the component.
 
     Rounds grow with the logarithm of the longest path.  Each round is checkpointed; the loop ends
-    when count and checksum of the edges no longer change.
+    when count and checksum of the edges no longer change.  Hubs, to which in the end most nodes are
+    tied, are split by ``lookup``.
     """
     state, previous = settle(edges.select("src", "dst").where("src <> dst").distinct()), None
     for _ in range(max_rounds):

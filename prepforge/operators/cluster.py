@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import block_join, distances, matrix
-from ..functions.frame import col, facts_frame, lookup, need_columns, numbered, settle
-from ..functions.graph import connected_components
+from ..functions.frame import col, facts_frame, need_columns, settle
 from ..functions.quantiles import exact_quantiles
 from . import evaluate
 from .charts import histogram
+from .density import density_labels
 from .encode import fit_model_inputs
 from .neighbors import knn_graph, nearest_neighbors, vectors
 from .reduce import fit_pca
 from .scale import fit_zscore
 
-MICRO_CLUSTERS = 500
-
 
 # -- k-means -----------------------------------------------------------------------------------
 
@@ -66,111 +64,41 @@ def kmeans_auto(df: DataFrame, key: str, columns: list[str] | str, max_k: int =
 
 # -- density clustering ------------------------------------------------------------------------
 
-def _extend(prefixes, steps, coordinate):
-    """Every prefix followed by the coordinate moved by every step."""
-    return F.flatten(F.transform(prefixes, lambda p: F.transform(steps, lambda s: F.concat(p, F.array(coordinate + s)))))
-
+def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean", prepare: bool = False) -> DataFrame:
+    """(key, cluster bigint) of every row, -1 is noise; see ``density_labels``.
 
-def dbscan(df: DataFrame, key: str, columns: list[str] | str, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
-    """(key, cluster) of every row, -1 is noise.  ``min_samples`` counts the point itself; a row with a NULL coordinate is noise.
-
-    Copies of a point are merged first and carry their weight.  Points are put on a grid of at most
-    three coordinates with side eps; a projection never increases a distance, so all neighbours lie
-    in adjacent cells.  Cells are compared block by block: the first comparison returns neighbour
-    counts, the second a spanning forest per block pair, the third the smallest cluster next to a
-    border point.  No step returns neighbour pairs.  Clusters are numbered by their smallest core
-    key, and a border point joins the smallest of its clusters, as a scan in key order does.
+    ``prepare`` first fills and scales numbers and spreads text columns, see ``cluster_inputs``.
     """
     need_columns(df, [key])
+    if prepare:
+        df, columns = cluster_inputs(df, key, columns)
     rows = settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v")))
-    reach = math.sqrt(2 * eps) if metric == "cosine" else eps
-    limit = eps * (1 + 1e-12)
-    points = rows.where("NOT exists(v, x -> x IS NULL)").groupBy("v").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    flat, xs = evaluate.spread_columns(points, "v", ["id"])
-    if not xs:  # no row has all its coordinates
-        return rows.select(F.col("row_id").alias(key), F.lit(-1).alias("cluster"))
-    ranges = flat.agg(*[(F.max(x) - F.min(x)).alias(x) for x in xs]).head()
-    dims = sorted(sorted(range(len(xs)), key=lambda i: -(ranges[f"x{i}"] or 0.0))[:3])
-    side = [F.floor(F.get("v", F.lit(i)) / F.lit(reach * (1 + 1e-9))) for i in dims]
-    points = settle(points.withColumn("at", F.array(*side)))
-    here = F.xxhash64("at")
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = F.array(F.array().cast("array<bigint>"))
-    for i in range(len(dims)):
-        near = _extend(near, steps, F.get("at", F.lit(i)))
-    around = F.explode(F.array_distinct(F.transform(near, lambda p: F.xxhash64(p)))).alias("cell")
-    kind = points.schema["id"].dataType.simpleString()
-
-    def close(a, b):
-        return distances(matrix(a["v"]), matrix(b["v"]), metric) <= limit
-
-    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": close(a, b) @ b["weight"].to_numpy().astype("int64")})
-
-    def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        # labels spread over the bipartite block graph; one edge per node links it to its component
-        hit = close(a, b)
-        ai, bi = a["id"].to_numpy(), b["id"].to_numpy()
-        order = np.unique(np.concatenate([ai, bi]))
-        la, lb = np.searchsorted(order, ai), np.searchsorted(order, bi)
-        big = len(order)
-        while True:
-            nb = np.minimum(lb, np.where(hit, la[:, None], big).min(0, initial=big))
-            na = np.minimum(la, np.where(hit, nb[None, :], big).min(1, initial=big))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        ends = np.concatenate([la, lb])
-        return pd.DataFrame({"src": np.concatenate([ai, bi]), "dst": order[ends]})
-
-    def border(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        hit = close(a, b)
-        names = np.sort(b["root"].unique())
-        code = np.searchsorted(names, b["root"].to_numpy())
-        best = np.where(hit, code[None, :], len(names)).min(1, initial=len(names))
-        found = best < len(names)
-        return pd.DataFrame({"id": a["id"].to_numpy()[found], "root": names[best[found]]})
-
-    asked = points.select("id", "v", around)
-    stored = points.select("id", "v", "weight", here.alias("cell"))
-    counts = block_join(asked, stored, "cell", count, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    marked = settle(points.join(counts, "id").withColumn("core", F.col("n") >= min_samples))
-    cores = marked.where("core")
-    edges = block_join(cores.select("id", "v", around), cores.select("id", "v", here.alias("cell")), "cell", forest, f"src {kind}, dst {kind}")
-    roots = connected_components(edges)
-    rooted = settle(cores.join(roots, "id", "left").select("id", "v", here.alias("cell"), F.coalesce("root", "id").alias("root")))
-    joined = block_join(marked.where("NOT core").select("id", "v", around), rooted, "cell", border, f"id {kind}, root {kind}")
-    joined = joined.groupBy("id").agg(F.min("root").alias("root"))
-    members = rooted.select("id", "root").unionByName(joined)
-    names = numbered(rooted.select("root").distinct(), ["root"], "cluster")
-    labelled = points.select("id", "v").join(lookup(members, names, "root").select("id", "cluster"), "id", "left")
-    out = rows.join(labelled.select("v", "cluster"), "v", "left")
-    return out.select(F.col("row_id").alias(key), F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias("cluster"))
-
-
-def grid_score(df: DataFrame, key: str, columns: list[str] | str, labels: DataFrame, sample: int | None, metric: str = "euclidean") -> float | None:
-    """Silhouette of the clustered rows, noise left out: over all of them by squared distances (linear), or over a ``sample`` that the caller asks for."""
-    rows = df.join(labels.where("cluster >= 0"), key)
-    if sample is None:
-        return evaluate.silhouette_sq(rows, columns, "cluster").head()["silhouette_sq"]
-    return evaluate.silhouette(rows, key, columns, "cluster", sample, metric).head()["silhouette"]
-
-
-def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[float], min_samples: list[int], metrics: tuple = ("euclidean",), sample: int | None = None) -> DataFrame:
+    return density_labels(rows, [eps], [min_samples], metric).select(F.col("row_id").alias(key), "cluster")
+
+
+def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[float], min_samples: list[int], metrics: tuple = ("euclidean",), sample: int | None = None,
+                prepare: bool = False) -> DataFrame:
     """(eps, min_samples, metric, clusters, silhouette, chosen); without two clusters anywhere 0.5 / 5 is chosen.
 
-    Scores as in ``grid_score``.
+    All radii and neighbour numbers of a metric share their neighbour passes.  Each combination is scored by
+    the silhouette of its clustered rows in its own metric, over all of them or over a ``sample`` the caller asks for.
     """
+    need_columns(df, [key])
+    if prepare:
+        df, columns = cluster_inputs(df, key, columns)
+        df = settle(df)
     rows = []
+    combos = list(itertools.product(eps, min_samples))
     for metric in metrics:
-        for e in eps:
-            for m in min_samples:
-                labels = settle(dbscan(df, key, columns, e, m, metric))
-                k = labels.where("cluster >= 0").select("cluster").distinct().count()
-                score = None
-                if k >= 2:
-                    score = grid_score(df, key, columns, labels, sample, metric)
-                rows.append((float(e), int(m), metric, k, score))
+        data = settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v")))
+        labels = settle(density_labels(data, eps, min_samples, metric))
+        found = {r["combo"]: r["n"] for r in labels.groupBy("combo").agg((F.max("cluster") + 1).alias("n")).collect()}
+        for k, (e, m) in enumerate(combos):
+            n, score = found.get(k, 0), None
+            if n >= 2:
+                one = labels.where((F.col("combo") == k) & (F.col("cluster") >= 0)).select("row_id", "cluster")
+                score = evaluate.silhouette(data.join(one, "row_id"), "row_id", "v", "cluster", sample, metric).head()["silhouette"]
+            rows.append((float(e), int(m), metric, int(n), score))
     known = [r for r in rows if r[4] is not None]
     best = max(known, key=lambda r: r[4])[:3] if known else (0.5, 5, "euclidean")
     out = [(*r, r[:3] == best) for r in rows]
@@ -181,92 +109,61 @@ def dbscan_grid(df: DataFrame, key: str, columns: list[str] | str, eps: list[flo
 
 # -- hierarchical ------------------------------------------------------------------------------
 
-def merge_tree(centres: np.ndarray, sizes: np.ndarray, linkage: str, metric: str) -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of at most MICRO_CLUSTERS weighted centres, by Lance-Williams updates."""
-    m = len(centres)
-    d = distances(centres, centres, metric)
-    if linkage == "ward":
-        d = np.sqrt(2.0 * np.outer(sizes, sizes) / np.add.outer(sizes, sizes)) * d
-    np.fill_diagonal(d, np.inf)
-    n, name, merges = sizes.astype(float).copy(), list(range(m)), []
-    for step in range(m - 1):
-        i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-        h = d[i, j]
-        if linkage == "ward":
-            s = n[i] + n[j] + n
-            with np.errstate(invalid="ignore"):
-                new = np.sqrt(((n[i] + n) * d[i] ** 2 + (n[j] + n) * d[j] ** 2 - n * h * h) / s)
-        elif linkage == "complete":
-            new = np.maximum(d[i], d[j])
-        elif linkage == "single":
-            new = np.minimum(d[i], d[j])
-        else:
-            new = (n[i] * d[i] + n[j] * d[j]) / (n[i] + n[j])
-        new[[i, j]] = np.inf
-        new[np.isnan(new)] = np.inf
-        merges.append((name[i], name[j], float(h)))
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        n[i] += n[j]
-        name[i] = m + step
-    return merges
-
-
-def cut_tree(merges: list[tuple[int, int, float]], m: int, clusters: int) -> np.ndarray:
-    parent = list(range(2 * m))
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for step, (a, b, _) in enumerate(merges[: m - clusters]):
-        parent[a] = parent[b] = m + step
-    roots = [top(i) for i in range(m)]
-    order = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    return np.array([order[r] for r in roots])
-
-
-def hierarchical(df: DataFrame, key: str, columns: list[str] | str, n_clusters: int, linkage: str = "ward", metric: str = "euclidean", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """((key, cluster), (step, a, b, height, cut)).
-
-    Two stages: Spark k-means gives at most MICRO_CLUSTERS centres, and the tree is built over these
-    few weighted centres.  With no more distinct rows than that every row is a centre and the tree is
-    the exact one.  Cosine works on unit vectors.
+def hierarchical(df: DataFrame, key: str, columns: list[str] | str, n_clusters: int, metric: str = "euclidean", seed: int = 42, restarts: int = 3,
+                 prepare: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((key, cluster), (step, a, b, size_a, size_b, height)): a tree from the top down, for any number of rows.
+
+    The cluster with the largest sum of squares is split by 2-means until there are ``n_clusters`` or no cluster
+    has two distinct rows.  Read from step 0 the table merges clusters into a; ``height`` is Ward's, the square root of
+    twice the growth of the sum of squares.  Cosine works on unit vectors; numbers are scaled as for ``kmeans``.
+    Clusters are numbered by size, the largest first, ties by their first key.  The driver holds the centres only.
     """
-    if linkage not in ("ward", "complete", "average", "single"):
-        raise ValueError(f"unknown linkage {linkage!r}")
-    if linkage == "ward" and metric != "euclidean":
-        raise ValueError("ward needs the Euclidean metric")
-    rows = settle(df.select(col(key), vectors(df, columns, metric).alias("a")))
-    points = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    if points.limit(MICRO_CLUSTERS + 1).count() <= MICRO_CLUSTERS:
-        small = points.orderBy("first").collect()
-        centres, sizes = np.array([r["a"] for r in small]), np.array([r["n"] for r in small])
-        micro_of = df.sparkSession.createDataFrame([(list(r["a"]), i) for i, r in enumerate(small)], "a array<double>, micro int")
-        placed = rows.join(F.broadcast(micro_of), "a").select(col(key), "micro")
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError("Ward heights need the Euclidean or the cosine metric")
+    if prepare:
+        df, columns = cluster_inputs(df, key, columns)
+    if metric == "cosine":
+        flat, xs = evaluate.spread_columns(df.select(col(key), vectors(df, columns, metric).alias("a")), "a", [key])
+        data = VectorAssembler(inputCols=xs, outputCol="v").transform(flat.fillna(0.0, subset=xs)).select(col(key), "v")
     else:
-        flat, xs = evaluate.spread_columns(rows, "a", [key])
-        data = VectorAssembler(inputCols=xs, outputCol="v").transform(flat).select(col(key), "v")
-        model = KMeans(k=MICRO_CLUSTERS, seed=seed, featuresCol="v", predictionCol="micro").fit(data)
-        placed = settle(model.transform(data).select(col(key), "micro"))
-        counts = {r["micro"]: r["count"] for r in placed.groupBy("micro").count().collect()}
-        live = sorted(counts)
-        centres, sizes = np.array(model.clusterCenters())[live], np.array([counts[i] for i in live])
-        slot = df.sparkSession.createDataFrame([(int(i), p) for p, i in enumerate(live)], "micro int, slot int")
-        placed = placed.join(F.broadcast(slot), "micro").select(col(key), F.col("slot").alias("micro"))
-    m = len(centres)
-    merges = merge_tree(centres, sizes, linkage, metric)
-    labels = cut_tree(merges, m, min(n_clusters, m))
-    named = df.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "micro int, cluster int")
-    cut = m - n_clusters
-    tree = [(s, int(a), int(b), h, s >= cut) for s, (a, b, h) in enumerate(merges)]
-    return (placed.join(F.broadcast(named), "micro").select(col(key), "cluster"),
-            facts_frame(df.sparkSession, tree, "step int, a int, b int, height double, above_cut boolean"))
+        data = scaled_vectors(df, columns, [key])
+    data = settle(data.withColumn("cluster", F.lit(0)))
+    splits: list[tuple] = []
+    live = {0: _spread_of(data)} if n_clusters > 1 else {}
+    while live and len(splits) + 1 < n_clusters:
+        widest = max(live, key=lambda c: (live[c], -c))
+        if live[widest] <= 1e-12:
+            break
+        part = data.where(F.col("cluster") == widest).drop("cluster")
+        model = best_kmeans(part, 2, seed, restarts)
+        centres = [np.array(c) for c in model.clusterCenters()]
+        if len(centres) < 2:  # rows that differ by rounding only
+            live[widest] = 0.0
+            continue
+        new = len(splits) + 1
+        moved = model.transform(part).select(col(key), "v", F.when(F.col("cluster") == 1, new).otherwise(widest).alias("cluster"))
+        data = settle(data.where(F.col("cluster") != widest).unionByName(moved))
+        n = {r["cluster"]: r["count"] for r in data.where(F.col("cluster").isin(widest, new)).groupBy("cluster").count().collect()}
+        growth = n[widest] * n[new] / (n[widest] + n[new]) * float(((centres[0] - centres[1]) ** 2).sum())
+        splits.append((widest, new, n[widest], n[new], math.sqrt(2 * growth)))
+        for c in (widest, new):
+            live[c] = _spread_of(data.where(F.col("cluster") == c))
+    order = data.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(col(key)).alias("first")).orderBy(F.desc("n"), "first").collect()
+    place = {r["cluster"]: i for i, r in enumerate(order)}
+    names = F.broadcast(facts_frame(df.sparkSession, list(place.items()), "cluster int, place int"))  # one row for each cluster asked for
+    tree = [(i, place[a], place[b], na, nb, h) for i, (a, b, na, nb, h) in enumerate(reversed(splits))]
+    return (data.join(names, "cluster").select(col(key), F.col("place").alias("cluster")),
+            facts_frame(df.sparkSession, tree, "step int, a int, b int, size_a bigint, size_b bigint, height double"))
+
+
+def _spread_of(data: DataFrame) -> float:
+    """Sum of squared distances to the mean."""
+    m = data.select(Summarizer.metrics("variance", "count").summary(F.col("v")).alias("m")).select("m.variance", "m.count").head()
+    return float(m["variance"].toArray().sum() * max(0, m["count"] - 1)) if m and m["count"] else 0.0
 
 
 def bisecting(df: DataFrame, key: str, columns: list[str] | str, n_clusters: int, seed: int = 42) -> DataFrame:
-    """The top-down tree, for any number of rows."""
+    """Spark's own top-down clustering, without a tree."""
     data = settle(scaled_vectors(df, columns, [key]))
     return BisectingKMeans(k=n_clusters, seed=seed, featuresCol="v", predictionCol="cluster").fit(data).transform(data).select(col(key), "cluster")
 
@@ -300,7 +197,7 @@ def knn_cluster_grid(df: DataFrame, key: str, columns: list[str] | str, n_cluste
     for method, n, k in trials:
         labels = settle(knn_graph_clusters(df, key, columns, n, k) if method == "graph" else knn_density_clusters(df, key, columns, k))
         found = labels.where("cluster >= 0").select("cluster").distinct().count()
-        score = grid_score(df, key, columns, labels, sample) if found >= 2 else None
+        score = evaluate.silhouette(df.join(labels.where("cluster >= 0"), key), key, columns, "cluster", sample).head()["silhouette"] if found >= 2 else None
         rows.append((method, n, k, found, score))
     best = max((r for r in rows if r[4] is not None), key=lambda r: r[4], default=None)
     return facts_frame(df.sparkSession, [(*r, r is best) for r in rows], "method string, n_clusters int, k int, clusters int, silhouette double, chosen boolean")
@@ -309,7 +206,7 @@ def knn_cluster_grid(df: DataFrame, key: str, columns: list[str] | str, n_cluste
 # -- reports -----------------------------------------------------------------------------------
 
 def cluster_inputs(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, list[str]]:
-    """Median and z-score for numbers, one-hot for text: (key, x_...) and the input names."""
+    """Median and z-score for numbers, one-hot for text: (key, inputs...) and the input names, ready for any clustering."""
     fitted = fit_model_inputs(df, features, "standard", drop_first=False)
     return fitted.transform(df.select(*dict.fromkeys([key, *features]))).select(col(key), *[col(n) for n in fitted.add]), list(fitted.add)
 

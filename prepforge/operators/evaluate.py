@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import block_join, distances, matrix
-from ..functions.frame import col, cumulative, finite, is_numeric, lookup, quote
+from ..functions.frame import col, cumulative, finite, is_numeric, lookup, quote, settle
 from .charts import histogram, keyed_sample
 from .neighbors import vectors
 
@@ -185,37 +185,94 @@ def spread_columns(df: DataFrame, columns: list[str] | str, keep: list[str]) ->
     return df.select(*[col(k) for k in keep], *[x.alias(f"x{i}") for i, x in enumerate(xs)]), [f"x{i}" for i in range(len(xs))]
 
 
-def silhouette_rows(df: DataFrame, key: str, columns: list[str] | str, cluster: str, sample: int | None = None, metric: str = "euclidean") -> DataFrame:
-    """(id, cluster, silhouette) with plain distances.
+def _cluster_centres(flat: DataFrame, xs: list[str], extra: list[Column], max_clusters: int) -> tuple[DataFrame, list]:
+    """((cluster, slot), statistics by slot) of a table with ``cluster``; the clusters must be few enough for every task."""
+    stats = flat.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *extra, *[F.avg(x).alias(x) for x in xs]).limit(max_clusters + 1).collect()
+    if len(stats) > max_clusters:
+        raise ValueError(f"more than {max_clusters} clusters")
+    slots = flat.sparkSession.createDataFrame([(r["cluster"], i) for i, r in enumerate(stats)], f"cluster {flat.schema['cluster'].dataType.simpleString()}, slot int")
+    return F.broadcast(slots), stats
+
 
-    Each pair of row blocks returns one distance sum per row and cluster, never the pairs.  The work
-    grows with the square of the rows; ``sample`` takes the rows with the smallest key hashes, and
-    ``silhouette_sq`` serves any size.
+def _linear_silhouettes(slotted: DataFrame, key: str, means: np.ndarray, q: np.ndarray, n: np.ndarray, cosine: bool) -> DataFrame:
+    """(id, silhouette) from (id, v, slot) when the mean distance to a cluster follows from its mean vector."""
+    def scores(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, own = matrix(pdf["v"]), pdf["slot"].to_numpy()
+            norm = (x * x).sum(1)
+            d = 1.0 - x @ means.T if cosine else norm[:, None] - 2 * x @ means.T + q
+            at, size = np.arange(len(x)), n[own]
+            itself = 1.0 - norm if cosine else 0.0
+            a = (d[at, own] * size - itself) / np.maximum(size - 1, 1)
+            d[at, own] = np.inf
+            b = d.min(1)
+            top = np.maximum(a, b)
+            s = np.where((size > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "silhouette": s})
+
+    return slotted.mapInPandas(scores, f"id {key}, silhouette double")
+
+
+def silhouette_rows(df: DataFrame, key: str, columns: list[str] | str, cluster: str, sample: int | None = None, metric: str = "euclidean", max_clusters: int = 10_000) -> DataFrame:
+    """(id, cluster, silhouette) with plain distances, exact; rows without a cluster are left out.
+
+    Cosine: the sum of the distances to a cluster follows from its vector sum, so the work is linear.  Other metrics:
+    the mean distance to a cluster lies between the distance to its centre and that plus its mean radius, so a row is
+    measured against its own cluster and the few that can be the nearest other one, block by block; no
+    pairs are returned.  ``sample`` takes the rows with the smallest key hashes; ``silhouette_sq`` serves any size.
     """
-    rows = keyed_sample(df, [key], sample).select(col(key).alias("id"), col(cluster).alias("cluster"), vectors(df, columns, metric).alias("v"), F.lit(0).alias("all"))
-    ctype = rows.schema["cluster"].dataType.simpleString()
+    chosen = keyed_sample(df, [key], sample)
+    rows = settle(chosen.where(col(cluster).isNotNull()).select(col(key).alias("id"), col(cluster).alias("cluster"), vectors(chosen, columns, metric).alias("v")))
+    flat, xs = spread_columns(rows, "v", ["cluster"])
+    if not xs:
+        return rows.select("id", "cluster", F.lit(0.0).alias("silhouette"))
     itype = rows.schema["id"].dataType.simpleString()
+    slots, stats = _cluster_centres(flat, xs, [], max_clusters)
+    slotted = rows.join(slots, "cluster").select("id", "v", "slot")
+    centres, n = np.array([[r[x] for x in xs] for r in stats]), np.array([r["n"] for r in stats], dtype="float64")
+    if metric == "cosine":
+        return rows.select("id", "cluster").join(_linear_silhouettes(slotted, itype, centres, np.zeros(len(n)), n, True), "id")
+
+    def radii(batches):
+        for pdf in batches:
+            own = pdf["slot"].to_numpy()
+            if len(pdf):
+                gap = matrix(pdf["v"]) - centres[own]
+                yield pd.DataFrame({"slot": own, "r": np.abs(gap).sum(1) if metric == "manhattan" else np.sqrt((gap * gap).sum(1))})
+
+    radius = np.zeros(len(n))
+    for r in slotted.select("v", "slot").mapInPandas(radii, "slot int, r double").groupBy("slot").agg(F.avg("r").alias("r")).collect():
+        radius[r["slot"]] = r["r"]
+
+    def candidates(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            own = pdf["slot"].to_numpy()
+            d = distances(matrix(pdf["v"]), centres, metric)
+            other = np.arange(len(n))[None, :] != own[:, None]
+            most = np.where(other, d + radius, np.inf).min(1, initial=np.inf)
+            open_ = ~other | (d <= (most * (1 + 1e-9))[:, None])
+            row, slot = np.nonzero(open_)
+            picked = pdf.iloc[row]
+            yield pd.DataFrame({"id": picked["id"].to_numpy(), "v": picked["v"].to_numpy(), "own": own[row], "slot": slot.astype("int32")})
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = distances(matrix(a["v"]), matrix(b["v"]), metric)
-        labels = b["cluster"].to_numpy()
-        names = np.unique(labels)
-        parts = [pd.DataFrame({"id": a["id"].to_numpy(), "other": n, "total": d[:, labels == n].sum(1)}) for n in names]
-        return pd.concat(parts, ignore_index=True)
-
-    rows_b = rows.select("id", "cluster", "v", "all")
-    totals = block_join(rows.select("id", "v", "all"), rows_b, "all", sums, f"id {itype}, other {ctype}, total double", rows=2048)
-    totals = totals.groupBy("id", "other").agg(F.sum("total").alias("total"))
-    sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    own = rows.select("id", "cluster")
-    joined = lookup(totals, sizes, "other").join(own, "id")
-    mine = F.col("other") == F.col("cluster")
-    per = joined.groupBy("id", "cluster").agg(
-        F.max(F.when(mine, F.col("n"))).alias("size"),
+        d = distances(matrix(a["v"]), matrix(b["v"]), metric, product=True)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "own": a["own"].to_numpy(), "slot": b["slot"].iloc[0], "total": d.sum(1)})
+
+    asked = slotted.mapInPandas(candidates, f"id {itype}, v array<double>, own int, slot int")
+    totals = block_join(asked, slotted, "slot", sums, f"id {itype}, own int, slot int, total double", rows=2048)
+    sizes = F.broadcast(df.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(n)], "slot int, n bigint"))
+    totals = totals.groupBy("id", "own", "slot").agg(F.sum("total").alias("total")).join(sizes, "slot")
+    mine = F.col("slot") == F.col("own")
+    per = totals.groupBy("id").agg(
         F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
-    s = F.when((F.col("size") == 1) | F.col("b").isNull(), 0.0).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return per.select("id", "cluster", s.alias("silhouette"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return rows.select("id", "cluster").join(per.select("id", s.alias("silhouette")), "id")
 
 
 def silhouette(df: DataFrame, key: str, columns: list[str] | str, cluster: str, sample: int | None = None, metric: str = "euclidean") -> DataFrame:
@@ -228,36 +285,16 @@ def silhouette_sq(df: DataFrame, columns: list[str] | str, cluster: str, max_clu
     """Mean silhouette with squared distances: linear in the rows through cluster sums.
 
     The mean squared distance of x to a cluster is |x|² - 2 x·mean + mean|y|², so tasks need only the
-    cluster means; each partition returns one sum.
+    cluster means.
     """
-    flat, xs = spread_columns(df, columns, [cluster])
+    flat, xs = spread_columns(df.withColumn("cluster", col(cluster)).where("cluster IS NOT NULL"), columns, ["cluster"])
     v = F.array(*[F.col(x) for x in xs])
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    stats = flat.groupBy(col(cluster)).agg(F.count(F.lit(1)).alias("n"), F.avg(norm).alias("q"), *[F.avg(x).alias(x) for x in xs]).limit(max_clusters + 1).collect()
-    if len(stats) > max_clusters:
-        raise ValueError(f"more than {max_clusters} clusters")
-    slot = df.sparkSession.createDataFrame([(r[cluster], i) for i, r in enumerate(stats)], f"{quote(cluster)} {flat.schema[cluster].dataType.simpleString()}, slot int")
-    means = np.array([[r[x] for x in xs] for r in stats])
-    q, n = np.array([r["q"] for r in stats]), np.array([r["n"] for r in stats], dtype="float64")
-
-    def scores(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, own = matrix(pdf["v"]), pdf["slot"].to_numpy()
-            d = (x * x).sum(1)[:, None] - 2 * x @ means.T + q
-            at = np.arange(len(x))
-            size = n[own]
-            a = d[at, own] * size / np.maximum(size - 1, 1)
-            d[at, own] = np.inf
-            b = d.min(1)
-            top = np.maximum(a, b)
-            s = np.where((size > 1) & np.isfinite(b) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
-            yield pd.DataFrame({"s": [float(s.sum())], "n": [len(x)]})
-
-    rows = flat.select(col(cluster), v.alias("v")).join(F.broadcast(slot), cluster).select("v", "slot")
-    parts = rows.mapInPandas(scores, "s double, n bigint")
-    return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette_sq"), F.sum("n").alias("rows"))
+    slots, stats = _cluster_centres(flat, xs, [F.avg(norm).alias("q")], max_clusters)
+    means, q, n = np.array([[r[x] for x in xs] for r in stats]), np.array([r["q"] for r in stats]), np.array([r["n"] for r in stats], dtype="float64")
+    slotted = flat.select("cluster", v.alias("v")).join(slots, "cluster").select(F.lit(0).alias("id"), "v", "slot")
+    rows = _linear_silhouettes(slotted, "int", means, q, n, False)
+    return rows.agg(F.avg("silhouette").alias("silhouette_sq"), F.count(F.lit(1)).alias("rows"))
 
 
 def centroid_table(flat: DataFrame, xs: list[str], cluster: str) -> DataFrame:

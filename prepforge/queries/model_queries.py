@@ -242,13 +242,13 @@ def _(t):
     return cluster.kmeans_auto(t("customer_points"), "c_custkey", ["x", "y"], max_k=5, restarts=1)[1]
 
 
-def _dbscan(eps: str, least: int, extra: str = "") -> str:
-    return (f"WITH RECURSIVE p AS ({_XY}), {extra}d AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {eps}), "
+def _dbscan(eps: str, least: int, extra: str = "", points: str = _XY, apart: str = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))") -> str:
+    return (f"WITH RECURSIVE p AS ({points}), {extra}d AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a, p b WHERE {apart} <= {eps}), "
             f"core AS (SELECT a FROM d GROUP BY 1 HAVING count(*) >= {least}), e AS (SELECT d.a, d.b FROM d JOIN core c1 ON d.a = c1.a JOIN core c2 ON d.b = c2.a), "
             "reach AS (SELECT a, a AS r FROM core UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.a), root AS (SELECT a, min(r) AS root FROM reach GROUP BY 1), "
             "num AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS k FROM (SELECT DISTINCT root FROM root)), "
             "lab AS (SELECT d.a, min(root.root) AS root FROM d JOIN root ON d.b = root.a GROUP BY 1) "
-            "SELECT p.c_custkey, CAST(coalesce(k, -1) AS INTEGER) AS cluster FROM p LEFT JOIN root ON p.c_custkey = root.a LEFT JOIN lab ON p.c_custkey = lab.a LEFT JOIN num ON num.root = coalesce(root.root, lab.root)")
+            "SELECT p.c_custkey, CAST(coalesce(k, -1) AS BIGINT) AS cluster FROM p LEFT JOIN root ON p.c_custkey = root.a LEFT JOIN lab ON p.c_custkey = lab.a LEFT JOIN num ON num.root = coalesce(root.root, lab.root)")
 
 
 _DB = _dbscan("0.9e0", 3)
@@ -261,11 +261,29 @@ def _(t):
     return cluster.dbscan(t("customer_points"), "c_custkey", ["x", "y"], 0.9, 3)
 
 
+# z-scored balance and one-hot segment: customers of two segments are sqrt(2) and more apart
+_SEGMENTS = "SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x, c_mktsegment AS s FROM customer"
+_SEGMENTS_APART = "sqrt((a.x - b.x) * (a.x - b.x) + CASE WHEN a.s = b.s THEN 0.0e0 ELSE 2.0e0 END)"
+
+
+@query("cu_dbscan_prepared", _dbscan("0.011e0", 4, "", _SEGMENTS, _SEGMENTS_APART))
+def _(t):
+    return cluster.dbscan(t("customer"), "c_custkey", ["c_acctbal", "c_mktsegment"], 0.011, 4, prepare=True)
+
+
 @query("cu_dbscan_grid")
 def _(t):
     return cluster.dbscan_grid(t("customer_points"), "c_custkey", ["x", "y"], [0.9], [3])
 
 
+_GRID = [(e, m) for e in (0.6, 0.9, 1.2) for m in (3, 5)]
+
+
+@query("cu_dbscan_grid_clusters", " UNION ALL ".join(f"SELECT {e}::DOUBLE AS eps, {m} AS min_samples, 'euclidean' AS metric, CAST(max(cluster) + 1 AS INTEGER) AS clusters FROM ({_dbscan(f'{e}e0', m)})" for e, m in _GRID))
+def _(t):
+    return cluster.dbscan_grid(t("customer_points"), "c_custkey", ["x", "y"], [0.6, 0.9, 1.2], [3, 5]).drop("silhouette", "chosen")
+
+
 @query("cu_hierarchical")
 def _(t):
     return cluster.hierarchical(t("customer_points"), "c_custkey", ["x", "y"], 4)[0]
@@ -273,7 +291,7 @@ def _(t):
 
 @query("cu_hierarchical_merges")
 def _(t):
-    return cluster.hierarchical(t("embeddings"), "vec_id", "embedding", 4, "average", "cosine")[1]
+    return cluster.hierarchical(t("embeddings"), "vec_id", "embedding", 4, "cosine")[1]
 
 
 @query("cu_bisecting")

@@ -90,13 +90,17 @@ def test_impute_knn_wants_a_key_for_each_row(spark, keys):
         clean.impute_knn(df, "id", ["a", "b"])
 
 
-def test_hierarchical_small_tables_are_exact(spark):
-    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 10.0), (3, 11.5), (4, 30.0)], "id bigint, x double")
-    for linkage, top in (("single", 18.5), ("complete", 30.0), ("average", np.mean([30, 29, 20, 18.5]))):
-        labels, tree = cluster.hierarchical(df, "id", ["x"], 2, linkage)
-        got = [r["cluster"] for r in labels.orderBy("id").collect()]
-        assert got[:4] == [got[0]] * 4 and got[4] != got[0]
-        assert tree.agg(F.max("height")).head()[0] == pytest.approx(top)
+def test_hierarchical_splits_from_the_top(spark):
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 10.0), (3, 11.5), (4, 30.0), (5, 30.0), (6, 30.5)], "id bigint, x double")
+    labels, tree = cluster.hierarchical(df, "id", ["x"], 3)
+    got = [r["cluster"] for r in labels.orderBy("id").collect()]
+    assert got == [1, 1, 2, 2, 0, 0, 0]
+    rows = tree.orderBy("step").collect()
+    scale_ = np.std([0, 1, 10, 11.5, 30, 30, 30.5])
+    assert [(r["size_a"], r["size_b"]) for r in rows] in ([(2, 2), (4, 3)], [(2, 2), (3, 4)])
+    assert rows[0]["height"] == pytest.approx(np.sqrt(2 * (4 / 4) * (10.75 - 0.5) ** 2) / scale_)
+    few, steps = cluster.hierarchical(df.where("id >= 4"), "id", ["x"], 5)
+    assert few.select("cluster").distinct().count() == 2 and steps.count() == 1  # two distinct rows
 
 
 def test_silhouette_blocks_equal_numpy(spark, monkeypatch):
@@ -317,5 +321,7 @@ def test_cluster_grids_score_all_rows(spark):
     rows = cluster.dbscan_grid(df, "id", ["x", "y"], [1.0, 20.0], [3]).collect()
     assert [(r["eps"], r["clusters"], r["chosen"]) for r in rows] == [(1.0, 2, True), (20.0, 1, False)]
     labels = cluster.dbscan(df, "id", ["x", "y"], 1.0, 3)
-    exact = evaluate.silhouette_sq(df.join(labels, "id").where("cluster >= 0"), ["x", "y"], "cluster").head()["silhouette_sq"]
+    exact = evaluate.silhouette(df.join(labels, "id").where("cluster >= 0"), "id", ["x", "y"], "cluster").head()["silhouette"]
     assert rows[0]["silhouette"] == pytest.approx(exact) and exact > 0.9
+    by_metric = cluster.dbscan_grid(df.where("id < 80"), "id", ["x", "y"], [0.05], [3], ("cosine", "manhattan")).collect()
+    assert [r["metric"] for r in by_metric] == ["cosine", "manhattan"] and not any(r["eps"] == 0.5 for r in by_metric if r["silhouette"] is not None)
