@@ -2,33 +2,34 @@
 
 1. Equal vectors are merged on both sides: only the k+1 smallest ids of a group of copies can be
    neighbours, and one search serves all copies.
-2. Every base vector belongs to the nearest of a bounded number of pivots.  By the triangle
-   inequality a query needs a cell only if distance(query, pivot) - radius(cell) does not exceed
-   the distance of its k-th candidate.
-3. The first round searches the nearest cells that hold enough vectors and gives that bound, the
-   second round only the cells the bound leaves open.
-4. Large cells are cut into blocks; each block pair returns its k best rows.
-
-``probe_cells`` stops after the given number of cells: faster, approximate.
+2. The base is an index: a tree of pivots that grows with the table.  A node with too many points draws
+   pivots from them, each point goes to its nearest pivot, and every node keeps the radius that covers its points.
+   Levels are tables; no level is collected or broadcast whole.
+3. Queries go down the tree twice: first to the nearest leaves that hold enough vectors, whose k-th distance is
+   a bound, then to all nodes that the triangle inequality leaves open.
+4. Large leaves are cut into blocks; each block pair returns its k best rows.
+
+``probe_cells`` keeps the given number of nearest nodes on every level instead: faster, approximate.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.blocks import BLOCK_ROWS, block_join, distances, matrix
-from ..functions.frame import col, need_columns, settle
+from ..functions.frame import col, lookup, need_columns, settle
 
 METRICS = ("euclidean", "manhattan", "cosine")
-MAX_PIVOTS = 1024
-# A base of at most this many distinct vectors is one cell: pruning would cost more than it saves.
-ONE_CELL_ROWS = 8192
+FANOUT = 64       # pivots of a node
+MAX_LEVELS = 12   # a leaf that is still larger is searched block by block
+LEAF_ROWS = 8192  # below that a block comparison costs less than another level
 
 
 def vectors(df: DataFrame, columns: list[str] | str, metric: str = "euclidean"):
@@ -46,39 +47,174 @@ def merge_top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class NeighborIndex:
+    """The rows of a base table (row_id, v), its distinct points (id, v, node) and the levels of its pivot tree.
+
+    A level holds (node, id, v, n, radius): the children of the nodes that are split there.
+    """
+
+    def __init__(self, metric: str, rows: DataFrame, points: DataFrame, levels: list[DataFrame], n: int):
+        self.metric, self.rows, self.points, self.levels, self.n = metric, rows, points, levels, n
+
+    # -- building ------------------------------------------------------------------------------
+
+    @staticmethod
+    def build(base: DataFrame, key: str, columns: list[str] | str, metric: str = "euclidean", leaf_rows: int | None = None) -> NeighborIndex:
+        """Rows with a NULL in the vector are left out.  ``leaf_rows`` is the size from which a node is split."""
+        if metric not in METRICS:
+            raise ValueError(f"metric must be one of {METRICS}")
+        need_columns(base, [key])
+        # written once: the vectors are grouped, joined back and compared several times below
+        rows = settle(base.select(col(key).alias("row_id"), vectors(base, columns, metric).alias("v"))).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+        points = settle(rows.groupBy("v").agg(F.min("row_id").alias("id")))
+        n = points.count()
+        placed, levels = _tree(points.select("id", "v", F.lit(0).cast("bigint").alias("node")), n, metric, LEAF_ROWS if leaf_rows is None else leaf_rows)
+        return NeighborIndex(metric, rows, placed, levels, n)
+
+    def save(self, path: str) -> None:
+        """The index as Parquet below a path that all machines share."""
+        self.rows.write.parquet(f"{path}/rows")
+        self.points.write.parquet(f"{path}/points")
+        for i, level in enumerate(self.levels):
+            level.write.parquet(f"{path}/level-{i}")
+        facts = json.dumps({"metric": self.metric, "levels": len(self.levels), "n": self.n})
+        self.rows.sparkSession.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{path}/facts")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> NeighborIndex:
+        facts = json.loads(spark.read.text(f"{path}/facts").head()[0])
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return NeighborIndex(facts["metric"], read("rows"), read("points"), [read(f"level-{i}") for i in range(facts["levels"])], facts["n"])
+
+    # -- searching -----------------------------------------------------------------------------
+
+    def search(self, query: DataFrame, k: int, include_self: bool = True, probe_cells: int | None = None) -> DataFrame:
+        """(query_id, neighbor_id, distance, rank) for a query table (row_id, v); ties go to the smaller neighbour id."""
+        depth = k if include_self else k + 1
+        queries = settle(query.groupBy("v").agg(F.min("row_id").alias("id")))
+        found = settle(self._distinct(queries, depth, probe_cells))
+        # the copies of a neighbour, at most `depth`, as one row for each vector
+        copy = F.row_number().over(Window.partitionBy("v").orderBy("row_id"))
+        copies = self.rows.withColumn("copy", copy).where(F.col("copy") <= depth).groupBy("v").agg(F.collect_list("row_id").alias("members"))
+        copies = settle(copies.join(self.points.select("id", "v"), "v").select(F.col("id").alias("nid"), "members"))
+        named = lookup(found, copies, "nid").select("id", "distance", F.explode("members").alias("nid"))  # a hub is split
+        best = named.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "nid"))), 1, depth).alias("best"))
+        best = settle(queries.join(best, "id").select("v", "best"))
+        out = lookup(query.select("row_id", "v"), best, "v").where("best IS NOT NULL")  # so is a vector with many copies
+        mine = F.col("best") if include_self else F.filter("best", lambda b: b["nid"] != F.col("row_id"))
+        out = out.select(F.col("row_id").alias("query_id"), F.posexplode(F.slice(mine, 1, k)).alias("pos", "b"))
+        return out.select("query_id", F.col("b.nid").alias("neighbor_id"), F.col("b.distance").alias("distance"), (F.col("pos") + 1).alias("rank"))
+
+    def _distinct(self, queries: DataFrame, k: int, probe_cells: int | None) -> DataFrame:
+        """(id, nid, distance) with the k nearest distinct vectors."""
+        id_type, q_type = self.points.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+        shape = f"id {q_type}, nid {id_type}, distance double"
+        search, rows = top_of_block(k, self.metric), min(BLOCK_ROWS, max(256, self.n // 4))
+        start = queries.select("id", "v", F.lit(float("inf")).alias("bound"), F.lit(0).cast("bigint").alias("node"))
+
+        def leaves(frontier):
+            return merge_top(block_join(frontier.select("id", "v", "node"), self.points, "node", search, shape, rows), k).drop("rank")
+
+        if not self.levels:
+            return leaves(start)
+        if probe_cells:
+            return leaves(self._down(start, lambda d, n, radius, bound: np.ones(d.shape, dtype=bool), probe_cells))
+
+        def enough(d, n, radius, bound):
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(n[order], axis=1) - n[order]
+            taken = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(taken, order, before < k, axis=1)
+            return taken
+
+        def within(d, n, radius, bound):
+            return d - radius <= bound[:, None] * (1 + 1e-9) + 1e-9
+
+        near = leaves(self._down(start, enough))
+        bound = near.groupBy("id").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("c"))
+        reach = F.sqrt(2 * F.greatest("bound", F.lit(0.0))) if self.metric == "cosine" else F.col("bound")
+        bound = bound.select("id", F.when(F.col("c") >= k, reach).otherwise(float("inf")).alias("bound"))
+        bounded = settle(start.drop("bound").join(bound, "id").select("id", "v", "bound", "node"))
+        return leaves(self._down(bounded, within))
+
+    def _down(self, frontier: DataFrame, choose, beam: int | None = None) -> DataFrame:
+        """(id, v, bound, node) rows at the leaves that ``choose`` leaves open, level by level."""
+        space = "manhattan" if self.metric == "manhattan" else "euclidean"  # unit vectors for cosine
+        q_type = frontier.schema["id"].dataType.simpleString()
+
+        def step(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            d = distances(matrix(a["v"]), matrix(b["v"]), space, product=True)
+            row, at = np.nonzero(choose(d, b["n"].to_numpy(), b["radius"].to_numpy(), a["bound"].to_numpy()))
+            picked = a.iloc[row]
+            return pd.DataFrame({"id": picked["id"].to_numpy(), "v": picked["v"].to_numpy(), "bound": picked["bound"].to_numpy(), "node": b["id"].to_numpy()[at], "d": d[row, at]})
+
+        shape = f"id {q_type}, v array<double>, bound double, node bigint, d double"
+        frontier, done = frontier.withColumn("d", F.lit(0.0)), None
+        for i, level in enumerate(self.levels):
+            if i:
+                split = lookup(frontier, level.select("node").distinct().withColumn("split", F.lit(True)), "node")
+                rest, frontier = split.where("split IS NULL").drop("split"), split.where("split").drop("split")
+                done = rest if done is None else done.unionByName(rest)
+            frontier = block_join(frontier, level.select("id", "v", "node", "n", "radius"), "node", step, shape)
+            if beam:
+                best = frontier if done is None else done.unionByName(frontier)
+                place = F.row_number().over(Window.partitionBy("id").orderBy("d", "node"))
+                frontier, done = best.withColumn("place", place).where(F.col("place") <= beam).drop("place"), None
+            if i + 1 < len(self.levels):
+                frontier = settle(frontier)
+                done = None if done is None else settle(done)
+        return (frontier if done is None else done.unionByName(frontier)).drop("d")
+
+
+def _tree(points: DataFrame, n: int, metric: str, leaf_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((id, v, node) with the leaf of each point, levels)."""
+    space, levels, leaves, open_ = "manhattan" if metric == "manhattan" else "euclidean", [], None, points
+    id_type = points.schema["id"].dataType.simpleString()
+
+    def assign(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = distances(matrix(a["v"]), matrix(b["v"]), space, product=True)
+        at = d.argmin(1)
+        return pd.DataFrame({"id": a["id"].to_numpy(), "v": a["v"].to_numpy(), "node": b["id"].to_numpy()[at], "reach": d[np.arange(len(d)), at]})
+
+    for level in range(MAX_LEVELS):
+        if level:
+            large = open_.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > leaf_rows).select("node", F.lit(True).alias("large"))
+            large = settle(large)
+            if not large.limit(1).count():
+                break
+            marked = lookup(open_, large, "node")
+            small = marked.where("large IS NULL").drop("large")
+            leaves = small if leaves is None else leaves.unionByName(small)
+            open_ = marked.where("large").drop("large")
+        elif n <= leaf_rows:
+            break
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id", F.lit(level)), "id"))
+        pivots = open_.withColumn("place", place).where(F.col("place") <= FANOUT)
+        number = F.lit((level + 1) << 52) + F.monotonically_increasing_id()
+        pivots = settle(pivots.select("node", number.alias("id"), "v"))
+        moved = settle(block_join(open_, pivots, "node", assign, f"id {id_type}, v array<double>, node bigint, reach double"))
+        cover = moved.groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
+        levels.append(settle(pivots.join(cover, "id").select("node", "id", "v", "n", "radius")))
+        open_ = moved.drop("reach")
+    return (open_ if leaves is None else leaves.unionByName(open_)), levels
+
+
 def nearest_neighbors(query: DataFrame, base: DataFrame, k: int, key: str, columns: list[str] | str,
-                      metric: str = "euclidean", include_self: bool = True, probe_cells: int | None = None) -> DataFrame:
+                      metric: str = "euclidean", include_self: bool = True, probe_cells: int | None = None, leaf_rows: int | None = None) -> DataFrame:
     """(query_id, neighbor_id, distance, rank); ties go to the smaller neighbour id.
 
     ``include_self=False`` leaves out the row whose key equals the query's key.  Rows with a NULL in
-    the vector are not compared.
+    the vector are not compared.  With ``probe_cells`` leaves hold about four times the root of the rows, at every size.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
     need_columns(query, [key])
-    depth = k if include_self else k + 1
-
-    def prepared(df):
-        # written once: the vectors are grouped, joined back and compared several times below
-        return settle(df.select(col(key).alias("row_id"), vectors(df, columns, metric).alias("v"))).where("NOT exists(v, x -> x IS NULL)")
-
-    b = prepared(base)
-    q = b if query is base else prepared(query)
-    queries = q.groupBy("v").agg(F.min("row_id").alias("id"))
-    points = b.groupBy("v").agg(F.min("row_id").alias("id"))
-    members = (b.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("row_id")))
-               .where(F.col("copy") <= depth).select("v", F.col("row_id").alias("member")))
-
-    found = distinct_neighbors(queries, points, depth, metric, probe_cells)
-    # back from vectors to rows: the copies of a neighbour (at most `depth`), then the copies of a query
-    named = members.join(points, "v").select(F.col("id").alias("nid"), "member")
-    rows = (found.join(named, "nid").select("id", F.col("member").alias("nid"), "distance"))
-    best = merge_top(rows, depth).drop("rank")
-    out = (q.join(queries, "v").select("row_id", "id")
-           .join(best, "id").select(F.col("row_id").alias("id"), "nid", "distance"))
-    if not include_self:
-        out = out.where("id <> nid")
-    return merge_top(out, k).select(F.col("id").alias("query_id"), F.col("nid").alias("neighbor_id"), "distance", F.col("rank").cast("int").alias("rank"))
+    if probe_cells and leaf_rows is None:
+        leaf_rows = max(16, min(LEAF_ROWS, 4 * math.isqrt(base.count())))
+    index = NeighborIndex.build(base, key, columns, metric, leaf_rows)
+    if query is base:
+        asked = index.rows
+    else:
+        asked = settle(query.select(col(key).alias("row_id"), vectors(query, columns, metric).alias("v"))).where("v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    return index.search(asked, k, include_self, probe_cells)
 
 
 def top_of_block(k: int, metric: str):
@@ -117,76 +253,6 @@ def top_of_block(k: int, metric: str):
     return search
 
 
-def distinct_neighbors(queries: DataFrame, points: DataFrame, k: int, metric: str, probe_cells: int | None = None) -> DataFrame:
-    """(id, nid, distance) with the k nearest distinct vectors; see the module text."""
-    points = settle(points)
-    n = points.count()
-    if n == 0:
-        return queries.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("distance")).limit(0)
-    m = 1 if n <= ONE_CELL_ROWS else min(MAX_PIVOTS, math.isqrt(n) // 2)
-    rows = min(BLOCK_ROWS, max(256, n // 4))
-    search = top_of_block(k, metric)
-    id_type, q_type = points.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
-    out_shape = f"id {q_type}, nid {id_type}, distance double"
-    if m == 1:
-        cell = F.lit(0).alias("cell")
-        return merge_top(block_join(queries.select("id", "v", cell), points.select("id", "v", cell), "cell", search, out_shape, rows), k).drop("rank")
-    pivots = np.array([r["v"] for r in points.orderBy(F.md5(col("id").cast("string"))).limit(m).select("v").collect()], dtype="float64")
-    space = "manhattan" if metric == "manhattan" else "euclidean"  # unit vectors for cosine
-    shape = f"id {id_type}, v array<double>, cell int, reach double"
-
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = distances(matrix(pdf["v"]), pivots, space)
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
-
-    celled = settle(points.select("id", "v").mapInPandas(assign, shape))
-    stats = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()
-    radius, size = np.full(m, -1.0), np.zeros(m, dtype="int64")
-    for s in stats:
-        radius[s["cell"]], size[s["cell"]] = s["r"], s["n"]
-
-    def plan(first: bool):
-        def open_cells(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                d = distances(matrix(pdf["v"]), pivots, space)
-                d[:, size == 0] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")
-                upto = np.cumsum(size[order], axis=1)
-                wanted = min(k, n)
-                need = (upto < wanted).sum(1) + 1  # nearest cells that together hold k vectors
-                if probe_cells:
-                    need = np.maximum(need, min(probe_cells, m))
-                taken = np.zeros_like(d, dtype=bool)
-                np.put_along_axis(taken, order, np.arange(m)[None, :] < need[:, None], axis=1)
-                if first:
-                    chosen = taken & (size > 0)
-                else:
-                    limit = pdf["bound"].to_numpy()[:, None]
-                    chosen = ~taken & (size > 0) & (d - radius <= limit * (1 + 1e-9) + 1e-9)
-                row, cell = np.nonzero(chosen)
-                picked = pdf.iloc[row]
-                yield pd.DataFrame({"id": picked["id"].to_numpy(), "v": picked["v"].to_numpy(), "cell": cell.astype("int32")})
-        return open_cells
-
-    open_shape = f"id {q_type}, v array<double>, cell int"
-    base = celled.select("id", "v", "cell")
-    first = queries.select("id", "v").mapInPandas(plan(True), open_shape)
-    near = settle(merge_top(block_join(first, base, "cell", search, out_shape, rows), k).drop("rank"))
-    if probe_cells:
-        return near
-    kth = near.groupBy("id").agg(F.max("distance").alias("bound"))
-    if metric == "cosine":
-        kth = kth.withColumn("bound", F.sqrt(2 * F.col("bound")))
-    rest = queries.join(kth, "id").select("id", "v", "bound").mapInPandas(plan(False), open_shape)
-    more = block_join(rest, base, "cell", search, out_shape, rows)
-    return merge_top(near.unionByName(more), k).drop("rank")
-
-
 def knn_graph(df: DataFrame, key: str, columns: list[str] | str, k: int = 15, metric: str = "euclidean") -> DataFrame:
     """Neighbour graph (src, dst, distance, rank) without self loops."""
     near = nearest_neighbors(df, df, k, key, columns, metric, include_self=False)

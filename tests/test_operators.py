@@ -27,13 +27,14 @@ def brute_neighbors(x, k, skip_self):
     return order, np.take_along_axis(d, order, 1)
 
 
-@pytest.mark.parametrize("skip_self,one_cell", [(True, 0), (False, 10**6)])
-def test_neighbors_with_a_third_of_copies_and_tiny_blocks(spark, monkeypatch, skip_self, one_cell):
+@pytest.mark.parametrize("skip_self,leaf", [(True, 9), (False, 10**6), (False, 30)])
+def test_neighbors_with_a_third_of_copies_and_tiny_blocks(spark, monkeypatch, skip_self, leaf):
     rng = np.random.default_rng(3)
     x = np.concatenate([np.zeros((60, 2)), rng.normal(0, 1, (120, 2))])
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "a": x[:, 0], "b": x[:, 1]}))
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(neighbors, "ONE_CELL_ROWS", one_cell)
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(neighbors, "FANOUT", 4)  # several levels
     got = neighbors.nearest_neighbors(df, df, 4, "id", ["a", "b"], include_self=not skip_self).toPandas().sort_values(["query_id", "rank"])
     ids, dist = brute_neighbors(x, 4, skip_self)
     assert (got.neighbor_id.to_numpy().reshape(-1, 4) == ids).all()
@@ -121,7 +122,8 @@ def test_silhouette_blocks_equal_numpy(spark, monkeypatch):
 def test_neighbors_on_a_lattice_break_ties_by_key(spark, monkeypatch):
     x = np.array([[i % 6, i // 6] for i in range(36)], dtype=float)
     df = spark.createDataFrame(pd.DataFrame({"id": range(36), "a": x[:, 0], "b": x[:, 1]}))
-    monkeypatch.setattr(neighbors, "ONE_CELL_ROWS", 0)
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 5)
+    monkeypatch.setattr(neighbors, "FANOUT", 3)
     got = neighbors.nearest_neighbors(df, df, 3, "id", ["a", "b"], "manhattan", include_self=False).toPandas().sort_values(["query_id", "rank"])
     d = np.abs(x[:, None] - x[None]).sum(2)
     np.fill_diagonal(d, np.inf)
