@@ -117,6 +117,11 @@ def finite_sql(df: DataFrame, name: str) -> str:
     return c
 
 
+def present_sql(df: DataFrame, name: str) -> str:
+    """The column with NaN as NULL, in its own type."""
+    return f"nanvl({quote(name)}, NULL)" if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)) else quote(name)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every fractional column; one projection."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]

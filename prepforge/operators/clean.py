@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.blocks import block_join, matrix
 from ..functions.frame import (
     col, columns_by_kind, dtype_of, facts_frame, finite, finite_sql, literal_sql,
-    need_columns, need_numeric, number_sql, numeric_columns, quote, settle, string_sql, union_all,
+    need_columns, need_numeric, number_sql, numeric_columns, present_sql, quote, settle, string_sql,
 )
 from ..functions.projection import Projection
 from ..functions.quantiles import exact_quantiles
-from .neighbors import nearest_neighbors
+
+DONOR_ROWS = 4096  # rows of a range of the fullest column
 
 # The dates accepted besides ISO text, and the placeholder for a missing date.
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy"]
@@ -53,10 +55,10 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 # -- missing values ---------------------------------------------------------------------------
 
 def null_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, null_count, null_pct): one aggregate over the table, then one row per column."""
+    """(column, null_count, null_pct): one aggregate over the table, then one row per column.  NaN counts as missing."""
     columns = columns or df.columns
     need_columns(df, columns)
-    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(col(c).isNull()).alias(c) for c in columns])
+    counts = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.expr(f"{present_sql(df, c)} IS NULL")).alias(c) for c in columns])
     items = [F.struct(F.lit(c).alias("column"), col(c).alias("null_count"),
                       (100.0 * col(c) / F.greatest(F.col("__n"), F.lit(1))).alias("null_pct")) for c in columns]
     return counts.select(F.inline(F.array(*items)))
@@ -68,7 +70,7 @@ def value_modes(df: DataFrame, columns: list[str]) -> dict:
     Grouping sets count every column in one job with map-side combine; a plain ``mode`` would hold
     all distinct values of the column in a single task.
     """
-    plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    plain = df.select(*[F.expr(present_sql(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
     names = plain.columns
     counted = plain.groupingSets([[plain[n]] for n in names], *[plain[n] for n in names]).agg(
         F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"))
@@ -82,7 +84,7 @@ def value_modes(df: DataFrame, columns: list[str]) -> dict:
 def fit_impute(df: DataFrame, strategies: dict[str, str]) -> Projection:
     """Fill values per column: ``mean``, ``median``, ``mode``, ``unknown`` or ``drop``.
 
-    All means come from one aggregate, all medians from one and all modes from one.
+    NaN is missing like NULL; means and medians treat infinities so too.  All means come from one aggregate, all medians from one and all modes from one.
     """
     need_columns(df, strategies)
     by = {s: [c for c, x in strategies.items() if x == s] for s in ("mean", "median", "mode", "unknown", "drop")}
@@ -107,13 +109,13 @@ def fit_impute(df: DataFrame, strategies: dict[str, str]) -> Projection:
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and v != UNKNOWN:
             fill = f"CAST({string_sql(str(v))} AS {kind.simpleString()})"
         elif v == UNKNOWN and not isinstance(kind, T.StringType):
-            replace[c] = f"coalesce(CAST({quote(c)} AS STRING), {string_sql(UNKNOWN)})"
+            replace[c] = f"coalesce(CAST({present_sql(df, c)} AS STRING), {string_sql(UNKNOWN)})"
             continue
         else:
             fill = literal_sql(v)
-        base = f"CAST({quote(c)} AS DOUBLE)" if strategies[c] in ("mean", "median") else quote(c)
+        base = finite_sql(df, c) if strategies[c] in ("mean", "median") else present_sql(df, c)
         replace[c] = f"coalesce({base}, {fill})"
-    keep = " AND ".join(f"{quote(c)} IS NOT NULL" for c in by["drop"]) or None
+    keep = " AND ".join(f"{present_sql(df, c)} IS NOT NULL" for c in by["drop"]) or None
     return Projection(replace=replace, keep_when=keep, facts=fills)
 
 
@@ -136,49 +138,113 @@ def clean_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_knn(df: DataFrame, key: str, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """Fill numeric NULLs with the mean of the k nearest donors (missing-aware Euclidean distance).
 
-    The squared distance over the shared columns is scaled by all/shared columns.  Rows fall into
-    null patterns; for each pair of patterns the distance is an ordinary Euclidean one on the shared
-    columns, so the exact neighbour join serves every pair.  Donors are ranked per missing cell over
-    all pairs.  A cell without donors gets the column mean.  The key must name each row: a NULL or
+    The squared distance over the shared columns is scaled by all/shared columns.  Donors are ranked per missing
+    cell, ties by key; a cell without donors gets the column mean.  The key must name each row: a NULL or
     repeated one is an error.
+
+    One kernel serves all patterns of missing values: it carries a mask of the present coordinates.  Rows are dealt to
+    ranges of their fullest column.  A row first meets its own range and the rows without that column; the k-th
+    distances found there bound the gap to the ranges it still has to meet.  The number of jobs does not
+    depend on the patterns.
     """
     columns = columns or [c for c in numeric_columns(df) if c != key]
     need_numeric(df, columns)
-    work = df.select(col(key).alias("id"), *[finite(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     d = len(columns)
-    pattern = F.concat(*[F.when(F.col(f"v{i}").isNull(), "0").otherwise("1") for i in range(d)])
-    work = settle(work.withColumn("pattern", pattern))  # scanned once per pattern pair
+    work = settle(df.select(col(key).alias("id"), F.array(*[finite(df, c) for c in columns]).alias("v")))
     if wrong := work.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id IS NULL OR n > 1").head(1):
         raise ValueError(f"impute_knn needs a key for each row; {key} has {wrong[0]['id']!r} in {wrong[0]['n']} rows")
-    patterns = [r[0] for r in work.select("pattern").distinct().collect()]  # at most 2^d short texts
-    means = work.agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(d)]).head()
-    found = []
-    for mine, theirs in itertools.product(patterns, patterns):
-        wanted = [i for i in range(d) if mine[i] == "0" and theirs[i] == "1"]
-        shared = [i for i in range(d) if mine[i] == "1" and theirs[i] == "1"]
-        if not wanted or not shared:
-            continue
-        names = [f"v{i}" for i in shared]
-        near = nearest_neighbors(work.where(F.col("pattern") == mine), work.where(F.col("pattern") == theirs),
-                                 k, "id", names).withColumn("distance", F.col("distance") * (d / len(shared)) ** 0.5)
-        cells = F.explode(F.array(*[F.lit(i) for i in wanted])).alias("cell")
-        found.append(near.select("query_id", "neighbor_id", "distance", cells))
-    filled = work.select("id", *[F.col(f"v{i}") for i in range(d)])
-    if found:
-        rank = F.row_number().over(Window.partitionBy("query_id", "cell").orderBy("distance", "neighbor_id"))
-        best = union_all(found).withColumn("rank", rank).where(F.col("rank") <= k)
-        donors = work.select(F.col("id").alias("neighbor_id"), F.array(*[F.col(f"v{i}") for i in range(d)]).alias("donor"))
-        value = best.join(donors, "neighbor_id").select("query_id", "cell", F.get("donor", F.col("cell")).alias("value"))
-        fills = value.groupBy(F.col("query_id").alias("id")).agg(
-            *[F.avg(F.when(F.col("cell") == i, F.col("value"))).alias(f"f{i}") for i in range(d)])
-        filled = filled.join(fills, "id", "left")
-    else:
-        filled = filled.withColumns({f"f{i}": F.lit(None).cast("double") for i in range(d)})
-    final = {f"v{i}": F.coalesce(F.col(f"v{i}"), F.col(f"f{i}"), F.lit(means[f"v{i}"])) for i in range(d)}
-    filled = filled.select(F.col("id").alias("__id"), *[e.alias(n) for n, e in final.items()])
+    at = [F.get("v", F.lit(i)) for i in range(d)]
+    facts = work.agg(F.count(F.lit(1)).alias("rows"), *[e for i in range(d) for e in (F.avg(at[i]).alias(f"m{i}"), F.count(at[i]).alias(f"n{i}"))]).head()
+    axis = max(range(d), key=lambda i: (facts[f"n{i}"], -i))
+    ranges = min(1000, -(-facts["rows"] // DONOR_ROWS))
+    cuts = work.agg(F.percentile_approx(at[axis], [i / ranges for i in range(1, ranges)], 10_000)).head()[0] if ranges > 1 else []
+    cuts = np.unique(np.array(cuts or [], dtype="float64"))
+    low, high = np.concatenate([[-np.inf], cuts]), np.concatenate([cuts, [np.inf]])
+    kind = work.schema["id"].dataType.simpleString()
+
+    def range_of(x):
+        """0 for rows without the column, ranges from 1."""
+        return np.where(np.isnan(x), 0, np.searchsorted(cuts, x, "right") + 1)
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(part=range_of(matrix(pdf["v"])[:, axis]).astype("int32"))
+
+    donors = settle(work.mapInPandas(place, f"id {kind}, v array<double>, part int"))
+    gaps = donors.where("exists(v, x -> x IS NULL) AND exists(v, x -> x IS NOT NULL)")
+    parts = range(len(cuts) + 2)
+    everywhere, near_by = F.array(*[F.lit(i) for i in parts]), F.array(F.lit(0), F.col("part"))
+    first = gaps.withColumn("part", F.explode(F.when(F.col("part") == 0, everywhere).otherwise(near_by)))
+    shape = f"id {kind}, cell int, nid {kind}, distance double, value double"
+    best = Window.partitionBy("id", "cell").orderBy("distance", "nid")
+
+    def top(found):
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+
+    found = top(block_join(first, donors, "part", _nearest_donors(k, d), shape))
+    if len(cuts):
+        found = settle(found)
+        kth = found.groupBy("id", "cell").agg(F.max("distance").alias("distance"), F.count(F.lit(1)).alias("c"))
+        kth = kth.groupBy("id").agg(F.max(F.when(F.col("c") >= k, F.col("distance")).otherwise(float("inf"))).alias("bound"), F.count(F.lit(1)).alias("cells"))
+
+        def still_open(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v, bound = matrix(pdf["v"]), pdf["bound"].to_numpy()
+                x = v[:, axis]
+                gap = np.maximum(np.maximum(low[None, :] - x[:, None], x[:, None] - high[None, :]), 0.0) * np.sqrt(d / (~np.isnan(v)).sum(1))[:, None]
+                row, part = np.nonzero((gap <= (bound * (1 + 1e-9))[:, None]) & (np.arange(1, len(low) + 1)[None, :] != pdf["part"].to_numpy()[:, None]))
+                picked = pdf.iloc[row]
+                yield pd.DataFrame({"id": picked["id"].to_numpy(), "v": picked["v"].to_numpy(), "part": (part + 1).astype("int32")})
+
+        missing = F.size(F.filter("v", lambda x: x.isNull()))
+        bounded = gaps.where("part > 0").join(kth, "id", "left").withColumn("bound", F.when(F.col("cells") >= missing, F.col("bound")).otherwise(float("inf")))
+        rest = bounded.select("id", "v", "part", "bound").mapInPandas(still_open, f"id {kind}, v array<double>, part int")
+        found = top(found.unionByName(block_join(rest, donors, "part", _nearest_donors(k, d), shape)))
+    fills = found.groupBy("id").agg(*[F.avg(F.when(F.col("cell") == i, F.col("value"))).alias(f"f{i}") for i in range(d)])
+    filled = work.join(fills, "id", "left")
+    final = [F.coalesce(at[i], F.col(f"f{i}"), F.lit(facts[f"m{i}"])).alias(f"v{i}") for i in range(d)]
+    filled = filled.select(F.col("id").alias("__id"), *final)
     out = df.join(filled, col(key).eqNullSafe(F.col("__id")), "left")
     swap = {c: f"v{i}" for i, c in enumerate(columns)}
-    return out.select(*[F.col(swap[c]).alias(c) if c in swap else col(c) for c in df.columns])
+    return out.select(*[F.col(f"`{swap[c]}`").alias(c) if c in swap else df[quote(c)] for c in df.columns])
+
+
+def _nearest_donors(k: int, d: int):
+    """Kernel with the k nearest donors for each missing cell of one block pair.
+
+    Matrix products over values and masks give all distances up to rounding; every pair that could belong
+    to the best k within that rounding is then measured exactly.
+    """
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        ids, nids, x, y = a["id"].to_numpy(), b["id"].to_numpy(), matrix(a["v"]), matrix(b["v"])
+        mx, my = ~np.isnan(x), ~np.isnan(y)
+        x0, y0 = np.where(mx, x, 0.0), np.where(my, y, 0.0)
+        shared = mx.astype("float64") @ my.T
+        g = (x0 * x0) @ my.T + mx @ (y0 * y0).T - 2 * x0 @ y0.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.where(shared > 0, np.maximum(g, 0.0) * (d / shared), np.inf)
+        slack = 1e-10 * d * ((x0 * x0).sum(1) + (y0 * y0).sum(1).max(initial=0.0))
+        out = []
+        for c in range(d):
+            row, donor = np.flatnonzero(~mx[:, c]), np.flatnonzero(my[:, c])
+            if not len(row) or not len(donor):
+                continue
+            part = g[np.ix_(row, donor)]
+            kth = np.partition(part, k - 1, axis=1)[:, k - 1] if len(donor) > k else np.full(len(row), np.inf)
+            i, j = np.nonzero((part <= (kth + slack[row])[:, None]) & np.isfinite(part))
+            i, j = row[i], donor[j]
+            diff = np.nan_to_num(x[i] - y[j])  # missing on either side adds nothing
+            dist = np.sqrt((diff * diff).sum(1)) * (d / shared[i, j]) ** 0.5
+            order = np.lexsort((j, dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out.append(pd.DataFrame({"id": ids[i[keep]], "cell": np.full(keep.sum(), c, dtype="int32"), "nid": nids[j[keep]], "distance": dist[keep], "value": y[j[keep], c]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": ids[:0], "cell": np.zeros(0, "int32"), "nid": nids[:0], "distance": [], "value": []})
+    return run
 
 
 # -- outliers ---------------------------------------------------------------------------------
@@ -196,10 +262,11 @@ def moments(df: DataFrame, columns: list[str], spread=F.stddev_samp) -> dict[str
 
 
 def _cap(df: DataFrame, bounds: dict[str, tuple]) -> Projection:
+    """Values beyond the bounds become the bounds, infinities too; NaN is no value and becomes NULL."""
     replace = {}
     for c, (lo, hi) in bounds.items():
         if lo is not None and hi is not None:
-            x = f"CAST({quote(c)} AS DOUBLE)"
+            x = f"CAST({present_sql(df, c)} AS DOUBLE)"
             replace[c] = f"CASE WHEN {x} < {number_sql(lo)} THEN {number_sql(lo)} WHEN {x} > {number_sql(hi)} THEN {number_sql(hi)} ELSE {x} END"
     return Projection(replace=replace, facts=bounds)
 
@@ -216,18 +283,19 @@ def fit_cap_outliers(df: DataFrame, columns: list[str], method: str = "iqr") ->
 def delete_outliers(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
     """Remove outlier rows column after column: each column is measured on the rows still there.
 
-    Quartile fences also remove NULLs; the deviation rule keeps them and uses the population
-    deviation.
+    Quartile fences also remove missing values; the deviation rule keeps them and uses the population
+    deviation.  NaN is missing.
     """
     need_numeric(df, columns)
     for c in columns:
+        x = F.expr(present_sql(df, c))
         if method == "iqr":
             lo, hi = iqr_bounds(df, [c])[c]
-            df = df.where(F.lit(False)) if lo is None else df.where(col(c).between(F.lit(lo), F.lit(hi)))
+            df = df.where(F.lit(False)) if lo is None else df.where(x.between(F.lit(lo), F.lit(hi)))
         else:
             m, s = moments(df, [c], F.stddev_pop)[c]
             if s:
-                df = df.where(col(c).isNull() | (F.abs((col(c) - F.lit(m)) / F.lit(s)) < 3))
+                df = df.where(x.isNull() | (F.abs((x - F.lit(m)) / F.lit(s)) < 3))
     return df
 
 
@@ -240,12 +308,13 @@ def handle_outliers(df: DataFrame, columns: list[str], method: str = "iqr", acti
 
 
 def outlier_summary(df: DataFrame, columns: list[str], method: str = "iqr") -> DataFrame:
-    """(column, outlier_count, outlier_pct): one pass for the bounds, one for all counts."""
+    """(column, outlier_count, outlier_pct): one pass for the bounds, one for all counts.  NaN is missing, not an outlier."""
     need_numeric(df, columns)
+    value = {c: F.expr(present_sql(df, c)) for c in columns}
     if method == "iqr":
-        tests = {c: (F.lit(False) if lo is None else (col(c) < lo) | (col(c) > hi)) for c, (lo, hi) in iqr_bounds(df, columns).items()}
+        tests = {c: (F.lit(False) if lo is None else (value[c] < lo) | (value[c] > hi)) for c, (lo, hi) in iqr_bounds(df, columns).items()}
     else:
-        tests = {c: (F.abs((col(c) - F.lit(m)) / F.lit(s)) > 3 if s else F.lit(False)) for c, (m, s) in moments(df, columns, F.stddev_pop).items()}
+        tests = {c: (F.abs((value[c] - F.lit(m)) / F.lit(s)) > 3 if s else F.lit(False)) for c, (m, s) in moments(df, columns, F.stddev_pop).items()}
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t).alias(c) for c, t in tests.items()]).head()
     rows = [(c, row[c], 100.0 * row[c] / max(row["n"], 1)) for c in columns]
     return facts_frame(df.sparkSession, rows, "column string, outlier_count bigint, outlier_pct double")

@@ -327,3 +327,48 @@ def test_cluster_grids_score_all_rows(spark):
     assert rows[0]["silhouette"] == pytest.approx(exact) and exact > 0.9
     by_metric = cluster.dbscan_grid(df.where("id < 80"), "id", ["x", "y"], [0.05], [3], ("cosine", "manhattan")).collect()
     assert [r["metric"] for r in by_metric] == ["cosine", "manhattan"] and not any(r["eps"] == 0.5 for r in by_metric if r["silhouette"] is not None)
+
+
+def brute_imputed(x, k):
+    want, d = x.copy(), x.shape[1]
+    for i, j in zip(*np.nonzero(np.isnan(x))):
+        options = []
+        for o in range(len(x)):
+            shared = ~np.isnan(x[i]) & ~np.isnan(x[o])
+            if not np.isnan(x[o, j]) and shared.any():
+                options.append((np.sqrt(d / shared.sum() * ((x[i] - x[o])[shared] ** 2).sum()), o))
+        want[i, j] = np.mean([x[o, j] for _, o in sorted(options)[:k]]) if options else np.nanmean(x[:, j])
+    return want
+
+
+def test_impute_knn_many_patterns_in_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (500, 12)) * np.linspace(1, 3, 12)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[3] = np.nan
+    assert len({tuple(r) for r in np.isnan(x)}) >= 200
+    jobs = []
+    for data, rows in ((x, 60), (np.where(np.isnan(x) & (np.arange(12) != 2), 0.5, x), 60), (x, 10_000)):
+        monkeypatch.setattr(clean, "DONOR_ROWS", rows)
+        frame_ = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(data)], "id bigint, " + ", ".join(f"c{i} double" for i in range(12)))
+        spark.sparkContext.setJobGroup(f"impute-{len(jobs)}", "")
+        got = clean.impute_knn(frame_, "id", k=4).toPandas().sort_values("id").drop(columns="id").to_numpy()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"impute-{len(jobs)}")))
+        assert np.allclose(got.astype(float), brute_imputed(data, 4))
+    assert abs(jobs[0] - jobs[1]) <= 8 and max(jobs) < 60  # 200 patterns or two
+
+
+def test_nan_is_missing_in_cleaning(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate([(1.0, 1.0), (2.0, nan), (nan, 3.0), (None, 2.0), (3.0, 2.0), (2.0, 1.0), (100.0, 2.0), (inf, 2.0)])], "id int, a double, b double")
+    assert {r["column"]: r["null_count"] for r in clean.null_summary(df).collect()} == {"id": 0, "a": 2, "b": 1}
+    by = lambda d: {r["id"]: r["a"] for r in d.collect()}
+    assert by(clean.impute(df, {"a": "median"}))[2] == 2.0 == by(clean.impute(df, {"a": "median"}))[7]
+    assert by(clean.impute(df, {"a": "mean"}))[2] == pytest.approx(108 / 5)
+    assert by(clean.impute(df, {"a": "mode"}))[2] == 2.0 and by(clean.impute(df, {"a": "unknown"}))[2] == "Unknown"
+    assert set(by(clean.impute(df, {"a": "drop"}))) == {0, 1, 4, 5, 6, 7}
+    capped = by(clean.handle_outliers(df, ["a"], "iqr", "capping"))
+    assert capped[2] is None and capped[3] is None and capped[6] == capped[7] < 100
+    assert set(by(clean.handle_outliers(df, ["a"], "iqr", "deletion"))) == {0, 1, 4, 5}
+    assert {2, 3} <= set(by(clean.handle_outliers(df, ["a"], "zscore", "deletion")))
+    assert clean.outlier_summary(df, ["a"], "iqr").head()["outlier_count"] == 2
