@@ -1,6 +1,6 @@
 """Sources, shape, cleaning, scaling and encoding."""
 
-from ..functions.frame import rounded
+from ..functions.frame import rounded, settled_path
 from ..operators import clean, encode, scale, shape
 from ..plans.steps import apply_steps
 from ..sources.tables import preview, read_table, write_table
@@ -13,7 +13,6 @@ ORACLES["io_read_table"] = "SELECT * FROM customer"
 
 
 def _written(spark, sf):
-    from ..functions.frame import settled_path
     doubled = shape.compute(read_table(spark, f"{sf}/supplier.parquet"), "[s_acctbal] * 2", "doubled")
     return write_table(doubled, settled_path(spark))
 
@@ -198,6 +197,48 @@ def _(t):
     return rounded(clean.outlier_summary(t("line_outliers"), _OUT, "zscore"))
 
 
+# NaN is missing like NULL; infinities are values beyond every fence that no statistic takes in
+_NAN = f"f AS (SELECT o_orderkey, CASE WHEN isnan(price) THEN NULL ELSE price END AS p, CASE WHEN isfinite(price) THEN price END AS x FROM {fx('orders_nan')})"
+_NAN_IQR = f"{_NAN}, b AS (SELECT {q('x', 0.25)} - 1.5e0 * ({q('x', 0.75)} - {q('x', 0.25)}) AS lo, {q('x', 0.75)} + 1.5e0 * ({q('x', 0.75)} - {q('x', 0.25)}) AS hi FROM f)"
+
+
+@query("cl_null_summary_nan", f"WITH {_NAN} SELECT 'price' AS \"column\", CAST(count(*) - count(p) AS BIGINT) AS null_count, {r('100.0e0 * (count(*) - count(p)) / count(*)')} AS null_pct FROM f")
+def _(t):
+    return rounded(clean.null_summary(t("orders_nan"), ["price"]))
+
+
+for _how, _sql in {"mean": "avg(x)", "median": "median(x)"}.items():
+    query(f"cl_impute_{_how}_nan", f"WITH {_NAN} SELECT o_orderkey, {r(f'coalesce(x, (SELECT {_sql} FROM f))', 4)} AS price FROM f")(
+        lambda t, h=_how: rounded(clean.impute(t("orders_nan"), {"price": h}), 4))
+
+
+@query("cl_impute_drop_nan", f"WITH {_NAN} SELECT o_orderkey, p AS price FROM f WHERE p IS NOT NULL")
+def _(t):
+    return clean.impute(t("orders_nan"), {"price": "drop"})
+
+
+@query("cl_outliers_iqr_cap_nan", f"WITH {_NAN_IQR} SELECT o_orderkey, {r('CASE WHEN p < lo THEN lo WHEN p > hi THEN hi ELSE p END', 4)} AS price FROM f, b")
+def _(t):
+    return rounded(clean.handle_outliers(t("orders_nan"), ["price"], "iqr", "capping"), 4)
+
+
+@query("cl_outliers_zscore_cap_nan", f"WITH {_NAN}, b AS (SELECT avg(x) - 3 * stddev_samp(x) AS lo, avg(x) + 3 * stddev_samp(x) AS hi FROM f) "
+       f"SELECT o_orderkey, {r('CASE WHEN p < lo THEN lo WHEN p > hi THEN hi ELSE p END', 3)} AS price FROM f, b")
+def _(t):
+    return rounded(clean.handle_outliers(t("orders_nan"), ["price"], "zscore", "capping"), 3)
+
+
+@query("cl_outliers_iqr_delete_nan", f"WITH {_NAN_IQR} SELECT o_orderkey, p AS price FROM f, b WHERE p BETWEEN lo AND hi")
+def _(t):
+    return clean.handle_outliers(t("orders_nan"), ["price"], "iqr", "deletion")
+
+
+@query("cl_outlier_summary_nan", f"WITH {_NAN_IQR} SELECT 'price' AS \"column\", CAST(count(*) FILTER (WHERE p < lo OR p > hi) AS BIGINT) AS outlier_count, "
+       f"{r('100.0e0 * count(*) FILTER (WHERE p < lo OR p > hi) / count(*)')} AS outlier_pct FROM f, b")
+def _(t):
+    return rounded(clean.outlier_summary(t("orders_nan"), ["price"], "iqr"))
+
+
 @query("cl_validate_dates", f"SELECT o_orderkey, TRY_CAST(day_text AS TIMESTAMP) AS day_text FROM {fx('dates_text')}")
 def _(t):
     return clean.validate_dates(t("dates_text"), ["day_text"])
@@ -366,3 +407,17 @@ def _(t):
        f"SELECT o_orderkey, {r('(x - m) / s', 5)} AS x_o_totalprice, " + ", ".join(f"CASE WHEN coalesce(o_orderpriority, 'missing') = '{v}' THEN 1.0e0 ELSE 0.0e0 END AS \"x_o_orderpriority_{v}\"" for v in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "missing")) + " FROM g, b")
 def _(t):
     return rounded(encode.preprocess(t("orders_nulls").select("o_orderkey", "o_totalprice", "o_orderpriority"), ["o_totalprice", "o_orderpriority"]).drop("o_totalprice", "o_orderpriority"), 5)
+
+
+@query("en_preprocess_dates", "WITH p AS (SELECT o_orderkey, " + ", ".join(f"CAST({fn}(o_orderdate) AS DOUBLE) AS {part}" for part, fn in (("year", "year"), ("month", "month"), ("day", "day"), ("weekday", "isodow"))) + " FROM orders) "
+       "SELECT o_orderkey, " + ", ".join(f"{r(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 5)} AS x_o_orderdate_{c}" for c in ("year", "month", "day", "weekday")) + " FROM p")
+def _(t):
+    return rounded(encode.preprocess(t("orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"]).drop("o_orderdate"), 5)
+
+
+@query("en_label_saved", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS p_type FROM part")
+def _(t):
+    df = t("part").select("p_partkey", "p_type")
+    path = settled_path(df.sparkSession)
+    encode.fit_label_encode(df, ["p_type"]).save(path)
+    return encode.load_dictionary(df.sparkSession, path).transform(df)

@@ -372,3 +372,34 @@ def test_nan_is_missing_in_cleaning(spark):
     assert set(by(clean.handle_outliers(df, ["a"], "iqr", "deletion"))) == {0, 1, 4, 5}
     assert {2, 3} <= set(by(clean.handle_outliers(df, ["a"], "zscore", "deletion")))
     assert clean.outlier_summary(df, ["a"], "iqr").head()["outlier_count"] == 2
+
+
+def test_dictionaries_stay_when_the_source_changes(spark, tmp_path):
+    from pyspark.sql import functions as F
+    source = str(tmp_path / "source")
+    spark.createDataFrame([("b", 1.0), ("c", 3.0), (None, 5.0)], "k string, y double").coalesce(1).write.parquet(source)
+    df = spark.read.parquet(source)
+    fits = {"label": encode.fit_label_encode(df, ["k"], handle_unknown="null"), "target": encode.fit_target_encode(df, ["k"], "y"),
+            "frequency": encode.fit_frequency_encode(df, ["k"]), "binary": encode.fit_binary_encode(df, "k", ["y"])}
+    want = {n: sorted(map(str, f.transform(df).collect())) for n, f in fits.items()}
+    for n, f in fits.items():
+        f.save(str(tmp_path / n))
+    new = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 9.0)], "k string, y double")
+    before = {n: sorted(map(str, f.transform(new).collect())) for n, f in fits.items()}
+    spark.createDataFrame([("a", 0.0)] * 50, "k string, y double").write.mode("overwrite").parquet(source)
+    spark.catalog.refreshByPath(source)
+    for n, f in fits.items():
+        loaded = encode.load_dictionary(spark, str(tmp_path / n))
+        assert sorted(map(str, f.transform(new).collect())) == before[n] == sorted(map(str, loaded.transform(new).collect()))
+    assert want["label"] == ["Row(k=0, y=1.0)", "Row(k=1, y=3.0)", "Row(k=2, y=5.0)"]
+    codes = {r["k"] for r in fits["label"].inverse(fits["label"].transform(new.where("k <> 'a'"))).collect()}
+    assert codes == {"b", "c"}
+    assert new.where(F.lit(True)).count() == 3
+
+
+def test_onehot_does_not_replace_columns(spark):
+    df = spark.createDataFrame([("x", 1)], "a string, A_x int")
+    with pytest.raises(ValueError, match="replace"):
+        encode.onehot(df, ["a"])
+    with pytest.raises(ValueError, match="arr"):
+        encode.preprocess(df.selectExpr("a", "array(1) AS arr"), ["a", "arr"])
