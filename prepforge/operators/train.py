@@ -6,7 +6,9 @@ model, so ``predict`` and a saved model take raw tables.
 
 from __future__ import annotations
 
+import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,20 +17,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.frame import (
     col, dtype_of, facts_frame, finite, is_numeric, literal_sql, lookup, need_columns, need_numeric, number_sql, quote, settle,
 )
-from . import evaluate
+from . import evaluate, search
 from .encode import fit_model_inputs
+from .knn_model import KnnModel, vote
 from .neighbors import nearest_neighbors
 
 MAX_CLASSES = 1000
@@ -64,10 +67,6 @@ def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42, stratify:
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
-def hash_fold(df: DataFrame, key: str, folds: int, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.expr(f"CAST(pmod(xxhash64({quote(key)}, {seed}), {folds}) AS INT)"))
-
-
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(class, count, weight) with weight = rows / (classes * count)."""
     counts = df.where(col(target).isNotNull()).groupBy(col(target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
@@ -111,7 +110,7 @@ class Trained:
     task: str
     features: list[str]
     target: str
-    model: PipelineModel
+    model: PipelineModel | DecodedModel
     labels: list = field(default_factory=list)
     inputs: list[str] = field(default_factory=list)
     test: DataFrame | None = None
@@ -119,8 +118,10 @@ class Trained:
     def predict(self, df: DataFrame) -> DataFrame:
         """Score raw rows: ``prediction``, with ``predicted_label`` and ``score`` for classes."""
         out = self.model.transform(df)
-        if self.task == "classification" and "probability" in out.columns:
-            out = out.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+        if self.task == "classification" and "score" not in out.columns and len(self.labels) == 2:
+            margin = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+            if margin:  # a probability, or the decision value of a support vector machine
+                out = out.withColumn("score", F.get(vector_to_array(margin), F.lit(1)))
         gone = [c for c in out.columns if c not in df.columns and c not in ("prediction", "predicted_label", "score")]
         return out.drop(*gone)
 
@@ -128,16 +129,51 @@ class Trained:
         scored = self.predict(df if df is not None else self.test)
         if self.task == "regression":
             return evaluate.regression_metrics(scored, self.target, "prediction", len(self.features))
+        scored = settle(scored.select(col(self.target).cast("string").alias("y"), F.col("predicted_label").alias("p"), *[c for c in ("score",) if c in scored.columns]))
         positive = str(self.labels[1]) if len(self.labels) == 2 else ""
-        pairs = scored.select(col(self.target).cast("string").alias("y"), F.col("predicted_label").alias("p"))
-        return evaluate.classification_scores(pairs, "y", "p", positive)
+        out = evaluate.classification_scores(scored, "y", "p", positive)
+        if "score" in scored.columns:
+            out = out.crossJoin(F.broadcast(evaluate.auc(scored, "y", "score", positive).select("auc")))  # one row each
+        return out
+
+    def confusion(self, df: DataFrame | None = None) -> DataFrame:
+        """(actual, predicted, count) of the test rows or of given ones."""
+        scored = self.predict(df if df is not None else self.test)
+        return evaluate.confusion_matrix(scored.select(col(self.target).cast("string").alias("y"), F.col("predicted_label").alias("p")), "y", "p")
 
     def save(self, path: str) -> None:
-        self.model.write().save(path)
+        """The model below a path that all machines share; ``load_model`` reads it."""
+        self.model.save(path)
+
+
+def load_model(path: str):
+    """A saved model: ``transform`` takes raw tables."""
+    spark = SparkSession.active()
+    try:
+        return DecodedModel.load(spark, path)
+    except AnalysisException:  # no facts file there: a Spark ML pipeline
+        return PipelineModel.load(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+@dataclass
+class DecodedModel:
+    """A nearest-neighbour model with the names of its classes."""
+
+    model: KnnModel
+    labels: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(df)
+        return decode_stage(self.labels).transform(out) if self.labels else out
+
+    def save(self, path: str) -> None:
+        self.model.save(path)
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps([str(v) for v in self.labels]),)], "value string").coalesce(1).write.text(f"{path}/labels")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> DecodedModel:
+        return DecodedModel(KnnModel.load(spark, path), json.loads(spark.read.text(f"{path}/labels").head()[0]))
 
 
 def training_rows(df: DataFrame, features: list[str], target: str, task: str) -> tuple[DataFrame, list[str], list]:
@@ -177,6 +213,11 @@ def depth_of(value) -> int:
     return MAX_TREE_DEPTH if value is None else int(value)
 
 
+def subset_of(value) -> str:
+    """Share or number of the inputs a split looks at; None means all."""
+    return "all" if value is None else "onethird" if value == "third" else str(value)
+
+
 def fourier_stage(inputs: list[str], gamma: float, width: int, seed: int = 42) -> tuple[SQLTransformer, list[str]]:
     """Random cosine features whose inner products approximate the radial kernel (Rahimi and Recht, 2007)."""
     rng = np.random.default_rng(seed)
@@ -211,14 +252,31 @@ GRIDS = {
     "xgb_style_classifier": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "min_child_weight": [1, 3, 5], "gamma": [0, 0.1, 0.2]},
     "xgb_style_regressor": {"n_estimators": [100, 200, 300], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7], "min_child_weight": [1, 3, 5], "gamma": [0, 0.1, 0.2]},
     "gradient_boosting_regressor": {"n_estimators": [100, 200, 300, 500], "learning_rate": [0.01, 0.05, 0.1, 0.2], "max_depth": [3, 4, 5, 6], "min_samples_leaf": [10, 20, 40]},
-    "knn": {"k": [1, 3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
+    "knn_classifier": {"k": [1, 3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
+    "knn_regressor": {"k": [1, 3, 5, 7, 9, 11], "weights": ["uniform", "distance"]},
     "svr": {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"], "epsilon": [0.1, 0.2]},
     "dbscan": {"eps": [0.3, 0.5, 0.7, 1.0], "min_samples": [3, 5, 7, 10]},
 }
 
-SCALING = {"logistic_regression": "robust", "svm_classifier": "robust", "svr": "robust", "ridge": "standard", "lasso": "standard", "gradient_boosting_regressor": "standard"}
-REGRESSORS = ("linear", "ridge", "lasso", "random_forest_regressor", "gradient_boosting_regressor", "xgb_style_regressor", "svr")
-CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest_classifier", "gradient_boosting_classifier", "xgb_style_classifier", "naive_bayes", "svm_classifier")
+_TREE = {"max_depth", "min_samples_leaf", "max_bins", "seed", "class_weight"}
+_BOOST = {"n_estimators", "learning_rate", "max_depth", "subsample", "max_bins", "seed", "class_weight"}
+# Parameters of each model; any other name is an error.
+PARAMETERS = {
+    "logistic_regression": {"C", "max_iter", "class_weight"},
+    "decision_tree": _TREE | {"criterion"},
+    "random_forest_classifier": _TREE | {"n_estimators", "max_features"},
+    "random_forest_regressor": _TREE - {"class_weight"} | {"n_estimators", "max_features"},
+    "gradient_boosting_classifier": _BOOST, "xgb_style_classifier": _BOOST | {"gamma", "min_child_weight"},
+    "gradient_boosting_regressor": _BOOST - {"class_weight"} | {"min_samples_leaf", "l2_regularization"}, "xgb_style_regressor": _BOOST - {"class_weight"} | {"gamma", "min_child_weight"},
+    "naive_bayes": {"kind", "var_smoothing", "alpha", "fit_prior", "binarize"},
+    "svm_classifier": {"C", "kernel", "gamma", "degree", "width", "max_iter", "class_weight"},
+    "svr": {"C", "kernel", "gamma", "epsilon", "steps", "width"},
+    "linear": set(), "ridge": {"alpha"}, "lasso": {"alpha"},
+    "knn_classifier": {"k", "weights", "metric"}, "knn_regressor": {"k", "weights", "metric"},
+}
+SCALING = {"knn_classifier": "robust", "knn_regressor": "robust", "logistic_regression": "robust", "svm_classifier": "robust", "svr": "robust", "ridge": "standard", "lasso": "standard", "gradient_boosting_regressor": "standard"}
+REGRESSORS = ("linear", "ridge", "lasso", "random_forest_regressor", "gradient_boosting_regressor", "xgb_style_regressor", "svr", "knn_regressor")
+CLASSIFIERS = ("logistic_regression", "decision_tree", "random_forest_classifier", "gradient_boosting_classifier", "xgb_style_classifier", "naive_bayes", "svm_classifier", "knn_classifier")
 
 
 def estimator_for(name: str, p: dict, n: int, classes: int, y_std: float, seed: int = 42):
@@ -231,7 +289,8 @@ def estimator_for(name: str, p: dict, n: int, classes: int, y_std: float, seed:
         return DecisionTreeClassifier(maxDepth=depth_of(p.get("max_depth")), minInstancesPerNode=p.get("min_samples_leaf", 1), impurity=p.get("criterion", "gini"), **trees)
     if name in ("random_forest_classifier", "random_forest_regressor"):
         kind = RandomForestClassifier if name.endswith("classifier") else RandomForestRegressor
-        return kind(numTrees=p.get("n_estimators", 100), maxDepth=depth_of(p.get("max_depth", 10)), minInstancesPerNode=p.get("min_samples_leaf", 1), **trees)
+        return kind(numTrees=p.get("n_estimators", 100), maxDepth=depth_of(p.get("max_depth", 10)), minInstancesPerNode=p.get("min_samples_leaf", 1),
+                    featureSubsetStrategy=subset_of(p.get("max_features", "sqrt" if name.endswith("classifier") else None)), **trees)
     if name in ("gradient_boosting_classifier", "xgb_style_classifier"):
         extra = dict(minInfoGain=p.get("gamma", 0.0), minInstancesPerNode=int(p.get("min_child_weight", 1))) if name.startswith("xgb") else {}
         gbt = GBTClassifier(**boost, **extra)
@@ -259,100 +318,91 @@ def train(name: str, df: DataFrame, features: list[str], target: str, key: str,
           seed: int = 42, scale_on: str = "train", grid: dict | None = None, folds: int = 3) -> Trained:
     """Clean, split, fit on the training rows; the test rows stay a DataFrame on the result.
 
-    ``scale_on='all'`` fits the preprocessing on all rows.  ``grid`` runs a cross-validated search over
-    lists of parameter values.
+    ``scale_on='all'`` fits the preprocessing on all rows.  ``grid`` searches lists of parameter values over folds of
+    the training rows, stratified for classes (``GRIDS`` holds usual ones).  Unknown parameters are an error.
+    ``class_weight='balanced'`` weighs classes by their rareness.
     """
     p = dict(params or {})
+    if name not in PARAMETERS:
+        raise ValueError(f"unknown model {name!r}; known: {CLASSIFIERS + REGRESSORS}")
+    if wrong := sorted({*p, *(grid or {})} - PARAMETERS[name]):
+        raise ValueError(f"{name} has no parameters {wrong}; known: {sorted(PARAMETERS[name])}")
     task = "regression" if name in REGRESSORS else "classification"
     rows, features, labels = training_rows(df, features, target, task)
     part = mark_test(rows, key, test, seed, stratify=target if task == "classification" else None)
     part = settle(part.select(*dict.fromkeys([key, *features, target, "label", "is_test"])))
-    train_rows, test_rows = part.where(~F.col("is_test")), part.where("is_test")
+    train_rows, test_rows = part.where(~F.col("is_test")).drop("is_test"), part.where("is_test")
     fit_rows = part if scale_on == "all" else train_rows
     fill = "mean" if name == "gradient_boosting_classifier" else "median"
     inputs = fit_model_inputs(fit_rows, features, SCALING.get(name, "none"), drop_first=name != "gradient_boosting_regressor", numeric_fill=fill)
     if name.startswith("xgb"):
         inputs.add.update({f"x_{c}_missing": f"IF({quote(c)} IS NULL, 1.0D, 0.0D)" for c in inputs.facts["numeric"]})
-    names = list(inputs.add)
-    stages: list = [inputs.stage()]
-    n = train_rows.count()
+    if grid:
+        p.update(best_parameters(name, train_rows, inputs, key, task, labels, p, grid, folds, seed))
+    model = fit_model(name, train_rows, inputs, key, task, labels, p, seed)
+    return Trained(name, task, features, target, model, labels, list(inputs.add), test_rows.drop("is_test", "label"))
+
+
+def fit_model(name: str, rows: DataFrame, inputs, key: str, task: str, labels: list, p: dict, seed: int = 42) -> PipelineModel | DecodedModel:
+    """The model of given parameters on rows with ``label``."""
+    names, stages = list(inputs.add), [inputs.stage()]
+    if name.startswith("knn"):
+        first = Pipeline(stages=stages).fit(rows)
+        return DecodedModel(KnnModel.fit(first, names, rows, key, task, len(labels), **p), labels)
     if name == "naive_bayes":
-        shaped = inputs.transform(train_rows.select(*features, "label"))
-        stages += naive_bayes_stages(shaped.select(*[col(x) for x in names], "label"), names, len(labels), **p)
+        stages += naive_bayes_stages(inputs.transform(rows).select(*[col(x) for x in names], "label"), names, len(labels), **p)
     elif name == "svr":
-        stages += svr_stages(inputs.transform(train_rows.select(*features, "label")), names, p, seed)
+        stages += svr_stages(inputs.transform(rows), names, p, seed)
     else:
-        y_std = train_rows.agg(F.stddev_pop("label")).head()[0] if task == "regression" else 1.0
-        columns = names
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).head()
+        columns, vector = names, "features"
         if name == "svm_classifier" and p.get("kernel", "rbf") == "rbf":
-            g = kernel_gamma(inputs.transform(train_rows.select(*features)), names, p.get("gamma", "scale"))
+            g = kernel_gamma(inputs.transform(rows), names, p.get("gamma", "scale"))
             stage, columns = fourier_stage(names, g, p.get("width", 64), seed)
             stages.append(stage)
-        vector = "features"
         stages.append(VectorAssembler(inputCols=columns, outputCol="features"))
         if name == "svm_classifier" and p.get("kernel") == "poly":
             stages.append(PolynomialExpansion(degree=p.get("degree", 3), inputCol="features", outputCol="expanded"))
             vector = "expanded"
-        if grid:
-            p.update(search(name, Pipeline(stages=stages).fit(train_rows).transform(train_rows), key, vector, grid, folds, n, len(labels), y_std or 1.0, p))
-        est = estimator_for(name, p, n, len(labels), y_std or 1.0)
+        est = estimator_for(name, p, size["n"], len(labels), size["s"] or 1.0 if task == "regression" else 1.0, seed)
         est.setFeaturesCol(vector)
+        if p.get("class_weight"):
+            if p["class_weight"] != "balanced":
+                raise ValueError("class_weight must be 'balanced'")
+            rows = with_class_weights(rows, "label")
+            est.setWeightCol("weight")
         stages.append(est)
     if task == "classification":
         stages.append(decode_stage(labels))
-    model = Pipeline(stages=stages).fit(train_rows)
-    return Trained(name, task, features, target, model, labels, names, test_rows.drop("is_test", "label"))
-
-
-# parameter names of this module -> Spark ML parameter names
-PARAM_NAMES = {"n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode",
-               "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "subsample": "subsamplingRate", "criterion": "impurity", "max_iter": "maxIter"}
-
-
-def grid_search(estimator, data: DataFrame, grid: list[dict], key: str, folds: int = 3, metric: str = "accuracy", parallelism: int = 4) -> CrossValidator:
-    """Cross-validation with hash folds; ``grid`` is a list of Spark ML parameter maps."""
-    if folds < 2:
-        raise ValueError("two folds are needed")
-    judge = MulticlassClassificationEvaluator(metricName=metric) if metric in ("accuracy", "f1") else RegressionEvaluator(metricName=metric)
-    folded = hash_fold(data, key, folds)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(folded)
-
-
-def search(name, data, key, vector, grid, folds, n, classes, y_std, base) -> dict:
-    """Best values of a grid of caller parameters."""
-    data = settle(data.select(key, vector, "label"))
-    est = estimator_for(name, base, n, classes, y_std)
-    est.setFeaturesCol(vector)
-    holder = est.getClassifier() if isinstance(est, OneVsRest) else est
-    builder = ParamGridBuilder()
-    for k, values in grid.items():
-        if k == "C":
-            builder = builder.addGrid(holder.regParam, [1.0 / (v * n) for v in values])
-        elif k == "alpha":
-            builder = builder.addGrid(holder.regParam, [v * y_std / n if name == "ridge" else float(v) for v in values])
-        else:
-            native = "numTrees" if k == "n_estimators" and "forest" in name else PARAM_NAMES[k]
-            values = [depth_of(v) for v in values] if k == "max_depth" else values
-            builder = builder.addGrid(getattr(holder, native), values)
-    maps = builder.build()
-    metric = "accuracy" if name in CLASSIFIERS else "mse"
-    cv = grid_search(est, data, maps, key, folds, metric)
-    scores = cv.avgMetrics
-    best = int(np.argmax(scores) if metric == "accuracy" else np.argmin(scores))
-    combos = [{}]
-    for k, values in grid.items():
-        combos = [{**c, k: v} for c in combos for v in values]
-    found = maps[best]
-    return next(c for c in combos if all(_same(holder, name, n, y_std, k, v, found) for k, v in c.items()))
-
-
-def _same(holder, name, n, y_std, k, v, found) -> bool:
-    if k == "C":
-        return math.isclose(found[holder.regParam], 1.0 / (v * n))
-    if k == "alpha":
-        return math.isclose(found[holder.regParam], v * y_std / n if name == "ridge" else float(v))
-    native = "numTrees" if k == "n_estimators" and "forest" in name else PARAM_NAMES[k]
-    return found[getattr(holder, native)] == (depth_of(v) if k == "max_depth" else v)
+    return Pipeline(stages=stages).fit(rows)
+
+
+def best_parameters(name: str, rows: DataFrame, inputs, key: str, task: str, labels: list, base: dict, grid: dict, folds: int, seed: int = 42) -> dict:
+    """The combination of a grid with the best accuracy or squared error over the folds; ties go to the first."""
+    names, choices = list(inputs.add), search.combinations(grid)
+    folded = settle(search.with_folds(rows, key, folds, "label" if task == "classification" else None, seed))
+    merged = [{**base, **c} for c in choices]
+    shaped = inputs.transform(folded).select(col(key).alias("id"), F.array(*[col(x) for x in names]).alias("v"), "label", "fold")
+    if name in ("ridge", "lasso"):
+        scores = search.linear_scores(shaped, folds, [m.get("alpha", 1.0) for m in merged], name == "lasso")
+    elif name.startswith("knn"):
+        scores = search.neighbor_scores(settle(shaped), folds, task, [(m.get("k", 5), m.get("weights", "uniform")) for m in merged], base.get("metric", "euclidean"))
+    elif name == "naive_bayes" and all(m.get("kind", "gaussian") == "gaussian" for m in merged):
+        smoothings, priors = list(dict.fromkeys(m.get("var_smoothing", 1e-9) for m in merged)), list(dict.fromkeys(m.get("fit_prior", True) for m in merged))
+        found = dict(zip(((s, f) for s in smoothings for f in priors), search.gaussian_scores(settle(shaped), folds, len(labels), smoothings, priors)))
+        scores = [found[m.get("var_smoothing", 1e-9), m.get("fit_prior", True)] for m in merged]
+    else:
+        def held_out(job):
+            m, f = job
+            model = fit_model(name, folded.where(F.col("fold") != f).drop("fold"), inputs, key, task, labels, m, seed)
+            return search.mean_score(model.transform(folded.where(F.col("fold") == f).drop("fold")), task)
+
+        jobs = [(m, f) for m in merged for f in range(folds)]
+        with ThreadPoolExecutor(4) as pool:  # small fits side by side; every fit is a Spark job
+            found = list(pool.map(inheritable_thread_target(rows.sparkSession)(held_out), jobs))
+        scores = [sum(h for h, _ in found[i:i + folds]) / max(1, sum(n for _, n in found[i:i + folds])) for i in range(0, len(found), folds)]
+    best = int(np.argmax(scores) if task == "classification" else np.argmin(scores))
+    return choices[best]
 
 
 # -- naive Bayes -------------------------------------------------------------------------------
@@ -464,21 +514,6 @@ def knn_predict(train_rows: DataFrame, query: DataFrame, key: str, features: lis
     return vote(near.join(values, "neighbor_id"), weights, task)
 
 
-def vote(near: DataFrame, weights: str, task: str) -> DataFrame:
-    """Combine neighbour values; with distance weights an exact match outvotes the rest."""
-    if weights == "distance":
-        hit = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("query_id"))  # k rows each
-        near = near.withColumn("hit", hit)
-        w = F.when(F.col("hit") == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
-    else:
-        w = F.lit(1.0)
-    near = near.withColumn("w", w)
-    if task == "regression":
-        return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("prediction"))
-    sums = near.groupBy("query_id", "value").agg(F.sum("w").alias("w"))
-    return sums.groupBy("query_id").agg(F.min(F.struct((-F.col("w")).alias("w"), "value")).alias("best")).select("query_id", F.col("best.value").alias("prediction"))
-
-
 # -- inspection and comparison -------------------------------------------------------------------
 
 def _fitted(trained: Trained):

@@ -1,12 +1,9 @@
 """Splits, neighbours, models, clustering."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..fixtures import FIXTURES
-from ..functions.frame import rounded
+from ..functions.frame import rounded, settled_path
 from ..operators import cluster, evaluate, neighbors, train
 from .registry import fx, query, r
 
@@ -212,16 +209,44 @@ def _(t):
     return m.metrics()
 
 
+@query("ml_grid_search_ridge")
+def _(t):
+    return train.train("ridge", t("part"), ["p_size", "p_partkey", "p_type"], "p_retailprice", "p_partkey", grid={"alpha": [0.1, 1.0, 10.0]}, folds=5).metrics()
+
+
+@query("ml_grid_search_naive_bayes")
+def _(t):
+    return train.train("naive_bayes", t("orders"), _NB_X, "o_orderstatus", "o_orderkey", grid={"var_smoothing": [1e-9, 1e-3, 0.1], "fit_prior": [True, False]}, folds=5).metrics()
+
+
+@query("ml_grid_search_knn")
+def _(t):
+    return train.train("knn_regressor", t("part"), ["p_size", "p_partkey"], "p_retailprice", "p_partkey", grid={"k": [1, 3, 5], "weights": ["uniform", "distance"]}).metrics()
+
+
+_PART_ROBUST = (f"WITH s AS {_PART}, b AS (SELECT median(p_size) AS m, quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25) AS w, median(p_partkey) AS mk, quantile_cont(p_partkey, 0.75) - quantile_cont(p_partkey, 0.25) AS wk FROM s WHERE NOT is_test), "
+                "z AS (SELECT p_partkey, p_retailprice, is_test, (p_size - m) / w AS a, (p_partkey - mk) / wk AS c FROM s, b), "
+                "n AS (SELECT q.p_partkey, x.p_retailprice, row_number() OVER (PARTITION BY q.p_partkey ORDER BY sqrt((q.a - x.a) * (q.a - x.a) + (q.c - x.c) * (q.c - x.c)), x.p_partkey) AS k FROM z q, z x WHERE NOT x.is_test) ")
+
+
+@query("ml_knn_trained_regressor", _PART_ROBUST + f"SELECT p_partkey, {r('avg(p_retailprice)', 4)} AS prediction FROM n WHERE k <= 4 GROUP BY 1")
+def _(t):
+    df = t("part")
+    m = train.train("knn_regressor", df, ["p_size", "p_partkey"], "p_retailprice", "p_partkey", {"k": 4})
+    path = settled_path(df.sparkSession)
+    m.save(path)
+    return rounded(train.load_model(path).transform(df).select("p_partkey", "prediction"), 4)
+
+
 @query("ml_train_selected")
 def _(t):
-    return train.train_selected(["linear", "ridge", "random_forest_regressor"], t("part"), ["p_size", "p_partkey", "p_type"], "p_retailprice", "p_partkey", {"random_forest_regressor": {"n_estimators": 5, "max_depth": 4}})
+    return train.train_selected(["linear", "ridge", "random_forest_regressor", "knn_regressor"], t("part"), ["p_size", "p_partkey", "p_type"], "p_retailprice", "p_partkey", {"random_forest_regressor": {"n_estimators": 5, "max_depth": 4}})
 
 
 @query("ml_save_and_load", f"WITH s AS {_PART}, m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM s WHERE NOT is_test) SELECT p_partkey, {r('a + b * p_size', 4)} AS prediction FROM part, m")
 def _(t):
     df = t("part")
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prepforge-model-")
-    path = f"{folder}/model-{uuid.uuid4().hex}"
+    path = settled_path(df.sparkSession)
     train.train("linear", df, ["p_size"], "p_retailprice", "p_partkey").save(path)
     return rounded(train.load_model(path).transform(df).select("p_partkey", "prediction"), 4)
 
