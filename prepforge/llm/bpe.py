@@ -344,13 +344,13 @@ class WordBpe(Merges):
         return [self.encode_whole(p) if ws is None else b"".join(map(get, ws)) for p, ws in zip(pieces, split)]
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, **options) -> PieceEncoder:
     """The fastest exact encoder for a vocabulary file; unknown kinds go through the library."""
     with open(path, encoding="utf-8") as f:
         kind = kind_of(json.load(f))
     model = {"byte": SpeculativeBpe, "word": WordBpe}.get(kind)
     bpe = model(path) if model else None
-    return PieceEncoder(path, bpe.encode_pieces, bpe.encode_whole) if bpe else PieceEncoder(path)
+    return PieceEncoder(path, bpe.encode_pieces, bpe.encode_whole, **options) if bpe else PieceEncoder(path, **options)
 
 
 class Decoder:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import piece_encoder
-from .tokens import give_back, slices
+from .tokens import CACHE_PIECES, give_back, slices
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 WINDOW_TOKENS = 1 << 20
@@ -58,19 +58,20 @@ def pack_lengths(lengths, size: int, linear: float = 1.0, quadratic: float = 1.0
 
 
 def pack(documents: DataFrame, path: str, size: int = 4096, end_id: int = 2, window_tokens: int = WINDOW_TOKENS,
-         linear: float = 1.0, quadratic: float = 1.0 / 4096) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 4096, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row for each piece of each document's ids (with the end id) in its sequence.
 
     Every task packs its own rows in windows of about ``window_tokens`` tokens, so there is no shuffle and
     a task holds one window of ids; a document longer than a window is a window of its own.  A null or
-    empty text is its end id alone.  Repeated rows are packed once each; other columns are not read.
+    empty text is its end id alone.  Repeated rows are packed once each; other columns are not read; an empty
+    table gives an empty one.  ``cache_pieces`` words are remembered with their ids (about 250 bytes each).
     """
     if size & (size - 1):
         raise ValueError("the sequence length must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        encoder = piece_encoder(path)
+        encoder = piece_encoder(path, cache_pieces=cache_pieces)
         base, used = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         tail = np.uint32(end_id).astype("<u4").tobytes()
         doc_ids, ids, held = [], [], 0

@@ -61,10 +61,11 @@ class PieceEncoder:
     """Ids of texts, flat, with the offsets of the documents.
 
     ``encode_pieces`` turns a list of distinct pieces into a list of little-endian id bytes and
-    ``encode_whole`` does so with a whole text; the default is the library.
+    ``encode_whole`` does so with a whole text; the default is the library.  Beyond ``cache_pieces`` known
+    pieces the cache starts anew, which moves time and memory, never results.
     """
 
-    def __init__(self, path: str, encode_pieces: Callable | None = None, encode_whole: Callable | None = None):
+    def __init__(self, path: str, encode_pieces: Callable | None = None, encode_whole: Callable | None = None, cache_pieces: int = CACHE_PIECES):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.kind = kind_of(config)
@@ -72,6 +73,7 @@ class PieceEncoder:
         self.tokenizer = None if encode_pieces and encode_whole else open_tokenizer(path)
         self.encode_pieces = encode_pieces or self._library
         self.encode_whole = encode_whole or (lambda text: self._library([text])[0])
+        self.cache_pieces = cache_pieces
         self.forget()
 
     def forget(self):
@@ -107,7 +109,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> np.ndarray:
         """Codes of distinct pieces; new ones are encoded and stored."""
-        if len(self.code) > CACHE_PIECES:
+        if len(self.code) > self.cache_pieces:
             self.forget()
         new = [p for p in pieces if p not in self.code]
         for at in range(0, len(new), LEARN_PIECES):
