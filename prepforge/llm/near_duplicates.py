@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frame import lookup
 from ..functions.graph import connected_components
-from .storage import fits, stored
+from .storage import fits, free_names, stored
 from .tokens import slices
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
@@ -100,10 +101,10 @@ def signatures(documents: DataFrame, n: int, bands: int, rows: int, text: str =
 
 
 def candidate_edges(texts: DataFrame) -> DataFrame:
-    """(src, dst): members of a band's bucket tied to its smallest member; ``texts`` has node and bands."""
-    rows = texts.select("node", F.posexplode("bands").alias("band", "hash"))
-    least = rows.groupBy("band", "hash").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    return rows.join(least, ["band", "hash"]).where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    """(src, dst): members of a band's bucket tied to its smallest member; ``texts`` has node and bands.  Large buckets are split."""
+    rows = texts.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.struct("band", "hash").alias("bucket"))
+    least = rows.groupBy("bucket").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    return lookup(rows, stored(least, "buckets"), "bucket").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
 
 
 def overlap(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -159,11 +160,10 @@ def verified(members: DataFrame, threshold: float) -> DataFrame:
     """
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set")).alias("g"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    sizes = stored(sizes.select(F.col("grp").alias("s_grp"), blocks.alias("blocks"), "g"), "groups")
+    sizes = stored(sizes.select("grp", blocks.alias("blocks"), "g"), "groups")
     small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("g"), F.lit(0))).head()[0]
     packs = max(1, -(-small // (BLOCK_GRAMS // 2)))
-    sizes = F.broadcast(sizes) if fits(sizes, 200_000) else sizes
-    rows = members.join(sizes.drop("g"), F.col("grp") == F.col("s_grp")).drop("s_grp")
+    rows = lookup(members, sizes.drop("g"), "grp")  # a large group is split while its rows learn their blocks
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("mine", "theirs")).withColumn("j", F.greatest("mine", "theirs"))
@@ -219,7 +219,7 @@ def classes(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     known = known.join(least, "root").select("fp", "class_id", "texts", "documents")
     every = texts.select("fp", "least", "copies").join(known, "fp", "left")
     every = every.select("fp", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).alias("links"), F.coalesce("texts", F.lit(0)).alias("text_links"))
-    out = signed.select("doc_id", "fp").join(every, "fp", "left")
+    out = lookup(signed.select("doc_id", "fp"), every, "fp")  # a set that many documents share is split
     return out.select("doc_id", "fp", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
 
@@ -250,15 +250,20 @@ def gram_sets(documents: DataFrame, members: DataFrame, n: int, text: str = "tex
 
 
 def keep_one(documents: DataFrame, text: str = "text", **options) -> DataFrame:
-    """One document of each class, the smallest doc_id; all columns, whole texts."""
+    """One document of each class, the smallest doc_id; all columns of any name, whole texts.
+
+    Null and empty texts and rows with a null doc_id stay; of rows that repeat a doc_id one stays; an empty table
+    gives an empty one.
+    """
+    l_doc, t_doc = free_names(documents, "l_doc", "t_doc")
     rows = stored(classes(documents, text=text, **options).select("doc_id", "class_id"), "classes")
     drop = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.max(F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())).alias("keep"))
-    lost = drop.where("NOT keep").select(F.col("doc_id").alias("l_doc"))
-    twice = drop.where("times > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("t_doc"))
+    lost = drop.where("NOT keep").select(F.col("doc_id").alias(l_doc))
+    twice = drop.where("times > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias(t_doc))
     lost = F.broadcast(lost) if fits(lost, 200_000) else lost
-    kept = documents.join(lost, F.col("doc_id") == F.col("l_doc"), "left_anti")
+    kept = documents.join(lost, F.col("doc_id") == F.col(l_doc), "left_anti")
     if fits(twice, 0):
         return kept
     twice = F.broadcast(twice) if fits(twice, 200_000) else twice
-    single = kept.join(twice, F.col("doc_id") == F.col("t_doc"), "left_anti")
-    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col("t_doc"), "left_semi").dropDuplicates(["doc_id"]))
+    single = kept.join(twice, F.col("doc_id") == F.col(t_doc), "left_anti")
+    return single.unionByName(kept.join(twice, F.col("doc_id") == F.col(t_doc), "left_semi").dropDuplicates(["doc_id"]))

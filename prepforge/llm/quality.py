@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fits, stored
+from .storage import fits, free_names, stored
 from .tokens import slices
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,17 +138,22 @@ def judge(documents: DataFrame, text: str = "text", host: str = "source", min_do
 
 
 def keep_good(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that ``judge`` keeps, all columns, whole texts."""
+    """The documents that ``judge`` keeps, all columns, whole texts.
+
+    Null and empty texts go, since they fail the base; repeated rows stay or go together; an empty table gives
+    an empty one; columns of any name are kept as they are.
+    """
     bad = stored(judge(documents, text, host).where(~F.col("kept")).select("doc_id", "text_key").distinct(), "rejected")
     return without(documents, bad, text)
 
 
 def without(documents: DataFrame, bad: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose (doc_id, text) is not listed; the list is broadcast only when a count proves it small."""
-    bad = bad.select(F.col("doc_id").alias("b_doc"), F.col("text_key").alias("b_key"))
+    doc, key, own = free_names(documents, "b_doc", "b_key", "b_text")
+    bad = bad.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
     bad = F.broadcast(bad) if fits(bad, 200_000) else bad
-    marked = documents.withColumn("b_text", text_key(text))
-    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("b_text") == F.col("b_key")), "left_anti").drop("b_text")
+    marked = documents.withColumn(own, text_key(text))
+    return marked.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left_anti").drop(own)
 
 
 def oracle(table: str = "documents") -> str:

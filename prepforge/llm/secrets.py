@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import text_key
-from .storage import fits, stored
+from .storage import fits, free_names, stored
 
 _RUN = r"[A-Za-z0-9+/=_\-]"
 CANDIDATE = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<!{_RUN})(?=[A-Za-z+/=_\-]*[0-9]){_RUN}{{16,}}"
@@ -129,13 +129,15 @@ def scan(documents: DataFrame, labelled: DataFrame | None = None, text: str = "t
 def redact(documents: DataFrame, text: str = "text", path: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
     """All documents, their secrets replaced by ``mask``; other columns are kept, n_chars follows the text.
 
-    The secrets of a document come to it as a list, longest first.
+    The secrets of a document come to it as a list, longest first.  Null and empty texts stay as they are,
+    repeated rows are masked alike, an empty table gives an empty one, and columns of any name are kept.
     """
     secrets = stored(scan(documents, None, text, path).where("is_secret").select("doc_id", "text_key", "value").distinct(), "secrets")
+    doc, key, own, values = free_names(documents, "s_doc", "s_key", "s_text", "s_values")
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.length("value").alias("n"), "value")), asc=False), lambda x: x["value"])
-    lists = secrets.groupBy("doc_id", "text_key").agg(ordered.alias("s_values")).withColumnsRenamed({"doc_id": "s_doc", "text_key": "s_key"})
+    lists = secrets.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).agg(ordered.alias(values))
     small = secrets.agg(F.coalesce(F.sum(F.length("value") + 64), F.lit(0))).head()[0] <= 64 << 20 and fits(secrets, 500_000)
-    joined = documents.withColumn("s_text", text_key(text)).join(F.broadcast(lists) if small else lists, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("s_text") == F.col("s_key")), "left")
-    masked = F.when(F.col("s_values").isNull(), F.col(text)).otherwise(F.aggregate("s_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(mask))))
+    joined = documents.withColumn(own, text_key(text)).join(F.broadcast(lists) if small else lists, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)), "left")
+    masked = F.when(F.col(values).isNull(), F.col(text)).otherwise(F.aggregate(values, F.col(text), lambda t, v: F.replace(t, v, F.lit(mask))))
     columns = [masked.alias(c) if c == text else F.length(masked).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return joined.select(*columns)

@@ -89,15 +89,14 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
     """
     order = np.argsort(x_ids, kind="stable")
     x, x_ids = x[order], x_ids[order]
-    bits = max(1, int(len(x)).bit_length())
     none = np.iinfo("int64").min
-    best = np.full((len(q), k), none)  # score and place in the order of ids, in one number
+    best, place = np.full((len(q), k), none), np.full((len(q), k), len(x))  # scores and places in the order of ids
     known = np.full(len(q), -np.inf) if worst is None else worst.astype("float64")
     tq, tx = CoverTree(q), CoverTree(x)
 
     def floor_of(rows):
         mine = best[rows].min(axis=1)
-        return np.maximum(np.where(mine == none, -np.inf, (mine >> bits).astype("float64")), known[rows]).min()
+        return np.maximum(np.where(mine == none, -np.inf, mine.astype("float64")), known[rows]).min()
 
     def bounds(node, others):
         c, r = tq.center[node], tq.radius[node]
@@ -127,16 +126,17 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
                     heapq.heappush(heap, (-v, c))
                 continue
             at = tx.rows[o]
-            keys = (products(q[rows], x[at]) << bits) + (len(x) - 1 - at)
-            keys[q_ids[rows][:, None] == x_ids[at][None, :]] = none
-            merged = np.concatenate([best[rows], keys], axis=1)
-            best[rows] = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+            scores = products(q[rows], x[at])
+            places = np.where(q_ids[rows][:, None] == x_ids[at][None, :], len(x), at[None, :])
+            scores = np.concatenate([best[rows], np.where(places == len(x), none, scores)], axis=1)
+            places = np.concatenate([place[rows], places], axis=1)
+            order = np.lexsort((places, ~scores), axis=1)[:, :k]  # ~ turns the order round without an overflow
+            best[rows], place[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(places, order, 1)
 
     visit(tq.root, np.array([tx.root]))
     out = []
-    for i, j in zip(*np.nonzero(best != none)):
-        key = int(best[i, j])
-        out.append((int(q_ids[i]), int(x_ids[len(x) - 1 - (key & ((1 << bits) - 1))]), key >> bits))
+    for i, j in zip(*np.nonzero(place < len(x))):
+        out.append((int(q_ids[i]), int(x_ids[place[i, j]]), int(best[i, j])))
     return out
 
 

@@ -273,7 +273,11 @@ def held_out(column, buckets: int = 5):
 
 
 def keep_civil(documents: DataFrame, model: ToxicityModel, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``, all columns, whole texts."""
+    """The documents that score below ``limit``, all columns of any name, whole texts.
+
+    Null and empty texts score like a text without hits; repeated rows stay or go together; an empty table gives
+    an empty one.
+    """
     from .quality import without
     from .storage import stored
     bad = stored(model.score(documents, text).where(F.col("score") >= limit).select("doc_id", "text_key").distinct(), "toxic")

@@ -249,6 +249,27 @@ def test_class_probabilities_sum_to_one():
     assert np.corrcoef(np.log(p[:-1, :-1]).ravel(), np.log(share[:-1, :-1] + 0.02).ravel())[0, 1] > 0.5
 
 
+def test_columns_of_any_name_are_kept(spark, docs):
+    rnd = random.Random(13)
+    names = ["b_text", "b_doc", "b_key", "s_text", "s_doc", "s_key", "s_values", "l_doc", "t_doc", "f_doc", "own_key", "TEXT_KEY"]
+    texts = [prose(rnd, 80) for _ in range(4)] + ["short"]
+    table = docs([*texts, texts[0]]).selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    model = toxicity.ToxicityModel({"idiot": 4.0}, {}, [1.5] + [0.0] * 6 + [-3.0])
+    for kept in (quality.keep_good(table), toxicity.keep_civil(table, model), near_duplicates.keep_one(table), secrets.redact(table)):
+        assert kept.columns == table.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert {r.doc_id for r in near_duplicates.keep_one(table).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_empty_tables(spark, docs):
+    none = docs([])
+    import corpus_pipeline as pipeline
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == [], name
+    assert pii.pseudonymize(none).collect() == [] and secrets.scan(none).collect() == []
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as pipeline

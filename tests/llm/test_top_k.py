@@ -41,3 +41,11 @@ def test_cover_tree_covers():
         assert np.sqrt(((x[rows] - tree.center[node]) ** 2).sum(axis=1)).max() <= tree.radius[node] + 1e-9
         if tree.children[node]:
             assert sorted(np.concatenate([tree.rows[c] for c in tree.children[node]]).tolist()) == sorted(rows.tolist())
+
+
+def test_scores_up_to_the_range_of_a_long(spark):
+    big = 0.9e9
+    rows = [(i, [big * (1 + i % 3), float(i)]) for i in range(0, 40)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {tuple(r) for r in top_k.search_all(table, every=20, k=3, scale=1.0).collect()}
+    assert found == brute(rows, 20, 3, scale=1) and max(r[3] for r in found) > 1 << 62
