@@ -58,20 +58,26 @@ def pack_lengths(lengths, size: int, linear: float = 1.0, quadratic: float = 1.0
 
 
 def pack(documents: DataFrame, path: str, size: int = 4096, end_id: int = 2, window_tokens: int = WINDOW_TOKENS,
-         linear: float = 1.0, quadratic: float = 1.0 / 4096, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+         linear: float = 1.0, quadratic: float = 1.0 / 4096, cache_pieces: int = CACHE_PIECES, keep_cache: bool = False) -> DataFrame:
     """One row for each piece of each document's ids (with the end id) in its sequence.
 
     Every task packs its own rows in windows of about ``window_tokens`` tokens, so there is no shuffle and
     a task holds one window of ids; a document longer than a window is a window of its own.  A null or
     empty text is its end id alone.  Repeated rows are packed once each; other columns are not read; an empty
-    table gives an empty one.  ``cache_pieces`` words are remembered with their ids (about 250 bytes each).
+    table gives an empty one.  ``cache_pieces`` words are remembered with their ids (about 250 bytes each), until the
+    end of a task or, with ``keep_cache``, as long as the worker lives.
     """
     if size & (size - 1):
         raise ValueError("the sequence length must be a power of two")
 
+    worker = documents.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy from task to task
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        encoder = piece_encoder(path, cache_pieces=cache_pieces)
+        known = worker.value if keep_cache else {}
+        if "encoder" not in known:
+            known["encoder"] = piece_encoder(path, cache_pieces=cache_pieces)
+        encoder = known["encoder"]
         base, used = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         tail = np.uint32(end_id).astype("<u4").tobytes()
         doc_ids, ids, held = [], [], 0
@@ -89,7 +95,7 @@ def pack(documents: DataFrame, path: str, size: int = 4096, end_id: int = 2, win
             doc_ids, ids, held = [], [], 0
             return out
 
-        for part in slices(batches, limit=4_000_000, release=[encoder.forget]):
+        for part in slices(batches, limit=4_000_000, release=[] if keep_cache else [encoder.forget]):
             for i, x in zip(part.column(0).to_pylist(), encoder.encode_bytes(part.column(1))):
                 x += tail
                 if held and held + len(x) // 4 > window_tokens:
