@@ -49,7 +49,7 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer_path(WORD_BPE), cache_pieces=600_000, keep_cache=True)
+    return packing.pack(documents(spark, sf_dir), tokenizer_path(WORD_BPE), cache_pieces=1_500_000, keep_cache=True)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
