@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.frame import col, columns_by_kind, facts_frame, finite, need_columns, need_numeric, numeric_columns, quote
+from ..functions.frame import col, columns_by_kind, facts_frame, finite, lookup, need_columns, need_numeric, numeric_columns, quote, settle
 from ..functions.quantiles import exact_quantiles_by
 from .clean import null_summary
 from .stats import pair_correlations
@@ -76,7 +76,7 @@ def box_data(df: DataFrame, column: str, by: str) -> DataFrame:
     q = exact_quantiles_by(df, by, column, [0.25, 0.5, 0.75])
     box = q.select(col(by), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     x = finite(df, column)
-    rows = df.where(x.isNotNull() & col(by).isNotNull()).select(col(by), x.alias("__x")).join(F.broadcast(box), by)
+    rows = lookup(df.where(x.isNotNull() & col(by).isNotNull()).select(col(by), x.alias("__x")), settle(box), by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("__x") >= F.col("q1") - reach) & (F.col("__x") <= F.col("q3") + reach)
     return rows.groupBy(col(by), "q1", "median", "q3").agg(

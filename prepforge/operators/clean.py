@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.blocks import block_join, matrix
 from ..functions.frame import (
-    col, columns_by_kind, dtype_of, facts_frame, finite, finite_sql, literal_sql,
+    col, columns_by_kind, dtype_of, facts_frame, finite, finite_sql, is_integral, is_numeric, literal_sql,
     need_columns, need_numeric, number_sql, numeric_columns, present_sql, quote, settle, string_sql,
 )
 from ..functions.projection import Projection
@@ -70,6 +70,13 @@ def value_modes(df: DataFrame, columns: list[str]) -> dict:
     Grouping sets count every column in one job with map-side combine; a plain ``mode`` would hold
     all distinct values of the column in a single task.
     """
+    if all(is_numeric(dtype_of(df, c)) and not isinstance(dtype_of(df, c), T.DecimalType) for c in columns):
+        # numbers of all columns are counted by (column, value): narrower keys than grouping sets have
+        exact = [F.expr(present_sql(df, c)).cast("double") for c in columns]
+        items = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("v"), (col(c).cast("bigint") if is_integral(dtype_of(df, c)) else F.lit(None).cast("bigint")).alias("w")) for i, (c, x) in enumerate(zip(columns, exact))])
+        counted = df.select(F.inline(items)).where("v IS NOT NULL").groupBy("i", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+        best = {r["i"]: r["b"] for r in counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), "w", "v")).alias("b")).collect()}
+        return {c: None if i not in best else best[i]["w"] if best[i]["w"] is not None else best[i]["v"] for i, c in enumerate(columns)}
     plain = df.select(*[F.expr(present_sql(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
     names = plain.columns
     counted = plain.groupingSets([[plain[n]] for n in names], *[plain[n] for n in names]).agg(

@@ -74,3 +74,25 @@ def test_names_and_literals(spark):
     out = Projection(add={"hit": f"{frame.quote('we`ird')} = {frame.literal_sql(text)}"}).transform(df)
     assert out.head()["hit"] is True
     assert frame.nan_to_null(spark.createDataFrame([(math.nan,), (1.0,)], "a double")).where("a IS NULL").count() == 1
+
+
+def test_quantiles_of_many_groups_on_both_sides_of_the_limit(spark):
+    rows = spark.range(240_000).select((F.col("id") % 100_000).alias("g"), ((F.col("id") * 7919) % 1009).cast("double").alias("x"))
+    hot = spark.range(60_000).select(F.lit(7).cast("bigint").alias("g"), F.sqrt(F.col("id").cast("double")).alias("x"))
+    df = rows.unionByName(hot)
+    want = df.groupBy("g").agg(F.expr("percentile(x, array(0.25, 0.5, 0.9))").alias("w"))
+    for limit in (1000, 10**6):  # one group is bracketed, then none
+        got = exact_quantiles_by(df, "g", "x", [0.25, 0.5, 0.9], direct_rows=limit)
+        off = got.join(want, "g").where("exists(zip_with(q, w, (a, b) -> abs(a - b) > 1e-9), x -> x)").count()
+        assert got.count() == 100_000 and off == 0
+
+
+def test_components_by_rounds_equal_one_task(spark, monkeypatch):
+    from prepforge.functions import graph
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000, i) for i in range(1001, 1200)]  # a hub
+    df = spark.createDataFrame(edges, "src bigint, dst bigint").repartition(6)
+    one = {r["id"]: r["root"] for r in connected_components(df).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 0)
+    monkeypatch.setattr(graph, "small_or_none", lambda *a: False)
+    assert one == {r["id"]: r["root"] for r in connected_components(df).collect()} and set(one[i] for i in range(1000, 1200)) == {1000}
