@@ -11,6 +11,7 @@ FIXTURES = {
                     "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, o_orderstatus FROM orders",
     "orders_nan": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN CAST('Infinity' AS DOUBLE) "
                   "WHEN o_orderkey % 13 = 0 THEN o_totalprice * 20.0e0 ELSE o_totalprice END AS price FROM orders",
+    "events_spiky": "SELECT event_id, CASE WHEN event_id % 12 = 0 THEN value * 1000.0e0 + 100000.0e0 ELSE value END AS value FROM events",
     "orders_dups": "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 5 = 0",
     "line_outliers": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, "
                      "l_extendedprice * CASE WHEN (l_orderkey * 7 + l_linenumber) % 97 = 0 THEN 50 ELSE 1 END AS l_extendedprice FROM lineitem",

@@ -123,9 +123,9 @@ def present_sql(df: DataFrame, name: str) -> str:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN becomes NULL in every fractional column; one projection."""
+    """NaN and infinities become NULL in every fractional column; one projection."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({n: F.nanvl(col(n), F.lit(None).cast("double")) for n in floats}) if floats else df
+    return df.withColumns({n: F.when(F.abs(F.nanvl(col(n), F.lit(None).cast("double"))) < float("inf"), col(n)) for n in floats}) if floats else df
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def prep_decisions(p: TableProfile) -> DataFrame:
 
 
 def preparation_plan(p: TableProfile) -> dict:
-    """Task, metrics, validation and ordered steps: drops, fills, rare grouping, scaling, encoding."""
+    """Task, metrics, validation and ordered steps: drops, fills, derived columns, rare grouping, scaling, encoding."""
     task = infer_task_type(p.df, p.target)
     decisions = decide(p)
     dropped = {c for c, stage, _ in decisions if stage == "drop"}
@@ -63,6 +63,7 @@ def preparation_plan(p: TableProfile) -> dict:
         else:
             how = "median" if is_numeric(dtype_of(p.df, c)) else "mode"
             steps.append({"name": f"fill {c}", "type": "cleaning", "category": "Null handling", "strategies": {c: how}})
+    steps += feature_steps(p, decisions, dropped)
     by: dict[str, list[str]] = {}
     rare = []
     for c, stage, action in decisions:
@@ -92,6 +93,30 @@ def preparation_plan(p: TableProfile) -> dict:
             "validation": "stratified 5-fold" if task == "Classification" else "5-fold"}
 
 
+def feature_steps(p: TableProfile, decisions: list[tuple[str, str, str]], dropped: set[str]) -> list[dict]:
+    """Derived columns of the decisions, before anything is scaled: dates parsed and compared, family deltas, date parts, text weights."""
+    steps: list[dict] = []
+    dates = [(c, action) for c, stage, action in decisions if stage == "parse" and action.startswith("date parts") and c not in dropped and not is_numeric(dtype_of(p.df, c))]
+    texts = [c for c, _ in dates if c in p.kinds["text"]]
+    if texts:
+        steps.append({"name": "parse dates", "type": "cleaning", "category": "Date Validation", "date_columns": texts, "columns": texts, "action": "validate"})
+    for columns, stage, action in decisions:
+        if stage != "engineer":
+            continue
+        members = [c for c in columns.split(",") if c not in dropped]
+        if action == "date differences":
+            members = [c for c in members if c in dict(dates)]
+            category = "Date Differences"
+        else:
+            members = [c for c in members if is_numeric(dtype_of(p.df, c))]
+            category = "Family Deltas"
+        if len(members) >= 2:
+            steps.append({"name": action, "type": "feature", "category": category, "columns": members})
+    steps += [{"name": f"date parts of {c}", "type": "feature", "category": "Date Parts", "column": c, "with_time": action.endswith("hour")} for c, action in dates]
+    steps += [{"name": f"tf-idf of {c}", "type": "feature", "category": "Text TF-IDF", "column": c} for c, stage, action in decisions if stage == "parse" and action == "tf-idf" and c not in dropped]
+    return steps
+
+
 def plan_table(p: TableProfile) -> DataFrame:
     """(position, name, category, columns) of the plan."""
     plan = preparation_plan(p)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators import clean, encode, reduce, scale, select, shape
+from ..operators import clean, encode, profile, reduce, scale, select, shape
 
 Step = dict
 
@@ -50,6 +50,10 @@ STEPS: dict[tuple[str, str], Callable[[DataFrame, Step], DataFrame]] = {
     ("encoding", "Frequency Encoding"): lambda df, s: encode.frequency_encode(df, s["columns"]),
     ("encoding", "Hash Encoding"): lambda df, s: encode.hash_encode(df, s["columns"], s.get("buckets", 256)),
     ("encoding", "Group Rare"): lambda df, s: encode.group_rare(df, s["columns"], s.get("min_share", 0.01)),
+    ("feature", "Date Parts"): lambda df, s: profile.date_parts(df, s["column"], s.get("with_time", False)),
+    ("feature", "Date Differences"): lambda df, s: _date_differences(df, s["columns"]),
+    ("feature", "Family Deltas"): lambda df, s: profile.family_deltas(df, s["columns"]),
+    ("feature", "Text TF-IDF"): lambda df, s: profile.text_tfidf(df, s["column"], s.get("features", 1 << 16)),
     ("feature_selection", "Chi-Squared Feature Selection"): lambda df, s: select.select_chi2(df, s["features"], s["target"], s["k"]),
     ("feature_selection", "REF Feature Selection"): lambda df, s: select.select_rfe(df, s["features"], s.get("target"), s["n_features"], s.get("estimator", "linear")),
     ("feature_selection", "Correlation Feature Selection"): lambda df, s: select.select_correlation(df, s.get("threshold", 0.9)),
@@ -66,6 +70,13 @@ def _each_binary(df: DataFrame, s: Step) -> DataFrame:
     return df
 
 
+def _date_differences(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Days from each date column to the next one."""
+    for a, b in zip(columns, columns[1:]):
+        df = profile.date_diffs(df, a, b)
+    return df
+
+
 def apply_step(df: DataFrame, step: Step) -> DataFrame:
     key = (step.get("type"), step.get("category"))
     if key not in STEPS:

@@ -21,6 +21,16 @@ QUERIES["io_write_table"] = _written
 ORACLES["io_write_table"] = "SELECT *, s_acctbal * 2 AS doubled FROM supplier"
 
 
+def _from_csv(spark, sf):
+    path, customers = settled_path(spark), read_table(spark, f"{sf}/customer.parquet")
+    customers.write.option("header", True).csv(path)
+    return read_table(spark, path, "csv", customers.schema)
+
+
+QUERIES["io_read_csv"] = _from_csv
+ORACLES["io_read_csv"] = "SELECT * FROM customer"
+
+
 @query("io_preview", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
 def _(t):
     return preview(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), 10, ["o_orderkey"])

@@ -3,6 +3,7 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..fixtures import FIXTURES
 from ..functions.frame import rounded
 from ..operators import profile as pr
 from ..operators.profile import TableProfile
@@ -122,10 +123,10 @@ def _(t):
     return rounded(pr.skewed_columns(TableProfile(t("events"), order_by=["event_id"])))
 
 
-@query("pr_outlier_columns", "WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM events) "
-       f"SELECT 'value' AS \"column\", {r('avg(CASE WHEN value < a - 1.5e0 * (c - a) OR value > c + 1.5e0 * (c - a) THEN 1.0e0 ELSE 0.0e0 END)')} AS outlier_share FROM events, b HAVING avg(CASE WHEN value < a - 1.5e0 * (c - a) OR value > c + 1.5e0 * (c - a) THEN 1.0e0 ELSE 0.0e0 END) > 0.05")
+@query("pr_outlier_columns", f"WITH e AS {fx('events_spiky')}, b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS c FROM e) "
+       f"SELECT 'value' AS \"column\", {r('avg(CASE WHEN value < a - 1.5e0 * (c - a) OR value > c + 1.5e0 * (c - a) THEN 1.0e0 ELSE 0.0e0 END)')} AS outlier_share FROM e, b HAVING avg(CASE WHEN value < a - 1.5e0 * (c - a) OR value > c + 1.5e0 * (c - a) THEN 1.0e0 ELSE 0.0e0 END) > 0.05")
 def _(t):
-    return rounded(pr.outlier_columns(TableProfile(t("events"), order_by=["event_id"])))
+    return rounded(pr.outlier_columns(TableProfile(t("events_spiky"), order_by=["event_id"])))
 
 
 # name rule only: the family columns exist whatever the rows are
@@ -232,6 +233,22 @@ def _(t):
     return weights.select("doc_id", F.aggregate(vector_to_array("text_tfidf"), F.lit(0.0), lambda a, x: a + x).alias("total_weight"))
 
 
+_DATED = "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderdate + INTERVAL 3 DAY AS ship_date FROM orders"
+FIXTURES["orders_dated"] = _DATED
+
+
+def _parts(c: str) -> str:
+    return (f"CAST(year({c}) AS INTEGER) AS {c}_year, CAST(month({c}) AS INTEGER) AS {c}_month, CAST(day({c}) AS INTEGER) AS {c}_day, CAST(isodow({c}) - 1 AS INTEGER) AS {c}_weekday, "
+            f"CAST(datediff('day', DATE '2000-01-01', CAST({c} AS DATE)) AS INTEGER) AS {c}_tenure")
+
+
+@query("pr_run_plan_dates", f"WITH d AS ({_DATED}), b AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM d) SELECT {r('(o_totalprice - m) / s', 5)} AS o_totalprice, o_orderdate, ship_date, "
+       f"CAST(3 AS INTEGER) AS o_orderdate_to_ship_date_days, {_parts('o_orderdate')}, {_parts('ship_date')} FROM d, b")
+def _(t):
+    df = t("orders_dated")
+    return rounded(prepare.run_plan(df, prepare.preparation_plan(TableProfile(df, order_by=["o_orderkey"])))[0], 5)
+
+
 @query("pr_preparation_plan")
 def _(t):
     return prepare.plan_table(TableProfile(t("orders_nulls"), "o_orderstatus", ["o_orderkey"]))

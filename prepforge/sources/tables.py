@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.frame import col, nan_to_null
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None) -> DataFrame:
-    """Read a CSV (header, inferred or given types) or Parquet table; NaN becomes NULL."""
+    """Read a CSV (header, inferred or given types) or Parquet table; NaN and infinities become NULL."""
     fmt = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if fmt == "parquet":
         return nan_to_null(spark.read.parquet(path))
@@ -32,9 +31,3 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def row_key_is_unique(df: DataFrame, key: list[str]) -> bool:
-    """True when no two rows share the key (one grouped count)."""
-    doubled = df.groupBy(*[col(c) for c in key]).count().where(F.col("count") > 1)
-    return doubled.limit(1).count() == 0

@@ -403,3 +403,25 @@ def test_onehot_does_not_replace_columns(spark):
         encode.onehot(df, ["a"])
     with pytest.raises(ValueError, match="arr"):
         encode.preprocess(df.selectExpr("a", "array(1) AS arr"), ["a", "arr"])
+
+
+def test_csv_types_and_infinities(spark, tmp_path):
+    from prepforge.sources.tables import read_table
+    (tmp_path / "t.csv").write_text("id,x,s\n1,2.5,a\n2,Infinity,\"b,c\"\n3,NaN,\n")
+    rows = read_table(spark, str(tmp_path / "t.csv"))
+    assert dict(rows.dtypes) == {"id": "int", "x": "double", "s": "string"}
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [(1, 2.5, "a"), (2, None, "b,c"), (3, None, None)]
+    with pytest.raises(ValueError, match="format"):
+        read_table(spark, "table.xlsx")
+
+
+def test_plans_derive_columns_from_dates_families_and_texts(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.col("id").alias("n"), F.expr("CAST(DATE'2024-01-01' + CAST(id % 50 AS INT) AS STRING)").alias("start_date"), F.expr("DATE'2024-02-01' + CAST(id % 70 AS INT)").alias("end_date"),
+                               (F.col("id") * 37 % 101).cast("double").alias("temp_min"), (F.col("id") * 53 % 97).cast("double").alias("temp_max"), F.concat(F.lit("note "), F.col("id").cast("string"), F.lit(" words" * 20)).alias("review_text"))
+    plan = prepare.preparation_plan(TableProfile(df, order_by=["n"]))
+    kinds = [s["category"] for s in plan["steps"] if s["type"] == "feature" or s["category"] == "Date Validation"]
+    assert kinds == ["Date Validation", "Family Deltas", "Date Differences", "Date Parts", "Date Parts", "Text TF-IDF"]
+    out, log = prepare.run_plan(df, plan)
+    assert {"end_date_to_start_date_days", "start_date_year", "end_date_tenure", "review_text_tfidf"} <= set(out.columns) and all(x == "done" for _, x in log)
+    assert any(c.startswith("temp_") and "_minus_" in c for c in out.columns) and out.count() == 300
