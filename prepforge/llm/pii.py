@@ -22,13 +22,14 @@ from pyspark.sql import types as T
 from .tokens import slices
 
 ROUNDS = 10
-KEY = b"example key, to be set by the caller"
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
 # The lengths of the IBAN registry, and month names (a name belongs to the first list that has it).
 IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
     28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 MONTHS = [x.split() for x in (
     "january february march april may june july august september october november december", "jan feb mar apr may jun jul aug sep oct nov dec",
     "januar februar märz april mai juni juli august september oktober november dezember", "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
@@ -124,15 +125,19 @@ def card(value: str, key: bytes) -> str | None:
 
 
 def phone(value: str, key: bytes) -> str | None:
-    """At least 9 digits, 8 behind a +; a country code after + stays."""
+    """At least 9 digits, 8 behind a +; a country code after + stays.
+
+    The national digits alone are permuted, so one number in several spellings stays one number: with or without +1,
+    and whatever separates the digits.  North American numbers stay such.
+    """
     digits = _digits_of(value)
     if not 9 - (value[0] == "+") <= len(digits) <= 15:
         return None
-    if " " in value and re.fullmatch(SPACED, value):
-        return _walk(value, lambda v: re.fullmatch(SPACED, v) is not None, key, b"phone")
-    code = re.match(r"\+\d{1,3}(?=[ (.\-])", value)
-    keep = len(code[0]) - 1 if code else 1 if value[0] == "+" else 0
-    return _refill(value, digits[:keep] + permute_format(digits[keep:], key, b"phone"))
+    keep = 0 if value[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    code, rest = digits[:keep], digits[keep:]
+    if code in ("", "1") and re.fullmatch(NORTH_AMERICAN, rest):
+        return _refill(value, code + _walk(rest, lambda v: re.fullmatch(NORTH_AMERICAN, v) is not None, key, b"phone"))
+    return _refill(value, code + permute_format(rest, key, b"phone"))
 
 
 def ip(value: str, key: bytes) -> str | None:
@@ -145,11 +150,12 @@ def ip(value: str, key: bytes) -> str | None:
 
 
 def email(value: str, key: bytes) -> str | None:
-    """The part before the @ is permuted letter by letter class, the domain stays."""
+    """The part before the @ is permuted by classes of characters, its case and the domain stay; spellings in other case are linked."""
     local, _, domain = value.rpartition("@")
     if ".." in value or local[:1] == "." or local[-1:] == ".":
         return None
-    return permute_format(local, key, b"email") + "@" + domain
+    new = permute_format(local.lower(), key, b"email")
+    return "".join(n.upper() if c.isupper() else n for n, c in zip(new, local)) + "@" + domain
 
 
 def ssn(value: str, key: bytes) -> str | None:
@@ -229,6 +235,7 @@ def date(value: str, key: bytes) -> str | None:
             return "".join(out)
 
 
+NORTH_AMERICAN = r"[2-9]\d\d[2-9]\d{6}"
 SPACED = r"[2-9]\d\d[ .\-][2-9]\d\d[ .\-]\d{4}"
 _MONTH = "(?i:" + "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m))) + ")"
 _IBANS = "|".join(rf"(?:{'|'.join(c.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + r"(?![A-Za-z0-9])" for n, c in IBAN_COUNTRIES.items())
@@ -253,7 +260,9 @@ MAYBE = re.compile(r"[0-9@]")
 class Pseudonymizer:
     """Finds, validates and replaces; equal values are worked out once."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
+        if not key:
+            raise ValueError("pseudonyms need a key")
         self.key = key
         self.find = re.compile(PATTERN)
         self.known: dict[tuple[str, str], str | None] = {}
@@ -286,11 +295,12 @@ class Pseudonymizer:
         return ("".join([*out, text[at:]]), found) if found else (text, [])
 
 
-def pseudonymize(documents: DataFrame, key: bytes = KEY, text: str = "text", spans: str = "pii") -> DataFrame:
+def pseudonymize(documents: DataFrame, key: bytes, text: str = "text", spans: str = "pii") -> DataFrame:
     """All rows and columns; ``text`` with pseudonyms, ``spans`` (kind, start, length) of each in the new text.
 
     No shuffle.  A null text stays null with no spans, an empty one empty; repeated rows are treated alike;
-    an older column named as ``spans`` is replaced.  Values that fail their check stay as they are.
+    an older column named as ``spans`` is replaced.  Values that fail their check stay as they are.  Texts of any
+    length are searched whole, and an empty table gives an empty one.  Who knows the key can undo the pseudonyms.
     """
     kept = [f for f in documents.schema.fields if f.name != spans]
     names = [f.name for f in kept]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, fill_middle, language_model, near_duplicates, packing, pii, quality, secrets, token_files, top_k, toxicity, variants
 from .storage import scratch_path
 
+CHECK_KEY = b"a key for checks, known to every reader"
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -25,7 +26,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(pii.pseudonymize(documents(spark, sf_dir)))
+    return pii.summary(pii.pseudonymize(documents(spark, sf_dir), CHECK_KEY))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

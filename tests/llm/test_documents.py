@@ -211,6 +211,27 @@ def test_valid_values_do_not_stay(kind, value):
         assert pii.Pseudonymizer(b"key")(new)[1]  # still a value of its kind
 
 
+@pytest.mark.parametrize("spellings", [["415 555 2671", "415-555-2671", "415.555.2671", "+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "(415) 555-2671"], ["+49 30 1234567", "+49301234567", "+49-30-1234567"],
+                                       ["+353 1 234 5678", "+35312345678"], ["+1 017 555 7713", "+1 (017) 555-7713"]])
+def test_spellings_of_a_number_stay_linked(spellings):
+    make = pii.Pseudonymizer(b"key")
+    new = [make(f"call {v} now")[1] for v in spellings]
+    assert all(len(f) == 1 and f[0][0] == "phone" for f in new)
+    tails = {pii._digits_of(f[0][2])[-10 if "415" in spellings[0] else 0:] for f in new}
+    assert len(tails) == 1 and tails != {pii._digits_of(v)[-10 if "415" in spellings[0] else 0:] for v in spellings}
+
+
+def test_addresses_in_other_case_stay_linked():
+    make = pii.Pseudonymizer(b"key")
+    a, b = make("write A.Bc9@x.com")[1][0][2], make("write a.bc9@x.com")[1][0][2]
+    assert a.lower() == b and a != b and b != "a.bc9@x.com" and [c.isupper() for c in a[:5]] == [c.isupper() for c in "A.Bc9"]
+
+
+def test_phone_numbers_stay_one_to_one():
+    values = [f"+1415555{i:04d}" for i in range(3000)]
+    assert len({pii.phone(v, b"key") for v in values}) == 3000
+
+
 def test_named_dates_stay_one_to_one():
     days = [f"{d} {m} 2001" for names in pii.MONTHS[:3] for m in names for d in (3, 7)]
     values = list(dict.fromkeys(days))
@@ -219,8 +240,8 @@ def test_named_dates_stay_one_to_one():
 
 def test_invalid_values_and_odd_rows_stay(odd):
     for text in ("4111111111111112", "999.1.1.1", "version 1.2.3.4.5", "2023-02-30", "000-12-1234"):
-        assert pii.Pseudonymizer()(text) == (text, [])
-    rows = pii.pseudonymize(odd).collect()
+        assert pii.Pseudonymizer(b"key")(text) == (text, [])
+    rows = pii.pseudonymize(odd, b"key").collect()
     assert sorted(map(str, (r.text for r in rows))) == sorted(map(str, (r.text for r in odd.collect()))) and all(r.pii == [] for r in rows)
 
 
@@ -267,7 +288,7 @@ def test_empty_tables(spark, docs):
     import corpus_pipeline as pipeline
     for name, stage in pipeline.STAGES:
         assert stage(spark, none, SF).collect() == [], name
-    assert pii.pseudonymize(none).collect() == [] and secrets.scan(none).collect() == []
+    assert pii.pseudonymize(none, b"key").collect() == [] and secrets.scan(none).collect() == []
 
 
 # -- pipeline ------------------------------------------------------------------------------------------------
