@@ -88,13 +88,17 @@ def normalised(line):
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
 
 
+def line_number(line):
+    """60 bits of a normalised line that other engines can repeat."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
+
+
 def line_rows(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """(doc_id, text_key, host, line, words): lines with a word."""
     lines = documents.select("doc_id", text_key(text).alias("text_key"), F.col(host).alias("host"), F.split(F.col(text), "\n").alias("lines"))
-    number = lambda x: F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("bigint")  # noqa: E731  60 bits that other engines can repeat
     hashed = lines.withColumn("lines", F.filter(F.transform("lines", lambda x: normalised(x)), lambda x: x != ""))
     rows = hashed.select("doc_id", "text_key", "host", F.explode("lines").alias("l"))
-    return rows.select("doc_id", "text_key", "host", number(F.col("l")).alias("line"), F.size(F.split("l", " ")).alias("words"))
+    return rows.select("doc_id", "text_key", "host", line_number(F.col("l")).alias("line"), F.size(F.split("l", " ")).alias("words"))
 
 
 def frequent_lines(lines: DataFrame, documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float | None = None) -> DataFrame:
@@ -137,6 +141,26 @@ def judge(documents: DataFrame, text: str = "text", host: str = "source", min_do
     return repeated.select("doc_id", "text_key", *STATS, "removed_words", "base_failed", "kept")
 
 
+def strip_lines(documents: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, share: float | None = None, min_words: int = 1) -> DataFrame:
+    """All rows and columns; ``text`` without the lines that are frequent on their host, ``n_chars`` follows it.
+
+    Only lines of at least ``min_words`` words go.  Each document brings the numbers of its own frequent lines, so no text
+    is shuffled.  Texts without such a line, null and empty ones too, stay as they are; repeated rows are stripped alike; an
+    empty table gives an empty one; columns of any name are kept.
+    """
+    lines = line_rows(documents, text, host).where(F.col("words") >= min_words)
+    frequent = frequent_lines(lines, documents, text, host, min_documents, share).withColumnsRenamed({"host": "f_host", "line": "f_line"})
+    hit = lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left_semi")
+    doc, key, own, gone = free_names(documents, "l_doc", "l_key", "l_own", "l_gone")
+    lists = stored(hit.groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(key), "host").agg(F.collect_set("line").alias(gone)), "lines")
+    at = free_names(documents.withColumns({doc: F.lit(0), key: F.lit(0), own: F.lit(0), gone: F.lit(0)}), "l_host")[0]
+    lists = lists.withColumnRenamed("host", at)
+    joined = documents.withColumn(own, text_key(text)).join(lists, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(key)) & F.col(host).eqNullSafe(F.col(at)), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(gone), line_number(normalised(x)))), "\n")
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
+    return joined.select(*[new.alias(c) if c == text else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(kept)).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns])
+
+
 def keep_good(documents: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that ``judge`` keeps, all columns, whole texts.
 

@@ -53,6 +53,19 @@ def test_quality_removes_boilerplate_from_a_hot_host(docs):
     assert {r.doc_id for r in asked.collect()} == set(range(12))
 
 
+def test_frequent_lines_are_cut_out(spark, docs, odd):
+    rnd = random.Random(14)
+    licence = "All rights reserved 2024, see LICENSE"
+    own = [prose(rnd, 30) + "\n" + prose(rnd, 30) for _ in range(8)]
+    texts = [t.replace("\n", f"\n  {licence.replace('2024', str(2000 + i))}\nok\n") for i, t in enumerate(own)] + [own[0]]
+    rows = {r.doc_id: r for r in quality.strip_lines(docs(texts), min_words=2).collect()}
+    assert [rows[i].text for i in range(8)] == [t.replace("\n", "\nok\n") for t in own] and rows[8].text == own[0]
+    assert all(r.n_chars == len(r.text) and r.ids == "x" for r in rows.values())
+    assert [r.text for r in quality.strip_lines(docs(texts[:2])).orderBy("doc_id").collect()] == texts[:2]  # two documents are no rule
+    assert sorted(str(r.text) for r in quality.strip_lines(odd).collect()) == sorted(str(r.text) for r in odd.collect())
+    assert quality.strip_lines(docs([])).collect() == []
+
+
 def test_quality_of_odd_rows(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == 9
