@@ -127,17 +127,34 @@ def plan_table(p: TableProfile) -> DataFrame:
     return p.frame(rows, "position int, name string, category string, columns string")
 
 
+def fused(steps: list[dict]) -> list[list[dict]]:
+    """Neighbouring fills of different columns in one group: together they need one fit, and none sees another's result."""
+    groups: list[list[dict]] = []
+    for s in steps:
+        simple = s["category"] == "Null handling" and "knn" not in s["strategies"].values()
+        last = groups[-1] if groups else []
+        if simple and last and last[0]["category"] == "Null handling" and "knn" not in last[0]["strategies"].values() and not any(set(s["strategies"]) & set(x["strategies"]) for x in last):
+            last.append(s)
+        else:
+            groups.append([s])
+    return groups
+
+
 def run_plan(df: DataFrame, plan: dict, on_error: str = "raise") -> tuple[DataFrame, list[tuple[str, str]]]:
-    """The prepared table and the log (step, outcome)."""
+    """The prepared table and the log (step, outcome).  All fills that follow each other are fitted together."""
     log = []
-    for s in plan["steps"]:
-        try:
-            df = apply_step(df, s)
-            log.append((s["name"], "done"))
-        except Exception as error:
-            if on_error == "raise":
-                raise
-            log.append((s["name"], f"failed: {error}"))
+    for group in fused(plan["steps"]):
+        if len(group) > 1:
+            group = [{**group[0], "strategies": {c: x for s in group for c, x in s["strategies"].items()}, "names": [s["name"] for s in group]}]
+        for s in group:
+            names = s.get("names", [s["name"]])
+            try:
+                df = apply_step(df, s)
+                log += [(n, "done") for n in names]
+            except Exception as error:
+                if on_error == "raise":
+                    raise
+                log += [(n, f"failed: {error}") for n in names]
     return df, log
 
 

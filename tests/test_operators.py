@@ -425,3 +425,16 @@ def test_plans_derive_columns_from_dates_families_and_texts(spark):
     out, log = prepare.run_plan(df, plan)
     assert {"end_date_to_start_date_days", "start_date_year", "end_date_tenure", "review_text_tfidf"} <= set(out.columns) and all(x == "done" for _, x in log)
     assert any(c.startswith("temp_") and "_minus_" in c for c in out.columns) and out.count() == 300
+
+
+def test_fills_of_a_plan_are_fitted_together(spark):
+    jobs = []
+    for width in (3, 12):
+        df = spark.createDataFrame([(i, *[None if (i + c) % 9 == 0 else float(i * (c + 3) % 17) for c in range(width)]) for i in range(60)], "id bigint, " + ", ".join(f"c{c} double" for c in range(width)))
+        steps = [{"name": f"fill {c}", "type": "cleaning", "category": "Null handling", "strategies": {f"c{c}": ("mean", "median", "mode")[c % 3]}} for c in range(width)]
+        spark.sparkContext.setJobGroup(f"fills-{width}", "")
+        out, log = prepare.run_plan(df, {"steps": steps})
+        assert [n for n, _ in log] == [s["name"] for s in steps] and {x for _, x in log} == {"done"}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fills-{width}")))
+        assert sorted(map(str, out.collect())) == sorted(map(str, apply_steps(df, steps).collect()))
+    assert jobs[0] == jobs[1]
