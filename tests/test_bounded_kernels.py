@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from prepforge.operators import neighbors
+from prepforge.operators import evaluate, neighbors
 
 
 def block(rng, n, d):
@@ -29,3 +29,9 @@ def test_best_rows_of_a_block_pair_hold_no_full_distance_table(metric):
     assert np.allclose(got.distance.to_numpy().reshape(-1, 5), np.take_along_axis(d, order, 1)) and (got.id.to_numpy().reshape(-1, 5) == np.arange(3000)[:, None]).all()
     near_zero = got.loc[got.nid == 1].merge(got.loc[got.nid == 0], on="id")
     assert (near_zero.distance_x == near_zero.distance_y).all()
+
+
+def test_blocks_of_silhouettes_grow_with_the_table_up_to_a_bound():
+    assert evaluate._sum_rows(10_000, 64) == 2048
+    assert evaluate._sum_rows(300_000, 64) == 9375  # each row is sent about 32 times, at any size
+    assert evaluate._sum_rows(1e9, 64) == evaluate.BLOCK_BYTES // (8 * 64)
