@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from prepforge.functions import blocks
 from prepforge.operators import evaluate, neighbors
 
 
@@ -35,3 +36,15 @@ def test_blocks_of_silhouettes_grow_with_the_table_up_to_a_bound():
     assert evaluate._sum_rows(10_000, 64) == 2048
     assert evaluate._sum_rows(300_000, 64) == 9375  # each row is sent about 32 times, at any size
     assert evaluate._sum_rows(1e9, 64) == evaluate.BLOCK_BYTES // (8 * 64)
+
+
+def test_manhattan_distances_hold_no_table_of_differences():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, (301, 64)), rng.normal(0, 1, (1000, 64))
+    tracemalloc.start()
+    got = blocks.distances(a, b, "manhattan")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e6  # the result is 2.4 MB; slabs of all differences came to 30 MB and more
+    assert np.allclose(got, np.abs(a[:, None] - b[None]).sum(2), rtol=1e-13)
+    assert blocks.distances(a[:0], b, "manhattan").shape == (0, 1000) and blocks.distances(a, b[:0], "manhattan").shape == (301, 0)
