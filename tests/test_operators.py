@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepforge.functions import blocks
+from prepforge.functions.blocks import block_join
 from prepforge.operators import clean, cluster, encode, evaluate, neighbors, reduce, scale, select, shape, stats, train
 from prepforge.operators.profile import TableProfile, feature_families, infer_task_type
 from prepforge.plans import prepare
@@ -358,6 +359,28 @@ def test_impute_knn_many_patterns_in_few_jobs(spark, monkeypatch):
     assert abs(jobs[0] - jobs[1]) <= 8 and max(jobs) < 60  # 200 patterns or two
 
 
+def test_impute_knn_meets_as_many_pairs_as_the_table_has_rows(spark, monkeypatch):
+    pairs = []
+
+    def counted(left, right, key, *rest):
+        sizes = left.groupBy(key).count().join(right.groupBy(key).agg(F.count(F.lit(1)).alias("c")), key)
+        pairs[-1] += sizes.agg(F.coalesce(F.sum(F.col("count") * F.col("c")), F.lit(0))).head()[0]
+        return block_join(left, right, key, *rest)
+
+    monkeypatch.setattr(clean, "block_join", counted)
+    monkeypatch.setattr(clean, "DONOR_ROWS", 50)
+    for n in (500, 2000):
+        rng = np.random.default_rng(n)
+        x = np.column_stack([rng.integers(0, 10, n), rng.normal(0, 1, n).round(6)]).astype(float)
+        x[::7, 0] = np.nan
+        x[::11, 1] = np.nan
+        pairs.append(0)
+        df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)], "id bigint, a double, b double")
+        got = clean.impute_knn(df, "id", k=3).toPandas().sort_values("id")[["a", "b"]].to_numpy()
+        assert np.allclose(got.astype(float), brute_imputed(x, 3))
+    assert pairs[1] < 6 * pairs[0]  # four times the rows; all ranges for rows without b made it 16 times
+
+
 def test_nan_is_missing_in_cleaning(spark):
     nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate([(1.0, 1.0), (2.0, nan), (nan, 3.0), (None, 2.0), (3.0, 2.0), (2.0, 1.0), (100.0, 2.0), (inf, 2.0)])], "id int, a double, b double")
