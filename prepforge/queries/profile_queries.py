@@ -1,6 +1,5 @@
 """Profile facts, decisions, plans."""
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..fixtures import FIXTURES
@@ -230,7 +229,7 @@ def _(t):
 @query("pr_text_tfidf")
 def _(t):
     weights = pr.text_tfidf(t("documents").select("doc_id", "text"), "text", 1 << 14)
-    return weights.select("doc_id", F.aggregate(vector_to_array("text_tfidf"), F.lit(0.0), lambda a, x: a + x).alias("total_weight"))
+    return weights.select("doc_id", F.aggregate(F.unwrap_udt("text_tfidf")["values"], F.lit(0.0), lambda a, x: a + x).alias("total_weight"))
 
 
 _DATED = "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderdate + INTERVAL 3 DAY AS ship_date FROM orders"

@@ -461,3 +461,45 @@ def test_fills_of_a_plan_are_fitted_together(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fills-{width}")))
         assert sorted(map(str, out.collect())) == sorted(map(str, apply_steps(df, steps).collect()))
     assert jobs[0] == jobs[1]
+
+
+def test_profile_counts_only_the_values_that_settle_a_column(spark):
+    df = spark.createDataFrame([(i, float(i % 7), 2.0 * (i % 7), None if i % 5 else float(i), 3.0, i % 3) for i in range(60)], "key_of_row bigint, a double, b double, c double, d double, e int")
+    asked = []
+
+    class Watched(TableProfile):
+        def _count_values(self, names):
+            asked.append(sorted(set(names) - set(getattr(self, "_distinct", {}))))
+            return super()._count_values(names)
+
+    p = Watched(df.drop("key_of_row"))
+    assert p.pairs_above(0.999) == [("a", "b", pytest.approx(1.0))] and p.constant == ["d"] and asked == []
+    q = Watched(df.withColumn("word", F.lit("x")))
+    assert q.id_like == ["key_of_row"] and q.constant == ["d", "word"] and asked == [["key_of_row", "word"]]
+    assert {c: f["distinct"] for c, f in q.base.items()} == {"key_of_row": 60, "a": 7, "b": 7, "c": 12, "d": 1, "e": 3, "word": 1}
+    assert asked[1:] == [["a", "b", "c", "d", "e"]]  # the rest, once
+
+
+def test_text_tfidf_query_sums_sparse_weights(spark, tmp_path):
+    from prepforge.queries import all_queries
+    rows = [(0, "red red blue"), (1, "blue green"), (2, None), (3, "Red")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = all_queries()["pr_text_tfidf"](spark, str(tmp_path))
+    assert "vector_to_array" not in out._jdf.queryExecution().toString() and "unwrap_udt" in out._jdf.queryExecution().toString()
+    got = {r["doc_id"]: r["total_weight"] for r in out.collect()}
+    two, one = np.log(5 / 3), np.log(5 / 2)
+    assert got == pytest.approx({0: 3 * two, 1: two + one, 2: one, 3: two})
+
+
+def test_tfidf_terms_shuffles_only_rare_words(spark, monkeypatch):
+    from prepforge.operators import profile
+    texts = [f"the cat{i % 40} and the dog{i}" for i in range(200)] + [None, ""]
+    df = spark.createDataFrame([(i // 2 if i < 4 else i, t) for i, t in enumerate(texts)], "id bigint, text string")  # two keys twice
+    whole = {(r["id"], r["term"]): (r["tf"], r["weight"]) for r in profile.tfidf_terms(df, "id", "text").collect()}
+    assert whole[5, "the"] == (2, pytest.approx(2 * np.log(203 / 199))) and whole[0, "the"][0] == 4 and whole[0, "dog1"][0] == 1
+    for rows in (50, 1):
+        monkeypatch.setattr(profile, "BROADCAST_ROWS", rows, raising=False)
+        out = profile.tfidf_terms(df, "id", "text")
+        assert {(r["id"], r["term"]): (r["tf"], r["weight"]) for r in out.collect()} == whole
+        assert out.count() == len(whole)
+        assert "LeftAnti" in out._jdf.queryExecution().toString()  # words of the broadcast stay out of the shuffle
