@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prepforge.functions import blocks
 from prepforge.functions.blocks import block_join
+from prepforge.functions.quantiles import exact_quantiles
 from prepforge.operators import clean, cluster, encode, evaluate, neighbors, reduce, scale, select, shape, stats, train
 from prepforge.operators.profile import TableProfile, feature_families, infer_task_type
 from prepforge.plans import prepare
@@ -503,3 +504,24 @@ def test_tfidf_terms_shuffles_only_rare_words(spark, monkeypatch):
         assert {(r["id"], r["term"]): (r["tf"], r["weight"]) for r in out.collect()} == whole
         assert out.count() == len(whole)
         assert "LeftAnti" in out._jdf.queryExecution().toString()  # words of the broadcast stay out of the shuffle
+
+
+def test_robust_inputs_take_their_quantiles_in_one_pass(spark, monkeypatch):
+    asked = []
+
+    def counted(df, columns, probs, *rest):
+        asked.append(list(columns))
+        return exact_quantiles(df, columns, probs, *rest)
+
+    monkeypatch.setattr(encode, "exact_quantiles", counted)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(0, 1, 41), rng.normal(5, 2, 41)
+    df = spark.createDataFrame([(float(x), None if i % 4 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b))], "a double, b double")
+    for names, calls in ((["a"], [["a"]]), (["a", "b"], [["a", "b"], ["b"]])):  # only the filled column is asked again
+        asked.clear()
+        got = encode.fit_model_inputs(df, names, "robust").transform(df).toPandas()
+        assert asked == calls
+        for c in names:
+            x = np.where(np.arange(41) % 4 == 0, np.median(b[np.arange(41) % 4 != 0]), b) if c == "b" else a
+            low, mid, high = np.quantile(x, [0.25, 0.5, 0.75])
+            assert np.allclose(got[f"x_{c}"], (x - mid) / (high - low))
