@@ -56,19 +56,26 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def pair_correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
     """Pearson r of every column pair on the rows complete for that pair.
 
-    Few columns: all pairs in one aggregate.  Many columns without gaps: one Gram pass over vectors,
-    which needs no aggregate function per pair.
+    Columns without gaps: one pass for the means, one for sums of products around them, or with many columns one Gram
+    pass over vectors, which needs no aggregate function per pair.  Others: an aggregate function per pair.
     """
     need_numeric(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     data = finite_frame(df, columns)
     out = {}
-    if len(columns) > WIDE_COLUMNS:
-        gaps = data.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in data.columns], *[F.var_samp(c).alias(f"v{c}") for c in data.columns]).head()
-        if gaps["n"] > 1 and all(gaps[c] == gaps["n"] and gaps[f"v{c}"] for c in data.columns):
+    moments = data.agg(F.count(F.lit(1)).alias("n"), *[e for c in data.columns for e in (F.count(c).alias(c), F.avg(c).alias(f"m{c}"), F.min(c).alias(f"l{c}"), F.max(c).alias(f"h{c}"))]).head()
+    if moments["n"] > 1 and all(moments[c] == moments["n"] and moments[f"l{c}"] < moments[f"h{c}"] for c in data.columns):
+        if len(columns) > WIDE_COLUMNS:
             vectors = VectorAssembler(inputCols=data.columns, outputCol="v").transform(data).select("v")
             m = Correlation.corr(vectors, "v").head()[0].toArray()
             return {(columns[i], columns[j]): float(m[i, j]) for i, j in pairs}
+        near = data.select(*[(F.col(c) - F.lit(moments[f"m{c}"])).alias(c) for c in data.columns])
+        places = range(len(columns))
+        row = near.agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in places], *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in [*pairs, *zip(places, places)]]).head()
+        around = lambda i, j: row[f"p{i}_{j}"] - row[f"s{i}"] * row[f"s{j}"] / moments["n"]  # noqa: E731  the means are rounded
+        if all(0 < 1e-3 * row[f"p{i}_{i}"] < around(i, i) < float("inf") for i in places):
+            size = [around(i, i) ** 0.5 for i in places]
+            return {(columns[i], columns[j]): max(-1.0, min(1.0, around(i, j) / size[i] / size[j])) for i, j in pairs}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]
         row = data.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"p{n}") for n, (i, j) in enumerate(part)]).head()

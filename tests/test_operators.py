@@ -525,3 +525,23 @@ def test_robust_inputs_take_their_quantiles_in_one_pass(spark, monkeypatch):
             x = np.where(np.arange(41) % 4 == 0, np.median(b[np.arange(41) % 4 != 0]), b) if c == "b" else a
             low, mid, high = np.quantile(x, [0.25, 0.5, 0.75])
             assert np.allclose(got[f"x_{c}"], (x - mid) / (high - low))
+
+
+def test_correlations_without_gaps_need_no_function_per_pair(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    a = rng.normal(0, 1, 300)
+    x = np.column_stack([a, 2 * a + 1, a + rng.normal(0, 1, 300), 1e9 - a, rng.integers(0, 2, 300)]).astype(float)
+    names = list("abcde")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    gaps = df.withColumn("a", F.expr("IF(a > 1, NULL, a)"))
+    slow = stats.pair_correlations(gaps, names)
+    kept = x[~(x[:, 0] > 1)]
+    assert slow["a", "c"] == pytest.approx(np.corrcoef(kept[:, 0], kept[:, 2])[0, 1]) and slow["b", "c"] == pytest.approx(np.corrcoef(x[:, 1], x[:, 2])[0, 1])
+
+    def refused(*_):
+        raise AssertionError("one aggregate function for each pair")
+
+    monkeypatch.setattr(stats.F, "corr", refused)
+    got = stats.pair_correlations(df, names)
+    want = np.corrcoef(x.T)
+    assert all(r == pytest.approx(want[names.index(i), names.index(j)], abs=1e-7) for (i, j), r in got.items()) and len(got) == 10
