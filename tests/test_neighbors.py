@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from prepforge.functions import frame
-from prepforge.operators import neighbors
+from prepforge.operators import neighbors, search
 
 
 def table(spark, x, first=0):
@@ -42,6 +42,33 @@ def test_tree_of_many_levels_equals_all_pairs(spark, monkeypatch, metric):
     assert {r["count"] for r in few.collect()} == {3}
 
 
+def test_nearest_rows_of_other_parts(spark, monkeypatch):
+    """One index for all parts; a place held by one part alone, copies in several parts, and a key that stands twice."""
+    monkeypatch.setattr(neighbors, "FANOUT", 6)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, s, (n, 3)) for c, s, n in ((2, 1, 250), (9, 0.05, 120))] + [np.full((30, 3), 3.0)]) + 0.01
+    part = np.concatenate([rng.integers(0, 3, 250), np.full(120, 1), np.arange(30) % 3])
+    rows = spark.createDataFrame([(i, v.tolist(), int(p)) for i, (v, p) in enumerate(zip(x, part))], "id bigint, v array<double>, fold int")
+    got = neighbors.nearest_outside(rows, 4, "id", "v", "fold", 3, leaf_rows=100).toPandas().sort_values(["query_id", "rank"])
+    assert (part[got.query_id] != part[got.neighbor_id]).all() and len(got) == 4 * len(x)
+    for p in range(3):
+        mine = got[part[got.query_id] == p]
+        assert np.allclose(mine.distance.to_numpy().reshape(-1, 4), brute(x[part == p], x[part != p], 4, "euclidean"))
+    copies = got[got.query_id == 370]  # part 0: the copies of parts 1 and 2, smallest keys first
+    assert copies.neighbor_id.tolist() == [371, 372, 374, 375]
+    twice = spark.createDataFrame([(1, [0.0], 0), (1, [0.0], 1), (2, [1.0], 2)], "id bigint, v array<double>, fold int")
+    asked = sorted(tuple(r) for r in neighbors.nearest_outside(twice, 5, "id", "v", "fold", 3).collect())
+    assert asked == [(1, 1, 0.0, 1), (1, 1, 0.0, 1), (1, 2, 1.0, 2), (1, 2, 1.0, 2), (2, 1, 1.0, 1), (2, 1, 1.0, 2)]
+
+
+def test_folds_share_one_index(spark, monkeypatch):
+    built, build = [], neighbors.NeighborIndex.build
+    monkeypatch.setattr(neighbors.NeighborIndex, "build", staticmethod(lambda *args, **named: built.append(1) or build(*args, **named)))
+    rows = spark.createDataFrame([(i, [float(i)], float(i), i % 3) for i in range(30)], "id bigint, v array<double>, label double, fold int")
+    assert search.neighbor_scores(rows, 3, "regression", [(2, "uniform")], "euclidean") == [pytest.approx((28 * 0.0 + 2 * 2.25) / 30)]
+    assert len(built) == 1
+
+
 def test_hot_vector_and_hub(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "FANOUT", 4)
     monkeypatch.setattr(frame, "BROADCAST_ROWS", 0)  # every lookup takes the path for large dictionaries
