@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .bpe import piece_encoder
 from .range_coder import decode_block, encode_block
-from .tokens import slices
+from .tokens import CACHE_PIECES, slices
 
 BLOCKS = "file int, first_token bigint, n_docs bigint, n_tokens bigint, block binary"
 DOCUMENTS = "file int, doc_id bigint, file_start bigint, ids binary"
@@ -66,19 +66,24 @@ def file_bounds(documents: DataFrame, key: str, file_docs: int) -> list[int]:
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, alphabet: int, end_id: int = 0, file_docs: int = FILE_DOCS,
-                 block_tokens: int = BLOCK_TOKENS) -> None:
+                 block_tokens: int = BLOCK_TOKENS, cache_pieces: int = CACHE_PIECES, keep_cache: bool = False) -> None:
     """Encode every whole text, append ``end_id`` and write the files in ascending ``doc_id`` order.
 
     Ids go through one shuffle by range of documents, two bytes each where the alphabet allows.  A task
     holds one block at a time; a document is never cut.  A null or empty text is its end id alone, rows
-    with one doc_id stay apart and are ordered by their ids, null doc_ids come first.
+    with one doc_id stay apart and are ordered by their ids, null doc_ids come first.  ``cache_pieces`` words are
+    remembered with their ids (about 250 bytes each), until the end of a task or, with ``keep_cache``, as long as the worker lives.
     """
     bounds = np.array(file_bounds(documents, "doc_id", file_docs), dtype="int64")
     kind = "<u2" if alphabet <= 1 << 16 else "<u4"
+    worker = documents.sparkSession.sparkContext.broadcast({})  # a worker keeps its copy from task to task
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer)
-        for part in slices(batches):
+        known = worker.value if keep_cache else {}
+        if "encoder" not in known:
+            known["encoder"] = piece_encoder(tokenizer, cache_pieces=cache_pieces)
+        encoder = known["encoder"]
+        for part in slices(batches, release=[] if keep_cache else [encoder.forget]):
             keys = part.column(0)
             ids, offsets = encoder.encode(part.column(1))
             data, cuts = ids.astype(kind).tobytes(), (offsets * np.dtype(kind).itemsize).tolist()

@@ -115,3 +115,10 @@ def test_packing_balances_cost():
     mixed = [cost[s] for s in cost if fill[s] == 4096 and cost[s] < 8000]
     assert max(mixed) < 2 * min(mixed)
     assert packing.capacities(4096 * 2 + 5, 4096) == [4096, 4096, 4, 1] and packing.capacities(0, 4096) == []
+
+
+def test_token_files_with_a_kept_cache(spark, odd):
+    path = scratch_path(spark, "test-tokens-kept")
+    token_files.write_tokens(odd.repartition(3), path, BYTE, 50_257, file_docs=2, block_tokens=1000, cache_pieces=4, keep_cache=True)
+    expected = {(r.doc_id, little_endian(i + [0])) for r, i in zip(odd.collect(), library(BYTE, [r.text for r in odd.collect()]))}
+    assert {(r.doc_id, bytes(r.ids)) for r in token_files.read_tokens(spark, path).collect()} == expected
