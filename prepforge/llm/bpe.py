@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .tokens import WORD_SPLIT, PieceEncoder, kind_of, little_endian, open_tokenizer, slices
+from .tokens import CACHE_PIECES, LEARN_PIECES, WORD_SPLIT, Known, PieceEncoder, kind_of, little_endian, open_tokenizer, slices
 
 NEVER = np.int64(1) << 40
 # The published pre-tokenizer pattern of byte-level vocabularies (a fixed value).
@@ -353,6 +354,78 @@ def piece_encoder(path: str, **options) -> PieceEncoder:
     return PieceEncoder(path, bpe.encode_pieces, bpe.encode_whole, **options) if bpe else PieceEncoder(path, **options)
 
 
+class CorpusEncoder(PieceEncoder):
+    """Ids of a byte vocabulary for texts with many rare words: pieces and words stay in Arrow arrays.
+
+    A new piece that is a line end or nothing, letters with a space before or none, and ASCII marks or nothing has these three as
+    the pre-tokenizer's words; words new to the worker are merged side by side.  All other pieces go through ``SpeculativeBpe``.
+    """
+
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    WORD = r" ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"  # letters to every engine
+    MERGED = 1 << 17  # words merged at a time
+
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        self.model = SpeculativeBpe(path)
+        self.pieces, self.words = Known(cache_pieces), Known(cache_pieces)
+        super().__init__(path, self.model.encode_pieces, self.model.encode_whole, cache_pieces)
+
+    def forget(self):
+        super().forget()
+        self.pieces.forget()
+        self.words.forget()
+
+    def _learn(self, distinct: pa.Array) -> np.ndarray:
+        codes = self.pieces.learn(distinct, self._ids)
+        self.store, self.used, self.start, self.length = self.pieces.store, self.pieces.used, self.pieces.start, self.pieces.length
+        return codes
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, number of ids of each piece)."""
+        none = pa.scalar("", pa.large_string())
+        first, line = pc.starts_with(pieces, "\x01"), pc.starts_with(pieces, "\n")
+        behind = pc.utf8_slice_codeunits(pieces, 1)
+        texts = pc.if_else(first, behind, pc.if_else(line, pieces, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pieces, none)))
+        bodies = pc.if_else(line, behind, texts)
+        stems = pc.utf8_rtrim(bodies, characters=self.MARKS)
+        plain = pc.match_substring_regex(stems, f"^{self.WORD}$")
+        rows, rest = np.flatnonzero(plain), np.flatnonzero(pc.invert(plain))
+        sizes, parts = np.zeros(len(pieces), dtype="int64"), []
+        if len(rows):
+            at = pa.array(rows)
+            heads = pc.if_else(line.take(at), pa.scalar("\n", pa.large_string()), none)
+            tails = pc.replace_substring_regex(bodies.take(at), f"^{self.WORD}", "")
+            words = pa.concat_arrays([heads, stems.take(at), tails]).dictionary_encode()
+            codes = self.words.learn(words.dictionary, self._merge)[words.indices.to_numpy()]
+            codes = codes.reshape(3, -1).T.reshape(-1)
+            sizes[rows] = self.words.length[codes].reshape(-1, 3).sum(1)
+            parts.append((rows, self.words.ids(codes)))
+        for i in range(0, len(rest), LEARN_PIECES):
+            some = rest[i:i + LEARN_PIECES]
+            found = self.encode_pieces(texts.take(pa.array(some)).to_pylist())
+            sizes[some] = [len(x) // 4 for x in found]
+            parts.append((some, np.frombuffer(b"".join(found), dtype="<u4")))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), dtype="<u4")
+        for some, ids in parts:
+            n = sizes[some]
+            flat[np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return flat, sizes
+
+    def _merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for i in range(0, len(words), self.MERGED):
+            found += self.model.merge_words(words.slice(i, self.MERGED).cast(pa.large_binary()).to_pylist())
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) for x in found], dtype="int64") // 4
+
+
+def corpus_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
+    """An encoder for a worker that lives through many tasks; vocabularies of other kinds have ``piece_encoder``'s."""
+    with open(path, encoding="utf-8") as f:
+        kind = kind_of(json.load(f))
+    return CorpusEncoder(path, cache_pieces) if kind == "byte" else piece_encoder(path, cache_pieces=cache_pieces)
+
+
 class Decoder:
     """Ids to texts: one Arrow take gathers the bytes of all tokens of all documents."""
 

@@ -27,6 +27,7 @@ LANES, LANE_IDS = 8192, 128
 _ONE = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
+_16 = np.uint64(16)
 _FULL = np.uint64(1) << np.uint64(32)
 
 
@@ -39,6 +40,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 STRETCH, SQUASH = _tables()
 UP = np.array([1, 2, 3, 4, 5, 6, 7, 7], dtype="int64")
+# what a confidence becomes less what it was, after a miss (first half) and a hit
+MOVE = np.concatenate([np.arange(8) >> 1, UP]) - np.tile(np.arange(8), 2)
 
 
 class Model:
@@ -64,9 +67,16 @@ class Model:
         self._refresh()
 
     def _settle(self):
-        """What the predictions of the next steps read."""
+        """What the predictions of the next steps read: the mixed votes of both orders by place, that is by
+        the confidence of order 2, that of order 1 and whether they agree, and the weight of order 0."""
         self.own = STRETCH[(self.right << 12) // (self.tries + 1)]
-        self.columns = np.ascontiguousarray(self.weights.transpose(0, 2, 1))
+        own2, own1 = self.own
+        self.vote = np.stack([np.tile(-own1, (8, 1)), np.tile(own1, (8, 1))], axis=2)  # of order 1 for the id of order 2
+        w2, w1 = self.weights
+        middle = 2048 << 16
+        self.base2 = ((w2[:, 0] * own2 + middle)[:, None, None] + w2[:, 1][:, None, None] * self.vote).ravel()
+        self.base1 = np.repeat((w1[:, 0] * own1 + middle)[None, :] - w1[:, 1][None, :] * own2[:, None], 2)
+        self.rare2, self.rare1 = np.repeat(w2[:, 2], 16), np.tile(np.repeat(w1[:, 2], 2), 8)
 
     def _refresh(self):
         if self.pending:
@@ -77,65 +87,107 @@ class Model:
         self.ends = np.cumsum(self.counts)
         self.total = int(self.ends[-1])
         self.shares = STRETCH[np.minimum(4095, (self.counts << 12) // self.total)]
+        self.below = None
 
     def predict(self, p1: np.ndarray, p2: np.ndarray):
         """Remembered ids and the frequencies (of 65536) of "order 2 right" and "order 1 right"."""
         self.slot = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - self.CONTEXTS)
         self.p1 = p1
-        e2, e1 = self.order2[self.slot], self.order1[p1]
-        self.c2, self.c1, self.k2, self.k1 = e2 >> 3, e1 >> 3, e2 & 7, e1 & 7
+        self.e2, self.e1 = self.order2[self.slot], self.order1[p1]
+        self.c2, self.c1, self.k2, self.k1 = self.e2 >> 3, self.e1 >> 3, self.e2 & 7, self.e1 & 7
         self.same = self.c1 == self.c2
-        own2, own1 = self.own[0][self.k2], self.own[1][self.k1]
-        rare = self.shares
-        self.in2 = (own2, np.where(self.same, own1, -own1), rare[self.c2])
-        self.in1 = (own1, -own2, rare[self.c1])
-        self.q2, self.q1 = self._mix(0, self.k2, self.in2), self._mix(1, self.k1, self.in1)
-        f2 = self.q2
-        f1 = np.where(self.same, 0, ((_ONE - f2) * self.q1) >> 16)
-        return f2, f1
+        place = self.k2 << 3
+        place |= self.k1
+        place <<= 1
+        place |= self.same
+        self.place, self.s2, self.s1 = place, self.shares[self.c2], self.shares[self.c1]
+        self.q2 = self._mix(self.base2, self.rare2, self.s2)
+        self.q1 = self._mix(self.base1, self.rare1, self.s1)
+        f1 = _ONE - self.q2
+        f1 *= self.q1
+        f1 >>= 16
+        f1 *= ~self.same
+        return self.q2, f1
+
+    def _mix(self, base: np.ndarray, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
+        s = weight[self.place]
+        s *= share
+        s += base[self.place]
+        s >>= 16
+        np.maximum(s, 0, out=s)
+        np.minimum(s, 4095, out=s)
+        return SQUASH[s]
 
     def counts_at(self, ids: np.ndarray) -> np.ndarray:
         return self.counts[ids]
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose order-0 frequencies hold v."""
-        return np.searchsorted(self.ends, v, "right")
-
-    def _mix(self, order: int, k: np.ndarray, inputs) -> np.ndarray:
-        w = self.columns[order]
-        s = (w[0][k] * inputs[0] + w[1][k] * inputs[1] + w[2][k] * inputs[2]) >> 16
-        return SQUASH[np.minimum(np.maximum(s + 2048, 0), 4095)]
+        """The id whose order-0 frequencies hold v: all ends in parts of the range before its own, then a search in its part."""
+        if self.below is None:
+            self.part = max(0, self.total.bit_length() - 14)
+            part = np.bincount(self.ends >> self.part, minlength=(self.total >> self.part) + 1)
+            self.below = np.concatenate([[0], np.cumsum(part)])
+        part = v >> self.part
+        low, high = self.below[part], self.below[part + 1]
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            a, b = low[open_], high[open_]
+            middle = (a + b) >> 1
+            before = self.ends[middle] <= v[open_]
+            a, b = np.where(before, middle + 1, a), np.where(before, b, middle)
+            low[open_], high[open_] = a, b
+            open_ = open_[a < b]
+        return low
 
     def update(self, ids: np.ndarray):
         hit2, hit1 = ids == self.c2, ids == self.c1
         if self.steps < 16 or self.steps % 4 == 0:
-            self._learn(0, self.k2, hit2, self.q2, self.in2)
+            own2, own1 = self.own
+            self._learn(0, self.place, hit2, self.q2, self.s2, own2, self.vote, (1, 2))
             other = np.flatnonzero(~(hit2 | self.same))
-            self._learn(1, self.k1[other], hit1[other], self.q1[other], [x[other] for x in self.in1])
+            self._learn(1, self.place[other], hit1[other], self.q1[other], self.s1[other], own1, -own2[:, None, None], (0, 2))
             self._settle()
-        new = ids << 3 | 1
-        self.order2[self.slot] = np.where(hit2, (self.c2 << 3) + UP[self.k2], np.where(self.k2 > 1, (self.c2 << 3) + (self.k2 >> 1), new))
-        self.order1[self.p1] = np.where(hit1, (self.c1 << 3) + UP[self.k1], np.where(self.k1 > 1, (self.c1 << 3) + (self.k1 >> 1), new))
+        new = ids << 3
+        new |= 1
+        self.order2[self.slot] = np.where(hit2 | (self.k2 > 1), self.e2 + MOVE[self.k2 + (hit2.view("int8") << 3)], new)
+        self.order1[self.p1] = np.where(hit1 | (self.k1 > 1), self.e1 + MOVE[self.k1 + (hit1.view("int8") << 3)], new)
         self.pending.append(ids)
         self.steps += 1
         if self.steps & (self.steps - 1) == 0 or self.steps % 8 == 0:
             self._refresh()
 
-    def _learn(self, order: int, k: np.ndarray, hit: np.ndarray, q: np.ndarray, inputs):
-        tries = np.bincount(k, minlength=8)
-        self.tries[order] += tries
-        self.right[order] += np.bincount(k[hit], minlength=8)
-        error = np.where(hit, _ONE, 0) - q
-        for j, x in enumerate(inputs):
+    def _learn(self, order: int, place: np.ndarray, hit: np.ndarray, q: np.ndarray, share: np.ndarray, own: np.ndarray, other: np.ndarray, rest: tuple[int, int]):
+        """Votes are the same for all lanes of a place, so errors are summed by place before they meet the votes."""
+        def by_place(at, weights=None):
             # sums of integers below 2**53 are exact in doubles
-            step = np.bincount(k, weights=error * x, minlength=8).astype("int64") // np.maximum(tries, 1)
+            return np.bincount(at, weights=weights, minlength=128).astype("int64").reshape(8, 8, 2)
+
+        error = hit * np.int64(_ONE)
+        error -= q
+        tries, missed = by_place(place).sum(rest), by_place(place, error)
+        self.tries[order] += tries
+        self.right[order] += by_place(place[hit]).sum(rest)
+        steps = own * missed.sum(rest), (other * missed).sum(rest), by_place(place, error * share).sum(rest)
+        for j, step in enumerate(steps):
+            step //= np.maximum(tries, 1)
             self.weights[order, :, j] = np.clip(self.weights[order, :, j] + (step >> 9), -4 * _ONE, 4 * _ONE)
 
 
-def _narrow(low, span, start, size, total):
-    """Take the part [start, start + size) of total in every lane."""
-    part = span // np.uint64(total)
-    return low + part * start.astype("uint64"), part * size.astype("uint64")
+def _narrow(low, part, start, size):
+    """Take [start, start + size) of the equal parts of every lane's interval."""
+    return low + part * start.view("uint64"), part * size.view("uint64")
+
+
+def _choice(hit2, miss, f2, f1):
+    """Start and size of "order 2 right", "order 1 right" or neither, whichever holds in a lane."""
+    other = ~hit2
+    start = other * f2
+    start += miss * f1
+    end = other * f1
+    end += f2
+    np.copyto(end, _ONE, where=miss)
+    end -= start
+    return start, end
 
 
 def _shift(low, span):
@@ -174,19 +226,17 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         x = grid[t, :m]
         f2, f1 = model.predict(p1[:m], p2[:m])
         hit2 = x == model.c2
-        hit1 = ~hit2 & ~model.same & (x == model.c1)
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        size = np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-        lo, sp = _narrow(low[:m], span[:m], start, size, _ONE)
+        known = hit2 | (~model.same & (x == model.c1))
+        lo, sp = _narrow(low[:m], span[:m] >> _16, *_choice(hit2, ~known, f2, f1))
         small = _shift(lo, sp)
         where.append(small)
         words.append((lo[small] >> _32).astype("<u4"))
         lo[small] <<= _32
         sp[small] <<= _32
-        miss = np.flatnonzero(~(hit2 | hit1))
+        miss = np.flatnonzero(~known)
         xm = x[miss]
         size = model.counts_at(xm)
-        l2, s2 = _narrow(lo[miss], sp[miss], model.ends[xm] - size, size, model.total)
+        l2, s2 = _narrow(lo[miss], sp[miss] // np.uint64(model.total), model.ends[xm] - size, size)
         small = _shift(l2, s2)
         where.append(miss[small])
         words.append((l2[small] >> _32).astype("<u4"))
@@ -200,7 +250,7 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     where.append(np.arange(lanes))
     words.append(((low >> _32) + (low & _LOW != 0)).astype("<u4"))
     lane, word = np.concatenate(where), np.concatenate(words)
-    order = np.argsort(lane, kind="stable")
+    order = np.argsort(lane.astype("uint16") if lanes <= _ONE else lane, kind="stable")  # short numbers are sorted by digits
     sizes = np.bincount(lane, minlength=lanes).astype("<u2" if each <= 1 << 14 else "<u4")
     body = sizes.tobytes() + word[order].tobytes()
     crc = zlib.crc32(ids.astype("<u4"))
@@ -237,23 +287,22 @@ def decode_block(block: bytes) -> np.ndarray:
         m = lanes if t < last else lanes - 1
         f2, f1 = model.predict(p1[:m], p2[:m])
         lo, sp, cd = low[:m], span[:m], code[:m]
-        v = ((cd - lo) // (sp >> np.uint64(16))).astype("int64")
-        hit2 = v < f2
-        hit1 = ~hit2 & (v < f2 + f1)
-        start = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        size = np.where(hit2, f2, np.where(hit1, f1, _ONE - f2 - f1))
-        lo, sp = _narrow(lo, sp, start, size, _ONE)
+        part = sp >> _16
+        v = ((cd - lo) // part).view("int64")
+        hit2, unknown = v < f2, v >= f2 + f1
+        lo, sp = _narrow(lo, part, *_choice(hit2, unknown, f2, f1))
         small = _shift(lo, sp)
         cd[small] = (cd[small] << _32) | read(small)
         lo[small] <<= _32
         sp[small] <<= _32
         x = np.where(hit2, model.c2, model.c1)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        l2, s2, c2 = lo[miss], sp[miss], cd[miss]
-        v = np.minimum(((c2 - l2) // (s2 // np.uint64(model.total))).astype("int64"), model.total - 1)
+        miss = np.flatnonzero(unknown)
+        l2, c2 = lo[miss], cd[miss]
+        part = sp[miss] // np.uint64(model.total)
+        v = np.minimum(((c2 - l2) // part).view("int64"), model.total - 1)
         xm = model.find(v)
         size = model.counts_at(xm)
-        l2, s2 = _narrow(l2, s2, model.ends[xm] - size, size, model.total)
+        l2, s2 = _narrow(l2, part, model.ends[xm] - size, size)
         small = _shift(l2, s2)
         c2[small] = (c2[small] << _32) | read(miss[small])
         l2[small] <<= _32

@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import piece_encoder
+from .bpe import corpus_encoder
 from .range_coder import decode_block, encode_block
-from .tokens import CACHE_PIECES, slices
+from .tokens import CACHE_PIECES, gathered, slices
 
 BLOCKS = "file int, first_token bigint, n_docs bigint, n_tokens bigint, block binary"
 DOCUMENTS = "file int, doc_id bigint, file_start bigint, ids binary"
 BLOCK_TOKENS = 1 << 20
 FILE_DOCS = 4096
+SLICE_BYTES = 24_000_000  # known pieces are looked up once a slice
 MAX_FILES = 50_000
 _HEAD = "<4sIQI"  # magic, documents, bytes of the document table, its crc
 _MAGIC = b"ptok"
@@ -72,7 +73,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, alphabet: int,
     Ids go through one shuffle by range of documents, two bytes each where the alphabet allows.  A task
     holds one block at a time; a document is never cut.  A null or empty text is its end id alone, rows
     with one doc_id stay apart and are ordered by their ids, null doc_ids come first.  ``cache_pieces`` words are
-    remembered with their ids (about 250 bytes each), until the end of a task or, with ``keep_cache``, as long as the worker lives.
+    remembered with their ids (about 60 bytes each), until the end of a task or, with ``keep_cache``, as long as the worker lives.
     """
     bounds = np.array(file_bounds(documents, "doc_id", file_docs), dtype="int64")
     kind = "<u2" if alphabet <= 1 << 16 else "<u4"
@@ -81,9 +82,9 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, alphabet: int,
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker.value if keep_cache else {}
         if "encoder" not in known:
-            known["encoder"] = piece_encoder(tokenizer, cache_pieces=cache_pieces)
+            known["encoder"] = corpus_encoder(tokenizer, cache_pieces)
         encoder = known["encoder"]
-        for part in slices(batches, release=[] if keep_cache else [encoder.forget]):
+        for part in slices(gathered(batches, limit=SLICE_BYTES), limit=SLICE_BYTES, release=[] if keep_cache else [encoder.forget]):
             keys = part.column(0)
             ids, offsets = encoder.encode(part.column(1))
             data, cuts = ids.astype(kind).tobytes(), (offsets * np.dtype(kind).itemsize).tolist()

@@ -7,12 +7,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prepforge.llm import bpe, packing, queries, range_coder, token_files
+from prepforge.llm import bpe, packing, queries, range_coder, token_files, tokens
 from prepforge.llm.storage import scratch_path
 from prepforge.llm.tokens import little_endian, open_tokenizer
 
 BYTE, WORD = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.WORD_BPE)
 
+BLOCK_BYTES = (13315, 2552677398)  # length and checksum of a block as first written
+
 
 def library(path, texts):
     return [e.ids for e in open_tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
@@ -122,3 +124,49 @@ def test_token_files_with_a_kept_cache(spark, odd):
     token_files.write_tokens(odd.repartition(3), path, BYTE, 50_257, file_docs=2, block_tokens=1000, cache_pieces=4, keep_cache=True)
     expected = {(r.doc_id, little_endian(i + [0])) for r, i in zip(odd.collect(), library(BYTE, [r.text for r in odd.collect()]))}
     assert {(r.doc_id, bytes(r.ids)) for r in token_files.read_tokens(spark, path).collect()} == expected
+
+
+@pytest.mark.parametrize("limit", [1, 40, 200_000])
+def test_corpus_encoder_equals_the_library(limit):
+    marks = [f"{h}{w}{m}" for h in ("", " ", "\n", " (") for w in ("word", "Élan", "s", "t", "ciónlt", "x9", "٣", "नम", "dǂ", "ж") for m in ("", ".", "'", "'s", "***", "'.", "‚", "́", ").", "_")]
+    rnd = random.Random(7)
+    texts = odd_texts(800, 3) + ["".join(rnd.choice(marks) for _ in range(rnd.randint(1, 30))) for _ in range(800)]
+    encoder = bpe.corpus_encoder(BYTE, limit)
+    for at in (*range(0, len(texts), 300), 0, 300):  # the last two meet known pieces
+        assert encoder.encode_bytes(pa.array(texts[at:at + 300])) == [little_endian(i) for i in library(BYTE, texts[at:at + 300])]
+
+
+def test_corpus_encoder_merges_a_word_once():
+    encoder, merged = bpe.corpus_encoder(BYTE), []
+    merge = encoder.model.merge_words
+    encoder.model.merge_words = lambda words: merged.extend(words) or merge(words)
+    for text in ("an eirlyhanth, an", "the eirlyhanth. eirlyhanth*** eirlyhanth", "a\neirlyhanth, eirlyhanth,"):
+        encoder.encode_bytes(pa.array([text]))
+    assert merged.count(b" eirlyhanth") == merged.count(b",") == 1 and len(merged) == len(set(merged))
+
+
+def test_known_strings_keep_those_met_again():
+    known, seen = tokens.Known(6), []
+
+    def learn(*strings):
+        def encode(new):
+            seen.extend(new.to_pylist())
+            return np.array([ord(x) for x in new.to_pylist() for _ in range(2)], "<u4"), np.full(len(new), 2)
+        codes = known.learn(pa.array(strings, pa.large_string()), encode)
+        assert known.ids(codes).tolist() == [ord(x) for x in strings for _ in range(2)]
+
+    for strings in ("abcd", "bxyz", "bq", "xb"):
+        learn(*strings)
+    assert "".join(seen) == "abcdxyzqx"  # b stays known when the others are dropped
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.record_batch({"text": pa.array(["abcd"] * n, pa.string())}) for n in (1, 2, 0, 3, 40, 1)]
+    joined = list(tokens.gathered(iter(batches), limit=40))
+    assert sum(b.num_rows for b in joined) == 47 and len(joined) < 4
+
+
+def test_token_blocks_keep_their_bytes():
+    ids = (np.arange(60_000) ** 2 // 7 % 911).astype("int64")
+    block = range_coder.encode_block(ids, 50_257)
+    assert (len(block), zlib.crc32(block)) == BLOCK_BYTES
