@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from prepforge.functions import frame
+from prepforge.functions.blocks import block_join
 from prepforge.operators import neighbors, search
 
 
@@ -112,3 +113,21 @@ def test_missing_vectors_and_empty_tables(spark):
     assert sorted((r["query_id"], r["neighbor_id"], r["rank"]) for r in rows) == [(1, 1, 1), (1, 4, 2), (4, 1, 2), (4, 4, 1)]
     assert neighbors.nearest_neighbors(base, base.where("id > 9"), 5, "id", "v").collect() == []
     assert neighbors.nearest_neighbors(base.where("id > 9"), base, 5, "id", "v").collect() == []
+
+
+def test_vectors_that_no_bound_tells_apart_are_compared_block_by_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 24)).round(3)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[500:550] = x[:50]  # copies
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, v array<double>")
+    sent = []
+    monkeypatch.setattr(neighbors, "FANOUT", 16)
+    monkeypatch.setattr(neighbors, "block_join", lambda left, right, key, kernel, schema, rows=4096: sent.append((schema, left, rows)) or block_join(left, right, key, kernel, schema, rows))
+    rows = neighbors.nearest_neighbors(df, df, 4, "id", "v", include_self=False, leaf_rows=40).collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    expected = {(i, int(j), r + 1) for i in range(600) for r, j in enumerate(np.lexsort((np.arange(600), d[i]))[:4])}
+    assert {(r.query_id, r.neighbor_id, r["rank"]) for r in rows} == expected
+    last = [left for schema, left, _ in sent if schema.startswith("id bigint, nid")][-1]
+    assert last.count() == last.select("id").distinct().count()  # a query is sent once, not once for each open leaf
