@@ -48,3 +48,23 @@ def test_manhattan_distances_hold_no_table_of_differences():
     assert peak < 5e6  # the result is 2.4 MB; slabs of all differences came to 30 MB and more
     assert np.allclose(got, np.abs(a[:, None] - b[None]).sum(2), rtol=1e-13)
     assert blocks.distances(a[:0], b, "manhattan").shape == (0, 1000) and blocks.distances(a, b[:0], "manhattan").shape == (301, 0)
+
+
+def test_manhattan_neighbours_measure_only_pairs_that_short_codes_leave_open(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = block(rng, 300, 64), block(rng, 1000, 64)
+    b.loc[1, "v"][:] = b.loc[0, "v"]  # a tie goes to the smaller id
+    x, y = np.stack(a["v"]), np.stack(b["v"])
+    d = np.abs(x[:, None] - y[None]).sum(2)
+    order = np.argsort(d, axis=1, kind="stable")[:, :5]
+    with monkeypatch.context() as patch:
+        patch.setattr(neighbors, "distances", None)  # no table of all distances
+        got = neighbors.top_of_block(5, "manhattan")(a, b)
+    assert (got.nid.to_numpy().reshape(-1, 5) == order).all() and np.allclose(got.distance.to_numpy().reshape(-1, 5), np.take_along_axis(d, order, 1), rtol=1e-13)
+    for odd in (rng.integers(0, 3, (1000, 4)).astype(float), rng.normal(size=(1000, 3)) * [1e9, 1, 1e-6] + [1e12, 0, 0], np.where(rng.random((1000, 2)) < 0.01, np.inf, 0.0), rng.normal(size=(1000, 1))):
+        got = neighbors.top_of_block(5, "manhattan")(pd.DataFrame({"id": range(40), "v": list(odd[:40])}), pd.DataFrame({"id": range(1000), "v": list(odd)}))
+        with np.errstate(invalid="ignore"):
+            d = np.abs(odd[:40, None] - odd[None]).sum(2)
+        kept = np.isfinite(odd[:40]).all(1)
+        order = np.lexsort((np.broadcast_to(np.arange(1000), d.shape), d), axis=1)[:, :5]
+        assert all(list(g.nid) == list(order[i]) for i, g in got.groupby("id") if kept[i]) and set(got.id) >= set(np.flatnonzero(kept))
