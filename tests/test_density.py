@@ -5,8 +5,9 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from prepforge.functions import blocks
+from prepforge.functions import blocks, fields
 from prepforge.operators import cluster, density, evaluate
 
 
@@ -106,3 +107,45 @@ def test_silhouettes_equal_all_pairs(spark, monkeypatch, metric):
     assert np.allclose(got.silhouette.to_numpy(), want, atol=1e-9) and (got.cluster.to_numpy() == y).all()
     one = evaluate.silhouette(df.where("k = 4"), "id", xs, "k", metric=metric).head()
     assert one["silhouette"] == 0.0 and one["rows"] == 900
+
+
+def test_dense_clusters_apart_are_not_compared_point_by_point(spark, monkeypatch):
+    x = np.concatenate([np.stack([np.full(400, float(k)), np.linspace(0, 4, 400)], 1) for k in range(3)])  # full sub-cells, lines out of reach
+    df, xs = frame(spark, x)
+    data = df.select(F.col("id").alias("row_id"), F.array(*xs).alias("v"))
+    keys = []
+    monkeypatch.setattr(density, "block_join", lambda left, right, key, *rest, **named: keys.append((key, left)) or blocks.block_join(left, right, key, *rest, **named))
+    got = density.density_labels(data, [0.6, 1.2], [3, 5]).toPandas()
+    assert (got[got.combo < 2].cluster == got[got.combo < 2].row_id // 400).all() and (got[got.combo >= 2].cluster == 0).all()
+    sent = [left.count() for key, left in keys if "v" in left.columns]
+    assert sum(sent) < 4 * len(x)  # before, all points but the stand-ins met the cells around them
+
+
+def test_grid_sums_shared_clusters_once_and_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.25, (n, 2)) for c, n in (((0, 0), 220), ((4, 0), 180), ((4, 1.9), 150))] + [rng.uniform(-2, 6, (25, 2))])
+    x[10] = x[11]  # copies
+    df, xs = frame(spark, x)
+    calls = []
+    monkeypatch.setattr(evaluate, "FIELD_ROWS", 100)
+    monkeypatch.setattr(evaluate, "distance_sums", lambda *args: calls.append(args) or fields.distance_sums(*args))
+    eps, least = [0.5, 0.9], [3, 6]
+    data = df.select(F.col("id").alias("row_id"), F.array(*xs).alias("v"))
+    labels = density.density_labels(data, eps, least).toPandas()
+    got = cluster.dbscan_grid(df, "id", xs, eps, least).collect()
+    d = apart(x, "euclidean")
+    np.fill_diagonal(d, 0)
+    for k, row in enumerate(got):
+        one = labels[labels.combo == k].sort_values("row_id").cluster.to_numpy()
+        want = []
+        for i in np.flatnonzero(one >= 0):
+            same = (one == one[i]) & (np.arange(len(x)) != i)
+            if same.any():
+                a, b = d[i, same].mean(), min(d[i, one == c].mean() for c in set(one) - {-1, one[i]})
+                want.append((b - a) / max(a, b))
+            else:
+                want.append(0.0)
+        assert row["clusters"] == one.max() + 1 and row["silhouette"] == pytest.approx(np.mean(want), abs=1e-9)
+    assert len(calls) == 1 and len({r["silhouette"] for r in got}) > 1  # different labellings in one pass
+    names = {(k, c): frozenset(g.row_id) for (k, c), g in labels[labels.cluster >= 0].groupby(["combo", "cluster"])}
+    assert calls[0][1].select("slot").distinct().count() == len(set(names.values()))
