@@ -68,3 +68,20 @@ def test_manhattan_neighbours_measure_only_pairs_that_short_codes_leave_open(mon
         kept = np.isfinite(odd[:40]).all(1)
         order = np.lexsort((np.broadcast_to(np.arange(1000), d.shape), d), axis=1)[:, :5]
         assert all(list(g.nid) == list(order[i]) for i, g in got.groupby("id") if kept[i]) and set(got.id) >= set(np.flatnonzero(kept))
+
+
+def test_distances_near_a_limit_are_direct_ones():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 4, (70, 8)) * 0.1 + 7, rng.integers(0, 4, (90, 8)) * 0.1 + 7
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    limits = [*np.unique(d)[1:6], 0.5 * (1 + 1e-12)]  # many pairs lie on a limit
+    got = blocks.distances_to_limits(a, b, "euclidean", limits)
+    assert np.allclose(got, d, rtol=1e-9) and all(((got <= limit) == (d <= limit)).all() for limit in limits)
+
+
+def test_bound_of_the_least_values_holds_k_of_them():
+    g = np.random.default_rng(7).normal(size=(20, 1003))
+    bound = neighbors._kth(g, 6)
+    assert ((g <= bound[:, None]).sum(1) >= 6).all() and ((g <= bound[:, None]).sum(1) < 30).all()
+    g[:, :990] = np.nan  # too few columns are left to give k bounds
+    assert ((g <= neighbors._kth(g, 6)[:, None]).sum(1) == 6).all()

@@ -8,7 +8,7 @@ import pytest
 
 from prepforge.functions import frame
 from prepforge.functions.blocks import block_join
-from prepforge.operators import neighbors, search
+from prepforge.operators import cluster, neighbors, search
 
 
 def table(spark, x, first=0):
@@ -131,3 +131,20 @@ def test_vectors_that_no_bound_tells_apart_are_compared_block_by_block(spark, mo
     assert {(r.query_id, r.neighbor_id, r["rank"]) for r in rows} == expected
     last = [left for schema, left, _ in sent if schema.startswith("id bigint, nid")][-1]
     assert last.count() == last.select("id").distinct().count()  # a query is sent once, not once for each open leaf
+
+
+def test_cluster_grid_searches_neighbours_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(c, 0.3, (30, 5)) for c in (0, 4)])
+    df = table(spark, np.concatenate([x, x[:4]]))  # copies
+    built, build = [], neighbors.NeighborIndex.build
+    eps = cluster.neighbor_eps(df, "id", "v", 4)
+    monkeypatch.setattr(neighbors.NeighborIndex, "build", staticmethod(lambda *args, **named: built.append(1) or build(*args, **named)))
+    asked, run = [], cluster.dbscan
+    monkeypatch.setattr(cluster, "dbscan", lambda *args: asked.append(args[3]) or run(*args))
+    rows = cluster.knn_cluster_grid(df, "id", "v", [2], [4]).collect()
+    assert len(built) == 1 and asked == [pytest.approx(eps)] and [(r["method"], r["clusters"]) for r in rows] == [("graph", 2), ("density", 2)]
+    index = build(df, "id", "v")
+    for itself in (True, False):
+        alone = neighbors.nearest_neighbors(df, df, 3, "id", "v", include_self=itself)
+        assert sorted(neighbors.take(index.lists(index.rows, 6), 3, itself).collect()) == sorted(alone.collect())
